@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.llm import conversations
+from emberlake.llm import conversations, leakage
 from emberlake.tables import table
 
 CHATS = ["chats_desk", "chats_web"]
@@ -17,6 +17,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source", F.col("conv_key").alias("thread_id"), F.col("msg_pos").cast("long").alias("msg_pos"), "item_id")
 
 
-QUERIES = {"p1_found": p1_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "eval_id")
+
+
+QUERIES = {"p1_found": p1_found, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
