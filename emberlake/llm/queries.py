@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.llm import conversations, leakage, packing
+from emberlake.llm import conversations, leakage, packing, reading
 from emberlake.tables import table
 
 CHATS = ["chats_desk", "chats_web"]
@@ -29,6 +29,15 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, sf_dir), table(spark, sf_dir, "pack_limits"))
 
 
-QUERIES = {"p1_found": p1_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels")).select("doc_id", "reading_level")
+
+
+def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return reading.level_profile(reading.reading_levels(documents, table(spark, sf_dir, "reading_labels")), documents)
+
+
+QUERIES = {"p10_found": p10_found, "p10_profile": p10_profile, "p1_found": p1_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
