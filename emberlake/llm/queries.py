@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.llm import conversations, leakage, packing, reading
+from emberlake.llm import conversations, leakage, mailtext, packing, reading
 from emberlake.tables import table
 
 CHATS = ["chats_desk", "chats_web"]
@@ -21,6 +21,14 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "eval_id")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mailtext.new_lines(table(spark, sf_dir, "items").where("source = 'email'")).select("item_id", "line_no")
+
+
+def p2_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mailtext.new_text(table(spark, sf_dir, "items").where("source = 'email'"))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits"))
 
@@ -38,6 +46,6 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.level_profile(reading.reading_levels(documents, table(spark, sf_dir, "reading_labels")), documents)
 
 
-QUERIES = {"p10_found": p10_found, "p10_profile": p10_profile, "p1_found": p1_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
+QUERIES = {"p10_found": p10_found, "p10_profile": p10_profile, "p1_found": p1_found, "p2_found": p2_found, "p2_new_text": p2_new_text, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
