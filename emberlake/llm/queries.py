@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.llm import conversations, leakage, mailtext, packing, reading
+from emberlake.llm import conversations, leakage, mailtext, packing, pii, reading
 from emberlake.tables import table
 
 CHATS = ["chats_desk", "chats_web"]
+MESSAGES = ["imessage", "signal", "teams_ops", "teams_field"]
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,16 @@ def p2_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mailtext.new_text(table(spark, sf_dir, "items").where("source = 'email'"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "items").where(F.col("source").isin(MESSAGES))
+    return pii.find(items, table(spark, sf_dir, "entities"))
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "items").where(F.col("source").isin(MESSAGES))
+    return pii.redact(items, table(spark, sf_dir, "entities")).withColumn("recipients", F.array_join("recipients", "; "))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits"))
 
@@ -46,6 +57,6 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.level_profile(reading.reading_levels(documents, table(spark, sf_dir, "reading_labels")), documents)
 
 
-QUERIES = {"p10_found": p10_found, "p10_profile": p10_profile, "p1_found": p1_found, "p2_found": p2_found, "p2_new_text": p2_new_text, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
+QUERIES = {"p10_found": p10_found, "p10_profile": p10_profile, "p1_found": p1_found, "p2_found": p2_found, "p2_new_text": p2_new_text, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
