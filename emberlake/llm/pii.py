@@ -22,11 +22,11 @@ from emberlake.tables import distinct_items
 LABELS = ["O", "email", "phone", "id_number", "address", "+address", "person_name", "+person_name"]
 KINDS = ["email", "phone", "id_number", "address", "person_name"]
 #: Texts that the fit takes at most, by smallest hash; every text is then labelled.
-MOST_TEXTS = 6000
-#: Words of the entities' names kept at most: first names and three-letter endings of surnames, most frequent first.
+MOST_TEXTS = 8000
+#: Words of the entities' names kept at most: first names and four-letter endings of surnames, most frequent first.
 MOST_FIRST_NAMES, MOST_ENDINGS = 5000, 2000
 LEAST_NAMES, LEAST_ENDINGS = 3, 3
-EPOCHS, RATE, DECAY, BATCH = 14, 0.25, 1e-4, 256
+EPOCHS, RATE, DECAY, BATCH = 30, 0.3, 2e-5, 128
 #: Log potential by which linked tokens favour one label, and rounds of message passing.
 SKIP_WEIGHT, ROUNDS = 0.8, 3
 ROLES = (-2, -1, 0, 1, 2)
@@ -39,19 +39,19 @@ TITLES = {"mr", "mrs", "ms", "dr", "prof", "fru", "herr"}
 _EMAIL = r"[\w+-]+(?:\.[\w+-]+)*@[\w-]+(?:\.[\w-]+)+"
 _SPELLED = r"[\w+-]+(?:\.[\w+-]+)* ?(?:(?:\(at\)|\[at\]) ?[\w-]+(?: ?(?:\.|\(dot\)|\[dot\]|\bdot\b) ?[\w-]+)+|at [\w-]+(?: dot [\w-]+)+)"
 _NUMBER = r"\+?\d+(?: ?\(\d+\))?(?:[ ./-]\d+)*(?:[A-Za-z](?![^\W_]))?"
-_TOKEN = re.compile(rf"(?P<e>{_EMAIL})|(?P<s>{_SPELLED})|(?P<n>{_NUMBER})|(?P<w>[^\W\d_]+(?:['’][^\W\d_]+)*)|(?P<p>[^\s])", re.I)
+_TOKEN = re.compile(rf"(?P<e>{_EMAIL})|(?P<s>{_SPELLED})|(?P<n>{_NUMBER})|(?P<w>[^\W\d_]+(?:['’][^\W\d_]+)*)|(?P<p>\n|[^\s])", re.I)
 _SPLIT_NUMBER = re.compile(r"[ /]")
 #: The shapes of numbers: 9 for a digit.
-_PHONES = re.compile(r"^(?:\+9[9 ()-]{6,18}9|9{3}-9{3}-9{4}|0{2}9{8,13}|0799{3} 9{6}|0799?9?-?9{3} ?9{2} 9{2}|099-9{3} 99 99|99 99 99 99)$")
+_PHONES = re.compile(r"^(?:\+9[9 ()-]{6,18}9|9{3}-9{3}-9{4}|009{8,13}|079{3} 9{6}|099-9{3} 99 99|99 99 99 99)$")
+_LEADS = [("00", re.compile(r"00\d{8,13}")), ("07", re.compile(r"07\d{3} \d{6}")), ("0", re.compile(r"0\d\d-\d{3} \d\d \d\d"))]
 _IDS = re.compile(r"^(?:9{11}|9{6} 9{5}|9{3}-9{2}-9{4})$")
-_STREET = rf"(?:\d+ ?[A-Z]? [^\W\d_]+ (?:{STREET_WORDS.replace(' ', '|')})|[^\W\d_]+(?:{STREET_ENDINGS.replace(' ', '|')}) \d+ ?[A-Z]?)\b(?:, (?:\d{{4,5}} )?(?-i:[A-ZÆØÅ][^\W\d_]+))?"
+_STREET = rf"(?:\d+ ?[A-Z]? [^\W\d_]+ (?:{STREET_WORDS.replace(' ', '|')})|[^\W\d_]+(?:{STREET_ENDINGS.replace(' ', '|')}) \d+(?: ?[A-Z])?)\b(?:, (?:\d{{4,5}} )?(?-i:[A-ZÆØÅ][^\W\d_]+))?"
 _ADDRESS = re.compile(rf"(?<![\w.:-]){_STREET}", re.I)
 
 
 def shape_of(number: str) -> str:
-    """A number with each digit as 9, but a leading 00, 07 or 0 kept."""
-    lead = re.match(r"00|07|0", number)
-    keep = len(lead[0]) if lead and len(number) > 8 else 0
+    """A number with each digit as 9, but for the leading digits that make it a phone number."""
+    keep = next((len(k) for k, form in _LEADS if form.fullmatch(number)), 0)
     return number[:keep] + re.sub(r"\d", "9", number[keep:])
 
 
@@ -81,7 +81,7 @@ class Names:
         return word.lower() in self.first
 
     def is_surname(self, word: str) -> bool:
-        return len(word) >= 5 and word.lower()[-3:] in self.endings and word.lower() not in self.first
+        return len(word) >= 5 and word.lower()[-4:] in self.endings and word.lower() not in self.first
 
 
 def learn_names(entities: DataFrame) -> Names:
@@ -89,13 +89,17 @@ def learn_names(entities: DataFrame) -> Names:
     person = entities.where("entity_type = 'person' AND coalesce(pending_review, 0) <> 2 AND canonical_name IS NOT NULL")
     words = F.filter(F.split(F.lower("canonical_name"), r"[^\p{L}]+"), lambda w: (F.length(w) >= 2) & ~w.isin(list(TITLES)))
     plain = person.where(~F.col("canonical_name").contains(",")).select(words.alias("w")).where(F.size("w").between(2, 3))
-    first = plain.groupBy(F.col("w")[0].alias("x")).agg(F.count_distinct(F.element_at("w", -1)).alias("n")).where(F.col("n") >= LEAST_NAMES)
-    last = plain.where(F.length(F.element_at("w", -1)) >= 5).groupBy(F.substring(F.element_at("w", -1), -3, 3).alias("x")).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ENDINGS)
+    ends = plain.select(F.explode(F.array(
+        F.struct(F.col("w")[0].alias("x"), F.element_at("w", -1).alias("other"), F.lit(1).alias("first")),
+        F.struct(F.element_at("w", -1).alias("x"), F.col("w")[0].alias("other"), F.lit(0).alias("first")),
+    )).alias("e")).select("e.*")
+    leads, follows = F.count_distinct(F.when(F.col("first") == 1, F.col("other"))), F.count_distinct(F.when(F.col("first") == 0, F.col("other")))
+    first = ends.groupBy("x").agg(leads.alias("n"), follows.alias("m")).where((F.col("n") >= LEAST_NAMES) & (F.col("n") > 2 * F.col("m")))
+    # Names are also typed surname first: an ending counts if it mostly stands last.
+    last = ends.where(F.length("x") >= 5).groupBy(F.substring("x", -4, 4).alias("x")).agg(F.count_if(F.col("first") == 0).alias("n"), F.count_if(F.col("first") == 1).alias("m"))
+    last = last.where((F.col("n") >= LEAST_ENDINGS) & (F.col("n") > 2 * F.col("m")))
     top = lambda df, k: {r["x"] for r in df.orderBy(F.desc("n"), "x").limit(k).collect()}
-    firsts = top(first, MOST_FIRST_NAMES)
-    # A surname that stands first in "Surname First" is no first name.
-    endings = top(last, MOST_ENDINGS)
-    return Names({x for x in firsts if not (len(x) >= 8 and x[-3:] in endings)}, endings)
+    return Names(top(first, MOST_FIRST_NAMES), top(last, MOST_ENDINGS))
 
 
 def token_type(text: str, kind: str) -> str:
@@ -270,7 +274,7 @@ class Field:
 
     def may_hold(self, text: str) -> bool:
         """False only for texts without digit, mail sign, first name or capital surname ending, of which no token can begin a find."""
-        return bool(_ANCHOR.search(text)) or any(w.lower() in self.names.first or w.lower()[-3:] in self.names.endings for w in _WORD.findall(text))
+        return bool(_ANCHOR.search(text)) or any(w.lower() in self.names.first or w.lower()[-4:] in self.names.endings for w in _WORD.findall(text))
 
     def _joined(self, text: str, tokens: list[tuple[int, int, str]], labels: np.ndarray) -> list[tuple[int, int, str]]:
         out = []
@@ -367,11 +371,11 @@ def _texts(items: DataFrame) -> DataFrame:
 
 
 def fit(items: DataFrame, entities: DataFrame, most_texts: int = MOST_TEXTS) -> Field:
-    """A field trained on at most ``most_texts`` distinct contents and recipients, half of each, by smallest hash."""
+    """A field trained on at most ``most_texts`` distinct contents and recipients, three of four contents, by smallest hash."""
     names = learn_names(entities)
-    half = lambda column: column.where("length(t) BETWEEN 3 AND 400").distinct().orderBy(F.xxhash64("t"), "t").limit(most_texts // 2)
-    contents = half(items.select(F.col("content").alias("t")).where(F.col("t").rlike(r"\d{3}|@|dot|[A-ZÆØÅ]\p{L}+ [A-ZÆØÅ]|\p{L} \p{L}+\b")))
-    others = half(items.select(F.explode("recipients").alias("t")).where("NOT t RLIKE '^(me|u[0-9]+|grp:.*)$'"))
+    some = lambda column, n: column.where("length(t) BETWEEN 3 AND 400").distinct().orderBy(F.xxhash64("t"), "t").limit(n)
+    contents = some(items.select(F.col("content").alias("t")).where(F.col("t").rlike(r"\d{3}|@|\bdot\b|\p{Lu}\p{L}+,? \p{Lu}|\p{L}{4} \d")), most_texts * 3 // 4)
+    others = some(items.select(F.explode("recipients").alias("t")).where("NOT t RLIKE '^(me|u[0-9]+|grp:.*)$'"), most_texts // 4)
     return fit_field(sorted(r["t"] for r in contents.unionByName(others).collect()), names)
 
 
