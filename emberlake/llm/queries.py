@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.llm import conversations, leakage, mailtext, packing, pii, reading
+from emberlake.llm import conversations, leakage, mailtext, packing, pii, reading, variants
 from emberlake.tables import table
 
 CHATS = ["chats_desk", "chats_web"]
@@ -30,6 +30,14 @@ def p2_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mailtext.new_text(table(spark, sf_dir, "items").where("source = 'email'"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_pairs(table(spark, sf_dir, "entities"), table(spark, sf_dir, "items"), [*MESSAGES, "email"])
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.clusters(variants.references_of(table(spark, sf_dir, "entities"), table(spark, sf_dir, "items"), [*MESSAGES, "email"]))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "items").where(F.col("source").isin(MESSAGES))
     return pii.find(items, table(spark, sf_dir, "entities"))
@@ -57,6 +65,6 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.level_profile(reading.reading_levels(documents, table(spark, sf_dir, "reading_labels")), documents)
 
 
-QUERIES = {"p10_found": p10_found, "p10_profile": p10_profile, "p1_found": p1_found, "p2_found": p2_found, "p2_new_text": p2_new_text, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
+QUERIES = {"p10_found": p10_found, "p10_profile": p10_profile, "p1_found": p1_found, "p2_found": p2_found, "p2_new_text": p2_new_text, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
