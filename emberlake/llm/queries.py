@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.llm import conversations, leakage, mailtext, packing, pii, reading, variants
+from emberlake.llm import conversations, leakage, mailtext, neighbours, packing, pii, reading, variants
 from emberlake.tables import table
 
 CHATS = ["chats_desk", "chats_web"]
@@ -30,6 +30,11 @@ def p2_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mailtext.new_text(table(spark, sf_dir, "items").where("source = 'email'"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = neighbours.neighbour_pairs(table(spark, sf_dir, "consolidations_vec"), "consolidation_id", "embedding")
+    return pairs.select(F.col("a").alias("consolidation_a"), F.col("b").alias("consolidation_b"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variant_pairs(table(spark, sf_dir, "entities"), table(spark, sf_dir, "items"), [*MESSAGES, "email"])
 
@@ -65,6 +70,6 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.level_profile(reading.reading_levels(documents, table(spark, sf_dir, "reading_labels")), documents)
 
 
-QUERIES = {"p10_found": p10_found, "p10_profile": p10_profile, "p1_found": p1_found, "p2_found": p2_found, "p2_new_text": p2_new_text, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
+QUERIES = {"p10_found": p10_found, "p10_profile": p10_profile, "p1_found": p1_found, "p2_found": p2_found, "p2_new_text": p2_new_text, "p4_found": p4_found, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
