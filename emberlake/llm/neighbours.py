@@ -71,72 +71,110 @@ def _centres(sample: np.ndarray, cells: int) -> np.ndarray:
     return centres
 
 
-def nearest(directions: DataFrame, dim: int, k: int, shard: int = SHARD, margin: float = MARGIN) -> DataFrame:
-    """(h, near, sim): for each of ``directions(h, v)``, distinct in h, its ``k`` most similar others that the search meets.
+def _once(rows: DataFrame) -> DataFrame:
+    """(h, v) of ``rows(id, h, v)``, each direction about once per task: a direction of very many copies does not travel."""
 
-    The number of shards grows with the rows, their size does not. The driver gets a bounded sample and the
-    cells' sizes.
+    def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for b in batches:
+            b = b[["h", "v"]].drop_duplicates("h")
+            new = b[~b["h"].isin(seen)]
+            if len(seen) > 500_000:
+                seen.clear()
+            seen.update(new["h"].tolist())
+            yield new
+
+    return rows.mapInPandas(drop, "h long, v binary")
+
+
+def nearest(directions: DataFrame, n: int, dim: int, k: int, shard: int = SHARD, margin: float = MARGIN) -> DataFrame:
+    """(h, near, sim): for each of ``directions(h, v)``, its ``k`` most similar others that the search meets.
+
+    ``n``: the number of distinct h; repeated rows of one h count once. The number of shards grows with n, their
+    size does not. The driver gets a bounded sample and the cells' sizes. A shard's own vectors are searched
+    where its graph is built; only visits to other shards' graphs travel.
     """
     spark = directions.sparkSession
-    n = directions.count()
-    cells = max(1, min(MOST_CELLS, ceil(n / shard), n))
-    wanted = min(MOST_SAMPLED, max(1000, 64 * cells))
-    sample = _matrix([r["v"] for r in directions.orderBy("h").limit(wanted if cells > 1 else 1).select("v").collect()], dim)
+    cells = max(1, min(MOST_CELLS, ceil(n / shard)))
+    wanted = min(MOST_SAMPLED, max(1000, 64 * cells)) if cells > 1 else 1
+    sample = _matrix([r["v"] for r in directions.orderBy("h").limit(wanted).select("v").collect()], dim)
+    none = spark.createDataFrame([], "h long, near long, sim float")
     if not len(sample):
-        return spark.createDataFrame([], "h long, near long, sim float")
+        return none
     centres = spark.sparkContext.broadcast(_centres(sample, min(cells, len(sample))))
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                s = _matrix(b["v"], dim) @ centres.value.T
-                best = s.max(1)
-                close = s >= best[:, None] - margin
-                yield pd.DataFrame({"h": b["h"], "v": b["v"], "home": s.argmax(1).astype(np.int32), "probes": [np.flatnonzero(r).astype(np.int32) for r in close]})
-
-    assigned = stage(directions.select("h", "v").mapInPandas(assign, "h long, v binary, home int, probes array<int>"), "cells")
-    sizes = {r["home"]: r["count"] for r in assigned.groupBy("home").count().collect()}
-    parts = F.array(*[F.lit(ceil(sizes.get(c, 0) / shard) if sizes.get(c, 0) > 2 * shard else 1) for c in range(len(centres.value))])
-    of = lambda c: F.try_element_at(parts, c + 1)
-    name = lambda c, part: c.cast("long") * (1 << 20) + part
-    base = assigned.select(name(F.col("home"), F.pmod("h", of(F.col("home")).cast("long"))).alias("shard"), "h", "v")
+            yield pd.DataFrame({"h": b["h"], "home": (_matrix(b["v"], dim) @ centres.value.T).argmax(1).astype(np.int32)})
+
+    counted = directions.mapInPandas(homes, "h long, home int").groupBy("home").agg(F.approx_count_distinct("h").alias("n")) if cells > 1 else None
+    sizes = {r["home"]: r["n"] for r in counted.collect()} if counted is not None else {0: n}
+    parts = np.array([ceil(sizes.get(c, 0) / shard) if sizes.get(c, 0) > 2 * shard else 1 for c in range(len(centres.value))])
+    first = np.concatenate([[0], np.cumsum(parts)])  # the number of each cell's first shard
+
+    def route(visiting: bool):
+        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if not len(b):
+                    continue
+                h, s = b["h"].to_numpy(np.int64), _matrix(b["v"], dim) @ centres.value.T
+                home = s.argmax(1)
+                own = first[home] + h % parts[home]
+                if not visiting:
+                    yield pd.DataFrame({"shard": own, "h": h, "v": b["v"].to_numpy()})
+                    continue
+                rows, cell = np.nonzero(s >= s.max(1)[:, None] - margin)
+                each = parts[cell]
+                rows, to = np.repeat(rows, each), np.repeat(first[cell], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                away = to != own[rows]
+                yield pd.DataFrame({"shard": to[away], "h": h[rows[away]], "v": b["v"].to_numpy()[rows[away]]})
+
+        return directions.mapInPandas(send, "shard long, h long, v binary")
+
+    found_schema = "shard long, hs binary, vectors binary, links binary, layers int, entry int, n int, near binary, sims binary"
 
     def build(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("h")
+        b = b.drop_duplicates("h").sort_values("h")
+        hs = b["h"].to_numpy(np.int64)
         graph = hnsw.build(_matrix(b["v"], dim))
         vectors, links, size, layers, entry = graph.to_bytes()
-        return pd.DataFrame({"shard": [b["shard"].iloc[0]], "hs": [b["h"].to_numpy(np.int64).tobytes()], "vectors": [vectors], "links": [links], "layers": [layers], "entry": [entry], "n": [size]})
-
-    shards = sum(max(1, ceil(x / shard)) for x in sizes.values())
-    graphs = base.repartition(shards, "shard").groupBy("shard").applyInPandas(build, "shard long, hs binary, vectors binary, links binary, layers int, entry int, n int")
-    graphs = stage(graphs, "graphs")
-    visits = assigned.select("h", "v", F.explode("probes").alias("cell")).where(of(F.col("cell")).isNotNull())
-    visits = visits.select("h", "v", F.col("cell"), F.explode(F.sequence(F.lit(0), of(F.col("cell")) - 1)).alias("part")).select("h", "v", name(F.col("cell"), F.col("part")).alias("shard"))
-    counts = visits.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
-    jobs = graphs.join(counts, "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
-    asked = visits.join(counts, "shard").select("shard", F.pmod(F.xxhash64("h"), F.col("chunks")).alias("chunk"), "h", "v")
-
-    def search(jobs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(jobs) or not len(asked):
-            return pd.DataFrame({"h": np.zeros(0, np.int64), "near": np.zeros(0, np.int64), "sim": np.zeros(0, np.float32)})
-        j = jobs.iloc[0]
-        hs = np.frombuffer(j["hs"], np.int64)
-        graph = hnsw.Graph.from_bytes(j["vectors"], j["links"], int(j["n"]), int(j["layers"]), int(j["entry"]))
-        h, q = asked["h"].to_numpy(np.int64), _matrix(asked["v"], dim)
-        at = np.minimum(np.searchsorted(hs, h), len(hs) - 1)
-        own = hs[at] == h
-        ids, sims = np.full((len(h), k + 1), -1, np.int64), np.full((len(h), k + 1), -np.inf, np.float32)
-        for part, start in ((np.flatnonzero(own), at), (np.flatnonzero(~own), None)):
-            if len(part):
-                ids[part], sims[part] = graph.search(q[part], k + 1, None if start is None else start[part])
+        near, sims = graph.search(graph.vectors, k + 1, np.arange(size))
+        return pd.DataFrame({"shard": [b["shard"].iloc[0]], "hs": [hs.tobytes()], "vectors": [vectors], "links": [links], "layers": [layers], "entry": [entry], "n": [size], "near": [near.tobytes()], "sims": [sims.tobytes()]})
+
+    shards = int(parts.sum())
+    graphs = stage(route(False).repartition(shards, "shard").groupBy("shard").applyInPandas(build, found_schema), "graphs")
+
+    def result(h: np.ndarray, hs: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> pd.DataFrame:
         near = np.where(ids >= 0, hs[np.maximum(ids, 0)], 0)
         keep = (ids >= 0) & (near != h[:, None])
-        rows, _ = np.nonzero(keep)
-        return pd.DataFrame({"h": h[rows], "near": near[keep], "sim": sims[keep]})
+        keep &= np.cumsum(keep, 1) <= k
+        return pd.DataFrame({"h": h[np.nonzero(keep)[0]], "near": near[keep], "sim": sims[keep]})
 
-    key = ["shard", "chunk"]
-    width = max(shards, 1)
-    met = jobs.repartition(width, *key).groupBy(*key).cogroup(asked.repartition(width, *key).groupBy(*key)).applyInPandas(search, "h long, near long, sim float")
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for hs, near, sims in zip(b["hs"], b["near"], b["sims"]):
+                hs = np.frombuffer(hs, np.int64)
+                yield result(hs, hs, np.frombuffer(near, np.int64).reshape(len(hs), -1), np.frombuffer(sims, np.float32).reshape(len(hs), -1))
+
+    met = graphs.select("hs", "near", "sims").mapInPandas(unpack, "h long, near long, sim float")
+    if shards > 1:
+        visits = route(True)
+        counts = visits.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
+        chunks = {r["shard"]: r["chunks"] for r in counts.collect()}
+        of = F.element_at(F.array(*[F.lit(int(chunks.get(c, 1))).cast("long") for c in range(shards)]), F.col("shard").cast("int") + 1)
+        jobs = graphs.select("shard", "hs", "vectors", "links", "layers", "entry", "n", F.explode(F.sequence(F.lit(0).cast("long"), of - 1)).alias("chunk"))
+        asked = visits.withColumn("chunk", F.pmod(F.xxhash64("h"), of))
+
+        def search(jobs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            if not len(jobs) or not len(asked):
+                return pd.DataFrame({"h": np.zeros(0, np.int64), "near": np.zeros(0, np.int64), "sim": np.zeros(0, np.float32)})
+            j, asked = jobs.iloc[0], asked.drop_duplicates("h")
+            graph = hnsw.Graph.from_bytes(j["vectors"], j["links"], int(j["n"]), int(j["layers"]), int(j["entry"]))
+            return result(asked["h"].to_numpy(np.int64), np.frombuffer(j["hs"], np.int64), *graph.search(_matrix(asked["v"], dim), k))
+
+        key = ["shard", "chunk"]
+        width = sum(chunks.values()) or 1
+        met = met.unionByName(jobs.repartition(width, *key).groupBy(*key).cogroup(asked.repartition(width, *key).groupBy(*key)).applyInPandas(search, "h long, near long, sim float"))
     found = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("sim")).alias("less"), "near"))), 1, k)
     return met.groupBy("h").agg(found.alias("f")).select("h", F.explode("f").alias("f")).select("h", "f.near", (-F.col("f.less")).alias("sim"))
 
@@ -146,23 +184,23 @@ def neighbour_pairs(vectors: DataFrame, id_column: str, vector_column: str, dim:
 
     Rows with null ids, or vectors null, of another length, with values null or not finite, or all zero take
     no part. Repeated rows count once; of one id's different vectors the one of smallest hash counts. Equal directions
-    are most similar to each other; among them and at other ties the smaller id wins. A group of copies of any size gives each
-    member at most ``k`` pairs, by way of its ``k + 1`` smallest ids, which are found without gathering the
-    group in one task.
+    are most similar to each other; among them and at other ties the smaller id wins. A group of copies of any
+    size gives each member at most ``k`` pairs, by way of its ``k + 1`` smallest ids, which are found without
+    gathering the group in one task.
     """
     rows = unit_vectors(vectors, id_column, vector_column, dim)
-    members = stage(rows.groupBy("id").agg(F.min(F.struct("h", "v")).alias("r")).select("id", "r.h", "r.v"), "members")
+    members = stage(rows.select("id", "h").groupBy("id").agg(F.min("h").alias("h")), "members")
     smallest = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, k + 1)
-    sizes = members.groupBy("h").agg(F.count("*").alias("m"), F.min("id").alias("first"), F.min("v").alias("v"))
-    many = sizes.where("m > 1").select("h")
-    copies = members.select("id", "h").join(many, "h", "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(1024)))
+    sizes = members.groupBy("h").agg(F.count("*").alias("m"), F.min("id").alias("first"))
+    copies = members.join(sizes.where("m > 1").select("h"), "h", "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(1024)))
     for salt in (F.col("salt"), F.pmod("salt", F.lit(32))):
         copies = copies.groupBy("h", salt.alias("salt")).agg(smallest("id").alias("ids")).select("h", "salt", F.explode("ids").alias("id"))
     copies = copies.groupBy("h").agg(smallest("id").alias("ids"))
-    groups = stage(sizes.join(copies, "h", "left").select("h", "v", F.coalesce("ids", F.array("first")).alias("ids")), "groups")
-    near = nearest(groups.select("h", "v"), dim, k)
+    groups = stage(sizes.join(copies, "h", "left").select("h", F.coalesce("ids", F.array("first")).alias("ids")), "groups")
+    near = nearest(_once(rows), groups.count(), dim, k)
     others = near.join(groups.select(F.col("h").alias("near"), "ids"), "near").select("h", "sim", F.explode("ids").alias("id"))
     ranked = others.groupBy("h").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("less"), "id"))), 1, k).getField("id").alias("others"))
-    lists = groups.select("h", "ids").join(ranked, "h", "left")
-    picks = members.select("id", "h").join(lists, "h").select("id", F.explode(F.slice(F.concat(F.filter("ids", lambda x: x != F.col("id")), F.coalesce("others", F.array().cast("array<string>"))), 1, k)).alias("other"))
+    lists = groups.join(ranked, "h", "left")
+    own = F.filter("ids", lambda x: x != F.col("id"))
+    picks = members.join(lists, "h").select("id", F.explode(F.slice(F.concat(own, F.coalesce("others", F.array().cast("array<string>"))), 1, k)).alias("other"))
     return picks.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
