@@ -1,0 +1,97 @@
+"""Hybrid retrieval: lexical lanes over items and sessions, a dense lane, recency and rare words, fused and ordered."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from emberlake.operators import fusion, lexical, vector
+
+ITEM_WEIGHTS = {"content": 1.0, "subject": 2.0, "sender": 1.0}
+SESSION_WEIGHTS = {"summary": 1.0, "participants": 1.0}
+
+
+@dataclass
+class HybridConfig:
+    """What a query asks for; None and empty lists switch a filter off."""
+
+    top_k: int = 20
+    per_index_k: int = 50
+    source_filter: list[str] = field(default_factory=list)
+    since: str | None = None
+    until: str | None = None
+    lang: str | None = None
+    exclude_junk: bool = False
+    recency_lane_days: int = 0
+    recency_lane_weight: float = 0.5
+    rare_term_df: int = 0
+    rare_term_weight: float = 1.0
+    decay_tau_days: float = 0.0
+    relevance_floor: float = 0.0
+    sort: str = "relevance"
+    prefixes: bool = True
+
+    def depth(self) -> int:
+        """Results that each index is asked for: the widest of what the filters need, not their product."""
+        wide = self.sort != "relevance" or self.since or self.until or self.decay_tau_days > 0
+        return self.per_index_k * (4 if wide else 1)
+
+
+def passing(items: DataFrame, cfg: HybridConfig) -> DataFrame:
+    """The items that a configuration lets through; time bounds are inclusive."""
+    keep = F.lit(True)
+    if cfg.source_filter:
+        keep = keep & F.col("source").isin(cfg.source_filter)
+    if cfg.since:
+        keep = keep & (F.col("timestamp") >= F.lit(cfg.since).cast("timestamp"))
+    if cfg.until:
+        keep = keep & (F.col("timestamp") <= F.lit(cfg.until).cast("timestamp"))
+    if cfg.lang:
+        keep = keep & (F.col("lang") == cfg.lang)
+    if cfg.exclude_junk:
+        keep = keep & F.col("junk_reason").isNull()
+    if cfg.sort != "relevance":
+        keep = keep & ~F.coalesce("timestamp_inferred", F.lit(False))
+    return items.where(keep)
+
+
+def hybrid(items: DataFrame, texts: dict[str, str], cfg: HybridConfig, sessions: DataFrame | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """(query_id, place, kind, id, score) for each of ``texts`` (query id to text).
+
+    ``items``: distinct items; ``sessions(id, thread_id, summary, participants)``; ``vectors(id, embedding)`` and
+    ``query_vectors(query_id, embedding)`` make a dense lane. Corpus statistics count all items, filters apply to
+    what was found. Blank texts find nothing.
+    """
+    phrases = [p for q, t in texts.items() for p in lexical.phrases_of(q, t, synonyms, cfg.prefixes)]
+    scored = lexical.bm25(items, ITEM_WEIGHTS, phrases)
+    allowed = passing(items, cfg).select("id")
+    lanes = [fusion.lane(lexical.top_k(scored.join(allowed, "id", "left_semi"), cfg.depth()), "fts_items", "item", "fts")]
+    if sessions is not None:
+        found = lexical.bm25(sessions, SESSION_WEIGHTS, phrases)
+        lanes.append(fusion.lane(lexical.top_k(found, cfg.depth()), "fts_sessions", "session", "fts"))
+    if vectors is not None and query_vectors is not None:
+        # The nearest overall first, filters after, as an index would.
+        near = vector.knn(vectors, query_vectors, cfg.depth()).select(F.col("query_id").cast("string").alias("query_id"), F.col("id").cast("string").alias("id"), "rank")
+        lanes.append(fusion.lane(near.join(allowed, "id", "left_semi"), "vec_items", "item", "vector"))
+    if cfg.recency_lane_days and cfg.sort == "relevance" and not cfg.since:
+        newest = items.agg(F.max("timestamp").alias("now"))
+        fresh = items.join(F.broadcast(newest)).where(F.col("timestamp") >= F.col("now") - F.make_dt_interval(F.lit(cfg.recency_lane_days))).select("id")  # one row
+        lanes.append(fusion.lane(lexical.top_k(scored.join(fresh, "id", "left_semi").join(allowed, "id", "left_semi"), cfg.depth()), "recency", "item", "fts", cfg.recency_lane_weight))
+    fused = fusion.rrf(lanes)
+    if sessions is not None:
+        fused = fusion.thread_credit(fused, items, sessions)
+    if cfg.decay_tau_days > 0 and cfg.sort == "relevance":
+        newest = items.agg(F.max("timestamp").alias("now"))
+        age = (F.unix_micros("now") - F.unix_micros("timestamp")) / 86_400_000_000
+        rows = fused.join(items.select("id", "timestamp"), "id", "left").join(F.broadcast(newest))  # one row
+        fused = rows.withColumn("score", F.when(F.col("timestamp").isNotNull(), fusion.recency_decay(F.col("score"), age, cfg.decay_tau_days)).otherwise(F.col("score"))).select(*fused.columns)
+    if cfg.relevance_floor:
+        fused = fusion.relevance_floor(fused, cfg.relevance_floor)
+    if cfg.sort == "relevance":
+        out = lexical.top_k(fused, cfg.top_k).withColumnRenamed("rank", "place")
+    else:
+        timed = fused.join(items.select("id", "timestamp"), "id")
+        out = fusion.time_order(timed, "timestamp", cfg.sort == "desc").where(F.col("place") <= cfg.top_k)
+    return out.select("query_id", "place", "kind", "id", "score")
