@@ -27,7 +27,12 @@ def dictionary_tags(texts: DataFrame, entities: DataFrame, longest: int = LONGES
     inside a longer match of the same text does not count.
     """
     rows = texts.select("id", tokens(F.col("text")).alias("t"))
-    spans = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.size("t"), F.lit(1))), lambda i, k=k: F.when(i + k - 1 <= F.size("t"), F.struct(i.alias("at"), F.lit(k).alias("k"), F.array_join(F.slice("t", i, k), " ").alias("name")))) for k in range(1, longest + 1)]))
+
+    def runs_of(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("t"), F.lit(1)))
+        return F.transform(starts, lambda i: F.when(i + k - 1 <= F.size("t"), F.struct(i.alias("at"), F.lit(k).alias("k"), F.array_join(F.slice("t", i, F.lit(k)), " ").alias("name"))))
+
+    spans = F.flatten(F.array(*[runs_of(k) for k in range(1, longest + 1)]))
     runs = rows.where(F.size("t") > 0).select("id", F.explode(F.array_compact(spans)).alias("s")).select("id", "s.*")
     names = name_table(entities, longest)
     met = runs.join(names.select("name").distinct(), "name")

@@ -52,7 +52,11 @@ def phrase_table(spark: SparkSession, phrases: list[Phrase]) -> DataFrame:
 
 def postings(docs: DataFrame, columns: list[str]) -> DataFrame:
     """(id, col, pos, term) of ``docs(id, columns...)``. Null texts have no terms."""
-    each = [F.transform(tokens(F.col(c)), lambda t, i, c=c: F.struct(F.lit(c).alias("col"), i.alias("pos"), t.alias("term"))) for c in columns]
+
+    def terms(c: str) -> Column:
+        return F.transform(tokens(F.col(c)), lambda t, i: F.struct(F.lit(c).alias("col"), i.alias("pos"), t.alias("term")))
+
+    each = [terms(c) for c in columns]
     return docs.select("id", F.explode(F.concat(*each)).alias("p")).select("id", "p.*")
 
 
