@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 
-DEGREE, BASE_DEGREE = 10, 20
+DEGREE, BASE_DEGREE = 8, 22
 #: Candidates kept while inserting and while searching, and how many of them are expanded in one step.
-BUILD_WIDTH, SEARCH_WIDTH, EXPAND = 24, 32, 4
+BUILD_WIDTH, SEARCH_WIDTH, EXPAND = 12, 16, 6
 LEVEL = 12
 BATCH = 512
 

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.llm import hnsw
@@ -71,78 +71,60 @@ def _centres(sample: np.ndarray, cells: int) -> np.ndarray:
     return centres
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    """(h, v) of ``rows(id, h, v)``, each direction about once per task: a direction of very many copies does not travel."""
+def _sampled(vectors: DataFrame, id_column: str, vector_column: str, dim: int, n: int, wanted: int) -> np.ndarray:
+    """About ``wanted`` usable vectors, by the hash of their ids; never more than twice as many come to the driver."""
+    share = max(1, n // wanted)
+    rows = vectors.where(F.pmod(F.xxhash64(F.col(id_column).cast("string")), F.lit(share)) == 0)
+    found = unit_vectors(rows, id_column, vector_column, dim).groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(2 * wanted)
+    return _matrix([r["v"] for r in found.select("v").collect()], dim)
 
-    def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for b in batches:
-            b = b[["h", "v"]].drop_duplicates("h")
-            new = b[~b["h"].isin(seen)]
-            if len(seen) > 500_000:
-                seen.clear()
-            seen.update(new["h"].tolist())
-            yield new
 
-    return rows.mapInPandas(drop, "h long, v binary")
+def nearest(directions: DataFrame, sample: np.ndarray, n: int, dim: int, k: int, shard: int = SHARD, margin: float = MARGIN) -> DataFrame:
+    """(h, near, sim): for each of ``directions(id, h, v)``, its ``k`` most similar others that the search meets; repeats of h count once.
 
-
-def nearest(directions: DataFrame, n: int, dim: int, k: int, shard: int = SHARD, margin: float = MARGIN) -> DataFrame:
-    """(h, near, sim): for each of ``directions(h, v)``, its ``k`` most similar others that the search meets.
-
-    ``n``: the number of distinct h; repeated rows of one h count once. The number of shards grows with n, their
-    size does not. The driver gets a bounded sample and the cells' sizes. A shard's own vectors are searched
-    where its graph is built; only visits to other shards' graphs travel.
+    ``n``: the number of distinct h; ``sample``: vectors that the cells are fitted on. The number of shards grows
+    with n, their size does not. Each vector goes to its own shard's graph, and as a visitor to those of near
+    cells. A shard that few visit is built and searched in one task. Of one that more than CHUNK visit, as
+    the sample foretells, the graph is kept in a table and its visitors come in chunks.
     """
     spark = directions.sparkSession
-    cells = max(1, min(MOST_CELLS, ceil(n / shard)))
-    wanted = min(MOST_SAMPLED, max(1000, 64 * cells)) if cells > 1 else 1
-    sample = _matrix([r["v"] for r in directions.orderBy("h").limit(wanted).select("v").collect()], dim)
     none = spark.createDataFrame([], "h long, near long, sim float")
     if not len(sample):
         return none
-    centres = spark.sparkContext.broadcast(_centres(sample, min(cells, len(sample))))
-
-    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"h": b["h"], "home": (_matrix(b["v"], dim) @ centres.value.T).argmax(1).astype(np.int32)})
-
-    counted = directions.mapInPandas(homes, "h long, home int").groupBy("home").agg(F.approx_count_distinct("h").alias("n")) if cells > 1 else None
-    sizes = {r["home"]: r["n"] for r in counted.collect()} if counted is not None else {0: n}
-    parts = np.array([ceil(sizes.get(c, 0) / shard) if sizes.get(c, 0) > 2 * shard else 1 for c in range(len(centres.value))])
+    fitted = _centres(sample, max(1, min(MOST_CELLS, ceil(n / shard), len(sample))))
+    s = sample @ fitted.T
+    weight = n / len(sample)
+    size = np.bincount(s.argmax(1), minlength=len(fitted)) * weight
+    parts = np.where(size > 2 * shard, np.ceil(size / shard), 1).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(parts)])  # the number of each cell's first shard
-
-    def route(visiting: bool):
-        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if not len(b):
-                    continue
-                h, s = b["h"].to_numpy(np.int64), _matrix(b["v"], dim) @ centres.value.T
-                home = s.argmax(1)
-                own = first[home] + h % parts[home]
-                if not visiting:
-                    yield pd.DataFrame({"shard": own, "h": h, "v": b["v"].to_numpy()})
-                    continue
-                rows, cell = np.nonzero(s >= s.max(1)[:, None] - margin)
-                each = parts[cell]
-                rows, to = np.repeat(rows, each), np.repeat(first[cell], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                away = to != own[rows]
-                yield pd.DataFrame({"shard": to[away], "h": h[rows[away]], "v": b["v"].to_numpy()[rows[away]]})
-
-        return directions.mapInPandas(send, "shard long, h long, v binary")
-
-    found_schema = "shard long, hs binary, vectors binary, links binary, layers int, entry int, n int, near binary, sims binary"
-
-    def build(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.drop_duplicates("h").sort_values("h")
-        hs = b["h"].to_numpy(np.int64)
-        graph = hnsw.build(_matrix(b["v"], dim))
-        vectors, links, size, layers, entry = graph.to_bytes()
-        near, sims = graph.search(graph.vectors, k + 1, np.arange(size))
-        return pd.DataFrame({"shard": [b["shard"].iloc[0]], "hs": [hs.tobytes()], "vectors": [vectors], "links": [links], "layers": [layers], "entry": [entry], "n": [size], "near": [near.tobytes()], "sims": [sims.tobytes()]})
-
     shards = int(parts.sum())
-    graphs = stage(route(False).repartition(shards, "shard").groupBy("shard").applyInPandas(build, found_schema), "graphs")
+    near_cells = s >= s.max(1)[:, None] - margin
+    visitors = np.repeat(near_cells.sum(0) * weight, parts)
+    crowded = visitors > 2 * CHUNK
+    shared = spark.sparkContext.broadcast((fitted, parts, first))
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres, parts, first = shared.value
+        seen: set[int] = set()
+        for b in batches:
+            b = b.drop_duplicates("h")
+            b = b[~b["h"].isin(seen)]  # a direction of very many copies travels once per task
+            if len(seen) > 500_000:
+                seen.clear()
+            seen.update(b["h"].tolist())
+            if not len(b):
+                continue
+            h, v, s = b["h"].to_numpy(np.int64), b["v"].to_numpy(), _matrix(b["v"], dim) @ centres.T
+            home = s.argmax(1)
+            own = first[home] + h % parts[home]
+            rows, cell = np.nonzero(s >= s.max(1)[:, None] - margin)
+            each = parts[cell]
+            rows, to = np.repeat(rows, each), np.repeat(first[cell], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            away = to != own[rows]
+            to, rows = np.concatenate([own, to[away]]), np.concatenate([np.arange(len(h)), rows[away]])
+            yield pd.DataFrame({"shard": to, "is_own": np.arange(len(to)) < len(h), "h": h[rows], "v": v[rows]})
+
+    sent = directions.mapInPandas(send, "shard long, is_own boolean, h long, v binary")
 
     def result(h: np.ndarray, hs: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> pd.DataFrame:
         near = np.where(ids >= 0, hs[np.maximum(ids, 0)], 0)
@@ -150,57 +132,93 @@ def nearest(directions: DataFrame, n: int, dim: int, k: int, shard: int = SHARD,
         keep &= np.cumsum(keep, 1) <= k
         return pd.DataFrame({"h": h[np.nonzero(keep)[0]], "near": near[keep], "sim": sims[keep]})
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for hs, near, sims in zip(b["hs"], b["near"], b["sims"]):
-                hs = np.frombuffer(hs, np.int64)
-                yield result(hs, hs, np.frombuffer(near, np.int64).reshape(len(hs), -1), np.frombuffer(sims, np.float32).reshape(len(hs), -1))
-
-    met = graphs.select("hs", "near", "sims").mapInPandas(unpack, "h long, near long, sim float")
-    if shards > 1:
-        visits = route(True)
-        counts = visits.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
-        chunks = {r["shard"]: r["chunks"] for r in counts.collect()}
-        of = F.element_at(F.array(*[F.lit(int(chunks.get(c, 1))).cast("long") for c in range(shards)]), F.col("shard").cast("int") + 1)
-        jobs = graphs.select("shard", "hs", "vectors", "links", "layers", "entry", "n", F.explode(F.sequence(F.lit(0).cast("long"), of - 1)).alias("chunk"))
-        asked = visits.withColumn("chunk", F.pmod(F.xxhash64("h"), of))
-
-        def search(jobs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            if not len(jobs) or not len(asked):
-                return pd.DataFrame({"h": np.zeros(0, np.int64), "near": np.zeros(0, np.int64), "sim": np.zeros(0, np.float32)})
-            j, asked = jobs.iloc[0], asked.drop_duplicates("h")
-            graph = hnsw.Graph.from_bytes(j["vectors"], j["links"], int(j["n"]), int(j["layers"]), int(j["entry"]))
-            return result(asked["h"].to_numpy(np.int64), np.frombuffer(j["hs"], np.int64), *graph.search(_matrix(asked["v"], dim), k))
-
-        key = ["shard", "chunk"]
-        width = sum(chunks.values()) or 1
-        met = met.unionByName(jobs.repartition(width, *key).groupBy(*key).cogroup(asked.repartition(width, *key).groupBy(*key)).applyInPandas(search, "h long, near long, sim float"))
+    def grown(own: pd.DataFrame) -> tuple[np.ndarray, hnsw.Graph]:
+        own = own.drop_duplicates("h").sort_values("h")
+        return own["h"].to_numpy(np.int64), hnsw.build(_matrix(own["v"], dim))
+
+    def visited(hs: np.ndarray, graph: hnsw.Graph, asked: pd.DataFrame) -> pd.DataFrame:
+        asked = asked.drop_duplicates("h")
+        return result(asked["h"].to_numpy(np.int64), hs, *graph.search(_matrix(asked["v"], dim), k)) if len(hs) and len(asked) else pd.DataFrame({"h": np.zeros(0, np.int64), "near": np.zeros(0, np.int64), "sim": np.zeros(0, np.float32)})
+
+    def build_and_search(b: pd.DataFrame) -> pd.DataFrame:
+        own = b[b["is_own"]]
+        if not len(own):
+            return visited(np.zeros(0, np.int64), None, own)
+        hs, graph = grown(own)
+        inside = result(hs, hs, *graph.search(graph.vectors, k + 1, np.arange(len(hs))))
+        return pd.concat([inside, visited(hs, graph, b[~b["is_own"]])])
+
+    quiet = sent if not crowded.any() else sent.where(~F.col("shard").isin([int(x) for x in np.flatnonzero(crowded)]))
+    met = quiet.repartition(shards, "shard").groupBy("shard").applyInPandas(build_and_search, "h long, near long, sim float")
+    if crowded.any():
+        met = met.unionByName(_crowded(sent.where(F.col("shard").isin([int(x) for x in np.flatnonzero(crowded)])), {int(x): ceil(visitors[x] / CHUNK) for x in np.flatnonzero(crowded)}, grown, visited, k, result))
     found = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("sim")).alias("less"), "near"))), 1, k)
     return met.groupBy("h").agg(found.alias("f")).select("h", F.explode("f").alias("f")).select("h", "f.near", (-F.col("f.less")).alias("sim"))
 
 
+def _crowded(sent: DataFrame, chunks: dict[int, int], grown, visited, k: int, result) -> DataFrame:
+    """(h, near, sim) for shards of very many visitors: graphs go to a table, and each chunk of visitors to one task."""
+
+    def build(own: pd.DataFrame) -> pd.DataFrame:
+        hs, graph = grown(own)
+        vectors, links, size, layers, entry = graph.to_bytes()
+        return pd.DataFrame({"shard": [own["shard"].iloc[0]], "hs": [hs.tobytes()], "vectors": [vectors], "links": [links], "layers": [layers], "entry": [entry], "n": [size]})
+
+    def opened(j: pd.Series) -> tuple[np.ndarray, hnsw.Graph]:
+        return np.frombuffer(j["hs"], np.int64), hnsw.Graph.from_bytes(j["vectors"], j["links"], int(j["n"]), int(j["layers"]), int(j["entry"]))
+
+    def inside(b: pd.DataFrame) -> pd.DataFrame:
+        hs, graph = opened(b.iloc[0])
+        return result(hs, hs, *graph.search(graph.vectors, k + 1, np.arange(len(hs))))
+
+    def search(jobs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        return visited(*(opened(jobs.iloc[0]) if len(jobs) else (np.zeros(0, np.int64), None)), asked)
+
+    many = F.element_at(F.create_map(*[F.lit(x) for c, n in chunks.items() for x in (c, n)]), F.col("shard"))
+    graphs = sent.where("is_own").repartition(len(chunks), "shard").groupBy("shard").applyInPandas(build, "shard long, hs binary, vectors binary, links binary, layers int, entry int, n int")
+    graphs = stage(graphs, "graphs")
+    jobs = graphs.withColumn("chunk", F.explode(F.sequence(F.lit(0), many - 1)))
+    asked = sent.where("NOT is_own").withColumn("chunk", F.pmod(F.xxhash64("h"), many.cast("long")).cast("int"))
+    key, width = ["shard", "chunk"], sum(chunks.values())
+    own = graphs.groupBy("shard").applyInPandas(inside, "h long, near long, sim float")
+    return own.unionByName(jobs.repartition(width, *key).groupBy(*key).cogroup(asked.repartition(width, *key).groupBy(*key)).applyInPandas(search, "h long, near long, sim float"))
+
+
 def neighbour_pairs(vectors: DataFrame, id_column: str, vector_column: str, dim: int = 64, k: int = 5) -> DataFrame:
     """(a, b): pairs of ids, the smaller first, of which one is among the other's ``k`` most similar by cosine.
 
     Rows with null ids, or vectors null, of another length, with values null or not finite, or all zero take
     no part. Repeated rows count once; of one id's different vectors the one of smallest hash counts. Equal directions
-    are most similar to each other; among them and at other ties the smaller id wins. A group of copies of any
-    size gives each member at most ``k`` pairs, by way of its ``k + 1`` smallest ids, which are found without
-    gathering the group in one task.
+    are most similar to each other, the smaller ids first. A group of copies of any size gives each member at
+    most ``k`` pairs, by way of its ``k + 1`` smallest ids, which are found without gathering the group in one
+    task. Neighbours are found and paired by number; ids join at the end.
     """
     rows = unit_vectors(vectors, id_column, vector_column, dim)
     members = stage(rows.select("id", "h").groupBy("id").agg(F.min("h").alias("h")), "members")
     smallest = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, k + 1)
     sizes = members.groupBy("h").agg(F.count("*").alias("m"), F.min("id").alias("first"))
+    sizes = stage(sizes, "sizes")
     copies = members.join(sizes.where("m > 1").select("h"), "h", "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(1024)))
     for salt in (F.col("salt"), F.pmod("salt", F.lit(32))):
         copies = copies.groupBy("h", salt.alias("salt")).agg(smallest("id").alias("ids")).select("h", "salt", F.explode("ids").alias("id"))
-    copies = copies.groupBy("h").agg(smallest("id").alias("ids"))
-    groups = stage(sizes.join(copies, "h", "left").select("h", F.coalesce("ids", F.array("first")).alias("ids")), "groups")
-    near = nearest(_once(rows), groups.count(), dim, k)
-    others = near.join(groups.select(F.col("h").alias("near"), "ids"), "near").select("h", "sim", F.explode("ids").alias("id"))
-    ranked = others.groupBy("h").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("less"), "id"))), 1, k).getField("id").alias("others"))
-    lists = groups.join(ranked, "h", "left")
-    own = F.filter("ids", lambda x: x != F.col("id"))
-    picks = members.join(lists, "h").select("id", F.explode(F.slice(F.concat(own, F.coalesce("others", F.array().cast("array<string>"))), 1, k)).alias("other"))
-    return picks.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    # A small table as a rule; its size on disk decides how it joins.
+    several = stage(copies.groupBy("h").agg(smallest("id").alias("ids")), "copies")
+    n = sizes.count()
+    cells = max(1, ceil(n / SHARD))
+    sample = _sampled(vectors, id_column, vector_column, dim, n, min(MOST_SAMPLED, max(1000, 64 * cells)))
+    met = nearest(rows, sample, n, dim, k)
+    sized = met.join(several.select(F.col("h").alias("near"), F.size("ids").alias("m")), "near", "left").join(several.select("h", F.size("ids").alias("own")), "h", "left")
+    m, own = F.coalesce("m", F.lit(1)), F.coalesce("own", F.lit(1))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("h").orderBy(F.desc("sim"), "near").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slots = sized.withColumns({"m": m, "own": own}).withColumn("slots", F.least("m", k - (F.col("own") - 1) - before)).where("slots > 0")
+    plain = slots.where("m = 1 AND own = 1").select(F.least("h", "near").alias("h"), F.greatest("h", "near").alias("near")).distinct()
+    firsts = sizes.select("h", "first")
+    one = plain.join(firsts, "h").select("near", F.col("first").alias("x")).join(firsts.withColumnRenamed("h", "near"), "near").select("x", F.col("first").alias("y"))
+    # Where copies are on either side: all members of the group, and as many of the other's ids as there are slots.
+    rest = slots.where("m > 1 OR own > 1").select("h", "near", "slots")
+    rest = rest.join(firsts, "h").join(several, "h", "left").select("near", "slots", F.explode(F.coalesce("ids", F.array("first"))).alias("x"))
+    rest = rest.join(firsts.withColumnRenamed("h", "near"), "near").join(several.withColumnRenamed("h", "near"), "near", "left")
+    rest = rest.select("x", F.explode(F.slice(F.coalesce("ids", F.array("first")), F.lit(1), F.col("slots").cast("int"))).alias("y"))
+    same = members.join(several, "h").select(F.col("id").alias("x"), F.explode(F.slice(F.filter("ids", lambda y: y != F.col("id")), 1, k)).alias("y"))
+    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    return one.select(*pair).unionByName(rest.unionByName(same).select(*pair).distinct())
