@@ -206,7 +206,7 @@ def neighbour_pairs(vectors: DataFrame, id_column: str, vector_column: str, dim:
     n = sizes.count()
     cells = max(1, ceil(n / SHARD))
     sample = _sampled(vectors, id_column, vector_column, dim, n, min(MOST_SAMPLED, max(1000, 64 * cells)))
-    met = nearest(rows, sample, n, dim, k)
+    met = stage(nearest(rows, sample, n, dim, k), "met")  # read twice below
     sized = met.join(several.select(F.col("h").alias("near"), F.size("ids").alias("m")), "near", "left").join(several.select("h", F.size("ids").alias("own")), "h", "left")
     m, own = F.coalesce("m", F.lit(1)), F.coalesce("own", F.lit(1))
     before = F.coalesce(F.sum("m").over(Window.partitionBy("h").orderBy(F.desc("sim"), "near").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
