@@ -1,6 +1,6 @@
 """A hierarchical navigable small-world graph in flat arrays, built and searched for many vectors at a time.
 
-Layer 0 holds every vector, each higher one a random LEVEL-th of the one below. A layer is one array of
+Layer 0 holds every vector, each higher one a random LEVEL-th part of the one below. A layer is one array of
 neighbour numbers, -1 where a list ends. Vectors are unit length; similarity is the dot product.
 """
 
@@ -11,7 +11,7 @@ import numpy as np
 DEGREE, BASE_DEGREE = 8, 22
 #: Candidates kept while inserting and while searching, and how many of them are expanded in one step.
 BUILD_WIDTH, SEARCH_WIDTH, EXPAND = 12, 16, 6
-LEVEL = 12
+LEVEL = 32
 BATCH = 512
 
 

@@ -27,7 +27,7 @@ SHARD = 8000
 #: Vectors that the coarse clustering is fitted on, and the most cells; every vector is indexed.
 MOST_SAMPLED, MOST_CELLS, FIT_ROUNDS = 50_000, 4096, 10
 #: A cell is searched too if its centre is at most this much less similar than the nearest one.
-MARGIN = 0.06
+MARGIN = 0.05
 #: Queries that one task takes to one graph.
 CHUNK = 20_000
 #: Digits to which equal directions agree.
