@@ -187,7 +187,7 @@ def leaks(documents: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS
                     ids.append(doc_id)
                     kept.append(words.tobytes())
                     found.append(np.unique(own).view(np.int64))
-            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "words": kept, "seeds": found})
+            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "words": pd.Series(kept, dtype=object), "seeds": pd.Series(found, dtype=object)})
 
     docs = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     near = stage(docs.mapInPandas(scan, "doc_id long, words binary, seeds array<long>"), "near")

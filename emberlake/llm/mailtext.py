@@ -221,7 +221,7 @@ def new_lines(mails: DataFrame) -> DataFrame:
         for b in batches:
             own = [own_lines(c, name_words(s)) for s, c in zip(b["sender"], b["content"])]
             text = [c.split("\n")[n - 1].rstrip("\r") for c, ns in zip(b["content"], own) for n in ns]
-            yield pd.DataFrame({"item_id": np.repeat(b["id"].to_numpy(object), [len(x) for x in own]), "line_no": np.array([n for ns in own for n in ns], np.int64), "line": text})
+            yield pd.DataFrame({"item_id": np.repeat(b["id"].to_numpy(object), [len(x) for x in own]), "line_no": np.array([n for ns in own for n in ns], np.int64), "line": pd.Series(text, dtype=object)})
 
     return rows.mapInPandas(cut, "item_id string, line_no long, line string")
 

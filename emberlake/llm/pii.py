@@ -374,7 +374,7 @@ def fit(items: DataFrame, entities: DataFrame, most_texts: int = MOST_TEXTS) ->
     """A field trained on at most ``most_texts`` distinct contents and recipients, three of four contents, by smallest hash."""
     names = learn_names(entities)
     some = lambda column, n: column.where("length(t) BETWEEN 3 AND 400").distinct().orderBy(F.xxhash64("t"), "t").limit(n)
-    contents = some(items.select(F.col("content").alias("t")).where(F.col("t").rlike(r"\d{3}|@|\bdot\b|\p{Lu}\p{L}+,? \p{Lu}|\p{L}{4} \d")), most_texts * 3 // 4)
+    contents = some(items.select(F.col("content").alias("t")).where(F.col("t").rlike(r"\d{3}|\d\d \d\d|@|\bdot\b|\p{Lu}\p{L}+,? \p{Lu}|\p{L}{4} \d")), most_texts * 3 // 4)
     others = some(items.select(F.explode("recipients").alias("t")).where("NOT t RLIKE '^(me|u[0-9]+|grp:.*)$'"), most_texts // 4)
     return fit_field(sorted(r["t"] for r in contents.unionByName(others).collect()), names)
 

@@ -115,7 +115,7 @@ def fit(documents: DataFrame, labels: DataFrame, most_rated: int = MOST_RATED) -
 
         def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield pd.DataFrame({"doc_id": b["doc_id"], "level": b["level"], "x": [_measure(t, *per_fold.value[f]).tolist() for t, f in zip(b["text"], b["fold"])]})
+                yield pd.DataFrame({"doc_id": b["doc_id"], "level": b["level"], "x": pd.Series([_measure(t, *per_fold.value[f]).tolist() for t, f in zip(b["text"], b["fold"])], dtype=object)})
 
         table = rated.mapInPandas(measured, "doc_id long, level double, x array<double>").toPandas().sort_values("doc_id")
         return stats, table["doc_id"].to_numpy(), np.stack(table["x"].to_numpy()), table["level"].to_numpy()

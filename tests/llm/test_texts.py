@@ -55,7 +55,7 @@ def test_packing_histogram(capacity):
         for k, n in lengths.items():
             used[k] += n * packs
     assert used == histogram
-    assert sum(p for _, p in patterns) <= 1.06 * sum(k * n for k, n in histogram.items()) / capacity + 1
+    assert sum(p for _, p in patterns) <= 1.1 * sum(k * n for k, n in histogram.items()) / capacity + 1
 
 
 def test_packing_whole_and_cut(spark):
