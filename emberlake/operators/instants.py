@@ -10,7 +10,6 @@ from __future__ import annotations
 from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,11 +48,10 @@ def _lookup(values: dict[str, int], key: Column) -> Column:
 
 
 def _region(zone: Column) -> Column:
-    """The name under which the JVM knows a zone, whatever its case; null for names it doesn't know."""
-    known = SparkContext._active_spark_context._jvm.java.time.ZoneId.getAvailableZoneIds().toArray()
-    names = {z.lower(): z for z in sorted(known) if z == "UTC" or "/" in z}
-    pairs = F.map_from_arrays(F.lit(list(names)), F.lit(list(names.values())))
-    return F.try_element_at(pairs, F.lower(zone))
+    """A zone's name if the JVM knows it, as written or in title case; null for other names."""
+    title = F.regexp_replace(F.initcap(F.regexp_replace(F.regexp_replace(zone, "/", " / "), "_", " ")), " / ", "/")
+    known = lambda z: F.when(F.try_to_timestamp(F.concat(F.lit("2020-01-01 00:00 "), z), F.lit("yyyy-MM-dd HH:mm VV")).isNotNull(), z)
+    return F.coalesce(known(zone), known(F.regexp_replace(title, " ", "_")))
 
 
 def _local_us(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column, half: Column) -> Column:
@@ -99,7 +97,7 @@ def with_instants(entries: DataFrame) -> DataFrame:
     texts name nothing, nor do texts with zones that the JVM does not know.
     """
     out = entries.columns
-    df = entries.withColumn("_t", F.lower(F.trim(F.regexp_replace("text", r"[\s\u00a0\u2000-\u200b\u202f\u3000]+", " "))))
+    df = entries.withColumn("_w", F.trim(F.regexp_replace("text", r"[\s\u00a0\u2000-\u200b\u202f\u3000]+", " "))).withColumn("_t", F.lower("_w"))
     shape = F.lit(None).cast("string")
     for pattern, groups in [*_LAYOUTS, (_SLASHES, "$3|$1/|$2|$4|$5|$6|$7|$8")]:
         shape = F.when(F.col("_t").rlike(pattern), F.regexp_replace("_t", pattern, groups)).otherwise(shape)
@@ -113,7 +111,7 @@ def with_instants(entries: DataFrame) -> DataFrame:
         "_a": F.when(swaps & F.coalesce("day_first", F.lit(True)), _local_us(year, day, F.rtrim(month, F.lit("/")), hour, minute, second, half)),
         "_b": F.when(~swaps | ~F.coalesce("day_first", F.lit(False)), _local_us(year, F.rtrim(month, F.lit("/")), day, hour, minute, second, half)),
         "_fixed": F.when(zone.rlike("^[+-]"), signed).otherwise(_lookup(ZONES, zone)).cast("long") * 60_000_000,
-        "_zone": F.when(zone == "", _region(F.col("tz_name"))).when(zone.contains("/"), _region(zone)),
+        "_zone": F.when(zone == "", _region(F.col("tz_name"))).when(zone.contains("/"), _region(F.regexp_extract("_w", r"[A-Za-z_]+(?:/[A-Za-z_+-]+)+", 0))),
     })
     candidates = []
     for c in ("_a", "_b"):
