@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlake.session import stage
+
 # Month names of English and Norwegian, and zone abbreviations with minutes east of UTC.
 MONTHS = {
     "jan": 1, "january": 1, "januar": 1, "feb": 2, "february": 2, "februar": 2, "mar": 3, "march": 3, "mars": 3,
@@ -123,11 +125,7 @@ def with_instants(entries: DataFrame) -> DataFrame:
     return df.withColumn("utc_micros", found).select(*out, "utc_micros")
 
 
-def parse_dictionary(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Entries (text, tz_name, day_first, epoch_origin, utc_micros, n_rows) for the combinations in ``rows``.
-
-    ``known``: an earlier dictionary; only combinations it lacks are parsed and returned.
-    """
+def _new_entries(rows: DataFrame, known: DataFrame | None) -> DataFrame:
     new = rows.where(F.col("text").isNotNull()).groupBy(*DICTIONARY_KEY).agg(F.count("*").alias("n_rows"))
     if known is not None:
         same = reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in DICTIONARY_KEY])
@@ -135,6 +133,15 @@ def parse_dictionary(rows: DataFrame, known: DataFrame | None = None) -> DataFra
     return with_instants(new)
 
 
+def parse_dictionary(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Entries (text, tz_name, day_first, epoch_origin, n_rows, utc_micros) for the combinations in ``rows``, as a staged table.
+
+    ``known``: an earlier dictionary; only combinations it lacks are parsed and returned. The table is written
+    first because a filter on utc_micros would else be pushed through every step of the parsing.
+    """
+    return stage(_new_entries(rows, known), "instants")
+
+
 def update_dictionary(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
     """Append the entries that the dictionary at ``path`` lacks and return the whole dictionary."""
     try:
@@ -143,7 +150,7 @@ def update_dictionary(spark: SparkSession, rows: DataFrame, path: str) -> DataFr
         if "PATH_NOT_FOUND" not in str(e):
             raise
         known = None
-    parse_dictionary(rows, known).write.mode("append").parquet(path)
+    _new_entries(rows, known).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 

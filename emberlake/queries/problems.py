@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlake.operators import instants, sessions
-from emberlake.session import stage
 from emberlake.tables import table
 
 
@@ -22,8 +21,7 @@ def p3_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = instants.timestamp_rows(table(spark, sf_dir, "raw_items"), table(spark, sf_dir, "chat_facts"), table(spark, sf_dir, "source_profiles"))
-    dictionary = stage(instants.parse_dictionary(rows), "instants")
-    return instants.normalise(rows, dictionary).select("rec_table", "rec_key", "utc_micros")
+    return instants.normalise(rows, instants.parse_dictionary(rows)).select("rec_table", "rec_key", "utc_micros")
 
 
 QUERIES = {"p3_found": p3_found, "p3_durations": p3_durations, "p7_found": p7_found}
