@@ -138,7 +138,7 @@ def _front(text: Column, key: str) -> Column:
 
 def notes(spark: SparkSession, path: str, source: str = "notes", skip: str = r"/\.|/templates/") -> DataFrame:
     """Markdown files: front matter, first heading, links unwrapped. Timestamps: front matter, file name, file time; the last two are inferred."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"))
     files = files.where(~F.col("path").rlike(skip))
     name = F.url_decode(F.regexp_extract("path", r"([^/]+)\.md$", 1))
     own = F.coalesce(_front(F.col("value"), "created"), _front(F.col("value"), "date")).try_cast("timestamp")
@@ -183,6 +183,6 @@ def team_messages(spark: SparkSession, path: str, source: str = "teams") -> Data
 
 def folder(spark: SparkSession, path: str, source: str = "folder") -> DataFrame:
     """Plain text files; timestamps from the name or else the file, inferred either way."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path).select("value", F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_modification_time").alias("mtime"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").select("value", F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_modification_time").alias("mtime"))
     named = F.concat_ws("-", *[F.regexp_extract("source_id", DATE_IN_NAME, g) for g in (1, 2, 3)]).try_cast("timestamp")
     return as_items(files.select("source_id", F.coalesce(named, "mtime").alias("timestamp"), F.lit(True).alias("timestamp_inferred"), F.col("value").alias("content"), F.regexp_extract("source_id", r"([^/]+)$", 1).alias("subject")), source)
