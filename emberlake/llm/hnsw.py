@@ -10,7 +10,7 @@ import numpy as np
 
 DEGREE, BASE_DEGREE = 8, 22
 #: Candidates kept while inserting and while searching, and how many of them are expanded in one step.
-BUILD_WIDTH, SEARCH_WIDTH, EXPAND = 12, 16, 6
+BUILD_WIDTH, SEARCH_WIDTH, EXPAND = 12, 16, 8
 LEVEL = 32
 BATCH = 512
 

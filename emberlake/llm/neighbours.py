@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from emberlake.llm import hnsw
 from emberlake.session import stage
 
-#: Vectors of a shard; a cell of more than twice as many is parted by hash, and its queries visit all parts.
-SHARD = 8000
+#: Vectors of a shard; a cell of more than MOST_SHARDS_IN_ONE times as many is parted by hash, and its queries visit all parts.
+SHARD, MOST_SHARDS_IN_ONE = 8000, 3
 #: Vectors that the coarse clustering is fitted on, and the most cells; every vector is indexed.
 MOST_SAMPLED, MOST_CELLS, FIT_ROUNDS = 50_000, 4096, 10
 #: A cell is searched too if its centre is at most this much less similar than the nearest one.
@@ -95,7 +95,7 @@ def nearest(directions: DataFrame, sample: np.ndarray, n: int, dim: int, k: int,
     s = sample @ fitted.T
     weight = n / len(sample)
     size = np.bincount(s.argmax(1), minlength=len(fitted)) * weight
-    parts = np.where(size > 2 * shard, np.ceil(size / shard), 1).astype(np.int64)
+    parts = np.where(size > MOST_SHARDS_IN_ONE * shard, np.ceil(size / shard), 1).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(parts)])  # the number of each cell's first shard
     shards = int(parts.sum())
     near_cells = s >= s.max(1)[:, None] - margin

@@ -72,4 +72,15 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p10_found": p10_found, "p10_profile": p10_profile, "p1_found": p1_found, "p2_found": p2_found, "p2_new_text": p2_new_text, "p4_found": p4_found, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
 
-SQL: dict[str, str] = {}
+_PLAIN = r"regexp_replace(lower({0}), '^[\s\p{{Z}}\p{{P}}\p{{Cf}}]+|[\s\p{{Z}}\p{{P}}\p{{Cf}}]+$', '', 'g')"
+_STAND_IN = conversations.STAND_INS.replace("'", "''")
+_BLANK = conversations.INVISIBLE
+
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH d AS (SELECT DISTINCT ON (id) * FROM items WHERE source IN ('chats_desk', 'chats_web') AND thread_id IS NOT NULL ORDER BY id, ingested_at),
+    r AS (SELECT {_PLAIN.format('sender_form')} AS form, min(speaker_role) AS role FROM speaker_roles GROUP BY 1),
+    x AS (SELECT d.*, r.role, TRY_CAST(regexp_extract(source_id, ':(\\d+)$', 1) AS BIGINT) AS no, trim(regexp_replace(content, '{_BLANK}', ' ', 'g')) AS t FROM d LEFT JOIN r ON {_PLAIN.format('d.sender')} = r.form),
+    s AS (SELECT source, thread_id FROM x GROUP BY ALL HAVING min(no) = 1 AND max(no) = count(*) AND count(DISTINCT no) = count(*) AND bool_and(coalesce(t <> '' AND NOT regexp_matches(t, '{_STAND_IN}') AND role IS NOT NULL AND timestamp IS NOT NULL, false))
+      AND arg_min(role, (timestamp, no, id)) FILTER (role IN ('user', 'assistant')) = 'user' AND arg_max(role, (timestamp, no, id)) FILTER (role IN ('user', 'assistant')) = 'assistant')
+    SELECT source, thread_id, row_number() OVER (PARTITION BY source, thread_id ORDER BY timestamp, no, id)::BIGINT AS msg_pos, id AS item_id FROM x SEMI JOIN s USING (source, thread_id)"""
+}
