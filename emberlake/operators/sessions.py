@@ -8,7 +8,7 @@ the first and the last interval, since no other can touch another block's.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.tables import distinct_items
@@ -16,7 +16,7 @@ from emberlake.tables import distinct_items
 BLOCK_US = 6 * 3600 * 1_000_000
 
 
-def _merge(df: DataFrame, keys: list[str], within: list[str]) -> DataFrame:
+def _merge(df: DataFrame, within: list[str]) -> DataFrame:
     """Number the merged intervals of rows (keys, start_us, end_us, gap_us, n) inside each ``within`` group."""
     w = Window.partitionBy(*within).orderBy("start_us", "end_us")
     reach = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -44,10 +44,10 @@ def merge_intervals(events: DataFrame, keys: list[str], block_us: int = BLOCK_US
         events.groupBy(*keys, "at_us").agg(F.sum("n").alias("n"), F.max("gap_us").alias("gap_us"))
         .select(*keys, F.floor(F.col("at_us") / block_us).alias("_block"), F.col("at_us").alias("start_us"), F.col("at_us").alias("end_us"), "gap_us", "n")
     )
-    partial = _merge(at_once, keys, [*keys, "_block"])
+    partial = _merge(at_once, [*keys, "_block"])
     in_block = Window.partitionBy(*keys, "_block")
     partial = partial.withColumn("_edge", (F.col("_no") == 1) | (F.col("_no") == F.max("_no").over(in_block)))
-    whole = _merge(partial.where("_edge"), keys, keys)
+    whole = _merge(partial.where("_edge"), keys)
     inner = partial.where(~F.col("_edge"))
     out = [*keys, "start_us", "end_us", F.col("n").alias("n_items")]
     return inner.select(*out).unionByName(whole.select(*out))
@@ -70,16 +70,3 @@ def sessionize_items(items: DataFrame, config: DataFrame, block_us: int = BLOCK_
     return merge_intervals(events, ["source", "thread_key"], block_us).select(
         "source", "thread_key", "start_us", "end_us", (F.col("end_us") - F.col("start_us")).alias("duration_us"), "n_items"
     )
-
-
-def split_by_count(events: DataFrame, keys: list[str], order: list[Column | str], gap_us: int, cap: int) -> DataFrame:
-    """Gap sessions that also restart after ``cap`` events; adds session_no to ``events(keys..., at_us)``.
-
-    For streams whose keys have bounded rate: it orders each key's rows in one window.
-    """
-    w = Window.partitionBy(*keys).orderBy("at_us", *order)
-    opens = F.coalesce((F.col("at_us") - F.lag("at_us").over(w) > gap_us).cast("int"), F.lit(0))
-    gaps = events.withColumn("_gap_no", opens)
-    gaps = gaps.withColumn("_gap_no", F.sum("_gap_no").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(*keys, "_gap_no").orderBy("at_us", *order)
-    return gaps.withColumn("cap_no", F.floor((F.row_number().over(inside) - 1) / cap).cast("long")).withColumnRenamed("_gap_no", "gap_no")

@@ -93,9 +93,9 @@ def phone_numbers(spark, d):
 _TAGS = """e AS (SELECT id, unnest(list_concat([canonical_name], coalesce(aliases, []))) AS n FROM entities WHERE coalesce(pending_review, 0) <> 2),
 nm AS (SELECT DISTINCT id AS entity_id, array_to_string(t, ' ') AS name, len(t) AS k FROM (SELECT id, regexp_extract_all(lower(n), '[\\p{L}\\p{N}]+') AS t FROM e WHERE n IS NOT NULL) WHERE len(t) BETWEEN 1 AND 5),
 tx AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents), tok AS (SELECT id, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS pos FROM tx),
-ng AS (SELECT id, pos, 1 AS k, w AS name FROM tok UNION ALL SELECT a.id, a.pos, 2, a.w || ' ' || b.w FROM tok a JOIN tok b ON a.id = b.id AND b.pos = a.pos + 1
-  UNION ALL SELECT a.id, a.pos, 3, a.w || ' ' || b.w || ' ' || c.w FROM tok a JOIN tok b ON a.id = b.id AND b.pos = a.pos + 1 JOIN tok c ON a.id = c.id AND c.pos = a.pos + 2
-  UNION ALL SELECT a.id, a.pos, 4, a.w || ' ' || b.w || ' ' || c.w || ' ' || d.w FROM tok a JOIN tok b ON a.id = b.id AND b.pos = a.pos + 1 JOIN tok c ON a.id = c.id AND c.pos = a.pos + 2 JOIN tok d ON a.id = d.id AND d.pos = a.pos + 3),
+ld AS (SELECT id, pos, w, lead(w, 1) OVER o AS b, lead(w, 2) OVER o AS c, lead(w, 3) OVER o AS d, lead(w, 4) OVER o AS e FROM tok WINDOW o AS (PARTITION BY id ORDER BY pos)),
+ng AS (SELECT id, pos, 1 AS k, w AS name FROM ld UNION ALL SELECT id, pos, 2, w || ' ' || b FROM ld UNION ALL SELECT id, pos, 3, w || ' ' || b || ' ' || c FROM ld
+  UNION ALL SELECT id, pos, 4, w || ' ' || b || ' ' || c || ' ' || d FROM ld UNION ALL SELECT id, pos, 5, w || ' ' || b || ' ' || c || ' ' || d || ' ' || e FROM ld),
 m AS (SELECT * FROM ng WHERE name IN (SELECT name FROM nm)),
 w AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.id = m.id AND o.k > m.k AND o.pos <= m.pos AND o.pos + o.k >= m.pos + m.k))"""
 

@@ -29,7 +29,7 @@ QUERIES = {"p3_found": p3_found, "p3_durations": p3_durations, "p7_found": p7_fo
 _SESSIONS = """
 WITH d AS (SELECT DISTINCT ON (id) id, source, coalesce(thread_id, '') AS thread_key, epoch_us(timestamp) AS us
            FROM items WHERE timestamp IS NOT NULL ORDER BY id, ingested_at),
-g AS (SELECT d.*, CASE WHEN us - lag(us) OVER w > c.gap_minutes * 60000000 THEN 1 ELSE 0 END AS opens
+g AS (SELECT d.*, CASE WHEN us - lag(us) OVER w > c.gap_minutes::BIGINT * 60000000 THEN 1 ELSE 0 END AS opens
       FROM d JOIN session_config c USING (source) WINDOW w AS (PARTITION BY source, thread_key ORDER BY us)),
 n AS (SELECT *, sum(opens) OVER (PARTITION BY source, thread_key ORDER BY us ROWS UNBOUNDED PRECEDING) AS no FROM g),
 s AS (SELECT source, thread_key, min(us)::BIGINT AS start_us, max(us)::BIGINT AS end_us, count(*)::BIGINT AS n_items
