@@ -13,6 +13,8 @@ DEGREE, BASE_DEGREE = 8, 22
 BUILD_WIDTH, SEARCH_WIDTH, EXPAND = 12, 16, 8
 LEVEL = 32
 BATCH = 512
+#: A full neighbour list is cut by this part.
+SLACK = 8
 
 
 class Graph:
@@ -145,7 +147,10 @@ def _connect(x: np.ndarray, links: np.ndarray, new: np.ndarray, ids: np.ndarray,
             b = b[:, (b >= 0).any(0)]
             own = x[hubs[full[a : a + BATCH]]]
             s = np.where(b >= 0, np.matmul(x[np.maximum(b, 0)], own[:, :, None])[..., 0], -np.inf)
-            links[hubs[full[a : a + BATCH]]] = _select(x, b, s, degree)
+            # Cut below the full length, so that the next links find room and not every one needs a choice.
+            links[hubs[full[a : a + BATCH]]] = -1
+            kept = _select(x, b, s, degree - degree // SLACK)
+            links[hubs[full[a : a + BATCH]], : kept.shape[1]] = kept
 
 
 def build(vectors: np.ndarray, seed: int = 0) -> Graph:
