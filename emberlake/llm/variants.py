@@ -251,10 +251,11 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _near(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
     """(a, b) pairs of forms whose cores share a band and, by their letters, may be the same; ``left(form, salt, core)``."""
     one = left.mapInPandas(_signatures, "form string, band long")
+    other = one if right is None else right.mapInPandas(_signatures, "form string, band long")
+    # A form becomes many bands, which Spark's size estimate does not see: without the hint it would broadcast them.
+    pairs = one.select("band", F.col("form").alias("a")).hint("merge").join(other.select("band", F.col("form").alias("b")), "band")
     if right is None:
-        pairs = one.select("band", F.col("form").alias("a")).join(one.select("band", F.col("form").alias("b")), "band").where("a < b")
-    else:
-        pairs = one.select("band", F.col("form").alias("a")).join(right.mapInPandas(_signatures, "form string, band long").select("band", F.col("form").alias("b")), "band")
+        pairs = pairs.where("a < b")
     core = lambda c: F.element_at(F.split(F.col(c), r"\|"), -1)
     # A swap of neighbours counts two here and one below.
     return pairs.select("a", "b").distinct().where(F.levenshtein(core("a"), core("b"), 4) >= 0)
