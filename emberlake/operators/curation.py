@@ -1,15 +1,12 @@
-"""Merging entities, building labelled sets, and following candidates through their stages."""
+"""Merging entities, building labelled sets, comparing judges and runs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.operators.evaluate import hash_bucket, split_name
 
-# Which stage may follow which.
-STAGES = {"extracted": ["scored", "failed"], "scored": ["reviewed", "failed"], "reviewed": ["committed", "rejected"], "committed": [], "rejected": [], "failed": ["extracted"]}
-
 
 def merged_links(links: DataFrame, merges: DataFrame) -> DataFrame:
     """(item_id, entity_id, confidence) after ``merges(entity_id, survivor)``: repointed, the best confidence per pair kept."""
@@ -79,15 +76,6 @@ def votes(judged: DataFrame) -> DataFrame:
     return judged.where("vote IS NOT NULL").groupBy("id").agg(F.count("*").alias("n"), (F.count_if("vote") * 2 > F.count("*")).alias("relevant"))
 
 
-def may_follow(stage: Column, then: Column) -> Column:
-    """Whether a candidate may go from one stage to another; staying is always allowed."""
-    allowed = F.lit(False)
-    for a, bs in STAGES.items():
-        if bs:
-            allowed = allowed | ((stage == a) & then.isin(bs))
-    return F.coalesce(allowed | (stage == then), F.lit(False))
-
-
 def run_window(items: DataFrame) -> DataFrame:
     """One row: first and last (ingested_at, id) of a run's items, their number, and a sum that tells item sets apart whatever their order."""
     at = F.struct(F.unix_micros("ingested_at").alias("us"), "id")

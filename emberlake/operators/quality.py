@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# How reactions that arrive as text begin.
 REACTIONS = ["Liked ", "Loved ", "Emphasized ", "Laughed at ", "Questioned ", "Disliked "]
 SHORT = 10
 
