@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.operators import fusion, lexical, vector
+from emberlake.session import stage
 
 ITEM_WEIGHTS = {"content": 1.0, "subject": 2.0, "sender": 1.0}
 SESSION_WEIGHTS = {"summary": 1.0, "participants": 1.0}
@@ -65,7 +66,7 @@ def hybrid(items: DataFrame, texts: dict[str, str], cfg: HybridConfig, sessions:
     what was found. Blank texts find nothing.
     """
     phrases = [p for q, t in texts.items() for p in lexical.phrases_of(q, t, synonyms, cfg.prefixes)]
-    scored = lexical.bm25(items, ITEM_WEIGHTS, phrases)
+    scored = stage(lexical.bm25(items, ITEM_WEIGHTS, phrases), "scored")  # several lanes read it
     allowed = passing(items, cfg).select("id")
     lanes = [fusion.lane(lexical.top_k(scored.join(allowed, "id", "left_semi"), cfg.depth()), "fts_items", "item", "fts")]
     if sessions is not None:
@@ -79,7 +80,7 @@ def hybrid(items: DataFrame, texts: dict[str, str], cfg: HybridConfig, sessions:
         newest = items.agg(F.max("timestamp").alias("now"))
         fresh = items.join(F.broadcast(newest)).where(F.col("timestamp") >= F.col("now") - F.make_dt_interval(F.lit(cfg.recency_lane_days))).select("id")  # one row
         lanes.append(fusion.lane(lexical.top_k(scored.join(fresh, "id", "left_semi").join(allowed, "id", "left_semi"), cfg.depth()), "recency", "item", "fts", cfg.recency_lane_weight))
-    fused = fusion.rrf(lanes)
+    fused = stage(fusion.rrf(lanes), "fused")
     if sessions is not None:
         fused = fusion.thread_credit(fused, items, sessions)
     if cfg.decay_tau_days > 0 and cfg.sort == "relevance":
