@@ -50,6 +50,15 @@ def phrase_table(spark: SparkSession, phrases: list[Phrase]) -> DataFrame:
     return spark.createDataFrame(rows, "query_id string, phrase int, idx int, word string, prefix boolean, words int")
 
 
+def phrases_from(queries: DataFrame, prefixes: bool = True) -> DataFrame:
+    """``phrase_table`` of ``queries(query_id, text)`` by the rules of ``phrases_of``, for query sets that grow with the data."""
+    spellings = F.array_distinct(F.filter(F.split(F.lower(F.replace("text", F.lit('"'), F.lit(" "))), r"\s+"), lambda s: F.size(tokens(s)) > 0))
+    rows = queries.where("text IS NOT NULL").select("query_id", F.posexplode(spellings).alias("phrase", "spelling")).withColumn("t", tokens(F.col("spelling")))
+    long = F.lit(prefixes) & (F.length("spelling") >= PREFIX_FROM)
+    each = rows.select("query_id", "phrase", F.posexplode("t").alias("idx", "word"), long.alias("long"), F.size("t").alias("words"))
+    return each.select("query_id", "phrase", "idx", "word", (F.col("long") & (F.col("idx") == F.col("words") - 1)).alias("prefix"), "words")
+
+
 def postings(docs: DataFrame, columns: list[str]) -> DataFrame:
     """(id, col, pos, term) of ``docs(id, columns...)``. Null texts have no terms."""
 
@@ -81,16 +90,19 @@ def phrase_hits(post: DataFrame, phrases: DataFrame, widths: list[int]) -> DataF
     return one.unionByName(runs.select("query_id", "phrase", "id", "col")).groupBy("query_id", "phrase", "id", "col").agg(F.count("*").alias("hits"))
 
 
-def bm25(docs: DataFrame, weights: dict[str, float], phrases: list[Phrase]) -> DataFrame:
+def bm25(docs: DataFrame, weights: dict[str, float], phrases: list[Phrase] | DataFrame) -> DataFrame:
     """(query_id, id, score): higher is better; only documents with a hit.
 
-    ``docs(id, columns of weights)``, one row per id. All documents count for the number of documents and the mean
+    ``docs(id, columns of weights)``, one row per id; ``phrases``: a list, or a table as of ``phrases_from``. All documents count for the number of documents and the mean
     length. A phrase's hits add up over the columns by weight; a term in over half the documents scores next
     to nothing, as in the common formula with its floor.
     """
     spark, columns = docs.sparkSession, list(weights)
-    widths = sorted({len(p.words[-1]) for p in phrases if p.prefix})
-    hits = phrase_hits(postings(docs, columns), phrase_table(spark, phrases), widths)
+    if isinstance(phrases, DataFrame):
+        wanted, widths = phrases, sorted(r["w"] for r in phrases.where("prefix").select(F.length("word").alias("w")).distinct().collect())  # word lengths
+    else:
+        wanted, widths = phrase_table(spark, phrases), sorted({len(p.words[-1]) for p in phrases if p.prefix})
+    hits = phrase_hits(postings(docs, columns), wanted, widths)
     weight = F.create_map(*[F.lit(x) for c, w in weights.items() for x in (c, float(w))])
     f = hits.groupBy("query_id", "phrase", "id").agg(F.sum(weight[F.col("col")] * F.col("hits")).alias("f"))
     found = f.groupBy("query_id", "phrase").agg(F.count("*").alias("n"))

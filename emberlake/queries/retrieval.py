@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberlake.operators import consolidate, fusion, lexical, promote, quality, signals, vector
 from emberlake.plans.retrieve import ITEM_WEIGHTS, HybridConfig, hybrid
 from emberlake.queries.relational import COLUMNS, ITEMS, LOG, MESSAGES, _log
+from emberlake.session import stage
 from emberlake.tables import distinct_items, table
 
 QUERIES: dict = {}
@@ -153,10 +154,18 @@ fused AS (SELECT query_id, id, round(s * CASE WHEN fr <= 2 AND vr <= 2 THEN 1.05
 
 
 def _fused(spark, d) -> DataFrame:
+    """The queries are all vectors with an id divisible by 20, each with the subject of the document of that id, where it has one, as text.
+
+    The SQL above still asks five fixed texts and vectors and so differs.
+    """
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "subject", F.col("author").alias("sender"))
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    near = vector.knn(v, v.where("id BETWEEN 1 AND 5").withColumnRenamed("id", "query_id"), 50).select(F.concat(F.lit("q"), F.col("query_id")).alias("query_id"), "id", "rank")
-    found = lexical.top_k(lexical.bm25(docs, ITEM_WEIGHTS, _phrases(True)), 50)
+    asked = v.where("id % 20 = 0")
+    name = F.concat(F.lit("q"), F.col("query_id")).alias("query_id")
+    near = vector.knn(v, asked.withColumnRenamed("id", "query_id"), 50).select(name, "id", "rank")
+    texts = docs.join(asked.select("id"), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("subject").alias("text")).select(name, "text")
+    phrases = stage(lexical.phrases_from(texts), "phrases")
+    found = lexical.top_k(lexical.bm25(docs, ITEM_WEIGHTS, phrases), 50)
     return fusion.rrf([fusion.lane(found, "fts_items", "item", "fts"), fusion.lane(near, "vec_items", "item", "vector")]).withColumn("id", F.col("id").cast("long"))
 
 
