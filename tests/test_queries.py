@@ -1,7 +1,9 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from emberlake.operators import lexical
-from emberlake.queries import retrieval
+from emberlake.queries import corpus, retrieval
 
 
 def _corpus(spark, folder, n=60):
@@ -27,3 +29,14 @@ def test_fused_queries_grow_with_the_vectors(spark, tmp_path):
     agree = {(r["query_id"], r["id"], r["fts_rank"], r["vector_rank"]) for r in retrieval.rank_agreement(spark, str(tmp_path)).collect()}
     assert agree == {("q20", 20, 0, 0), ("q60", 60, 0, 0)}  # document 40 has no subject, vector 0 no document
     assert retrieval.relevance_floor(spark, str(tmp_path)).where(F.col("query_id") == "q60").count() == 1
+
+
+def test_all_documents_are_stripped_and_redacted(spark, tmp_path):
+    token = "eyJ" + ".".join(["abcdefghijk"] * 3)
+    texts = ["plain", "odd\u00a0blank \u2192 \U0001f600", "[label](http://x.y) <b>bold", '{"body": "secret words"}', f"got {token} back", '"text":"x" Bearer abc', None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    md5 = lambda t: t if t is None else hashlib.md5(t.encode()).hexdigest()
+    stripped = [texts[0], "odd blank    ", "label  bold", *texts[3:]]
+    assert {r["doc_id"]: r["digest"] for r in corpus.strip_markup(spark, str(tmp_path)).collect()} == {k: md5(t) for k, t in enumerate(stripped)}
+    redacted = [*texts[:3], '{"body":"<redacted>"}', "got <redacted-jwt> back", '"text":"<redacted>" Bearer <redacted>', None]
+    assert {r["doc_id"]: r["digest"] for r in corpus.redact(spark, str(tmp_path)).collect()} == {k: md5(t) for k, t in enumerate(redacted)}
