@@ -1,8 +1,8 @@
 """Variant spellings of one person, organisation or place, linked into clusters.
 
 A reference's text is read into a core (surname, or an organisation's or place's own name) and a word
-(first name, or trade or kind of place), or an initial where the word is cut. Cores of equal word meet by
-MinHash banding over padded q-grams, are verified by Monge-Elkan similarity, and clustered by stars: frequent
+(first name, or trade or kind of place), or an initial where the word is cut. Cores of equal word meet where they
+agree but for letters left out, very long ones by MinHash banding over padded q-grams, are verified by Monge-Elkan similarity, and clustered by stars: frequent
 spellings are centres, the others join the most similar centre. Spellings with an initial join last.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, log
 
 import numpy as np
@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 from emberlake.session import stage
 
 GRAM = 3
-#: Two cores one slip apart have a similarity of SLIP or more; the bands find such a pair with probability RECALL.
-SLIP, RECALL, ROWS = 0.53, 0.96, 5
+#: Cores a slip or two apart meet surely up to LONG letters. Beyond, two swaps leave a similarity of (L-6)/(L+10), SLIP or more
+#: where no gram is repeated; the bands find such a pair with probability RECALL.
+LONG, SLIP, RECALL, ROWS = 24, 0.53, 0.96, 5
+#: The most slips between two cores, and the letters that each core must have for one.
+MOST_SLIPS, LETTERS_A_SLIP = 2, 4
 #: Words are known that stand beside this many other words, or this share of the references; MOST_WORDS at most.
 LEAST_BESIDE, SHARE_BESIDE, MOST_WORDS = 6, 0.0004, 5000
 #: The least Monge-Elkan similarity of two spellings.
@@ -233,26 +236,47 @@ def bands_for(similarity: float, recall: float, rows: int) -> int:
 _BANDS = bands_for(SLIP, RECALL, ROWS)
 
 
-def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rng = np.random.default_rng(11)
-    mult = rng.integers(1, 1 << 62, (_BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    plus = rng.integers(0, 1 << 62, (_BANDS * ROWS, 1), dtype=np.uint64)
-    for b in batches:
-        out = np.zeros((len(b), _BANDS), np.int64)
-        for k, (salt, core) in enumerate(zip(b["salt"], b["core"])):
-            padded = "#" * (GRAM - 1) + core + "#" * (GRAM - 1)
-            grams = np.array([xxhash.xxh64_intdigest(padded[i : i + GRAM]) for i in range(len(padded) - GRAM + 1)], np.uint64)
-            least = ((grams * mult + plus) >> np.uint64(8)).min(1).reshape(_BANDS, ROWS)
-            seed = xxhash.xxh64_intdigest(salt)
-            out[k] = [xxhash.xxh64_intdigest(row.tobytes(), seed=(seed + n) % (1 << 63)) >> 1 for n, row in enumerate(least)]
-        yield pd.DataFrame({"form": np.repeat(b["form"].to_numpy(object), _BANDS), "band": out.ravel()})
-
-
-def _near(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """(a, b) pairs of forms whose cores share a band and, by their letters, may be the same; ``left(form, salt, core)``."""
-    one = left.mapInPandas(_signatures, "form string, band long")
-    other = one if right is None else right.mapInPandas(_signatures, "form string, band long")
-    # A form becomes many bands, which Spark's size estimate does not see: without the hint it would broadcast them.
+def left_out(core: str, most: int) -> set[str]:
+    """``core`` with up to ``most`` letters left out. Two words ``most`` slips apart, a swap being one, share one of these."""
+    out = last = {core}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+def _signatures(most: int | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Forms by the keys at which they meet. ``most``: slips to be found; None: as many as ``_verified`` allows at a core's length."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng = np.random.default_rng(11)
+        mult = rng.integers(1, 1 << 62, (_BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        plus = rng.integers(0, 1 << 62, (_BANDS * ROWS, 1), dtype=np.uint64)
+        for b in batches:
+            forms, out = [], []
+            for form, salt, core in zip(b["form"], b["salt"], b["core"]):
+                seed = xxhash.xxh64_intdigest(salt)
+                found = []
+                if len(core) <= LONG + MOST_SLIPS:  # with room for a partner that is longer by the slips
+                    n = min(MOST_SLIPS, len(core) // LETTERS_A_SLIP) if most is None else most
+                    found += [xxhash.xxh64_intdigest(w, seed=seed) >> 1 for w in left_out(core, n)]
+                if len(core) > LONG:
+                    padded = "#" * (GRAM - 1) + core + "#" * (GRAM - 1)
+                    grams = np.array([xxhash.xxh64_intdigest(padded[i : i + GRAM]) for i in range(len(padded) - GRAM + 1)], np.uint64)
+                    least = ((grams * mult + plus) >> np.uint64(8)).min(1).reshape(_BANDS, ROWS)
+                    found += [xxhash.xxh64_intdigest(row.tobytes(), seed=(seed + n) % (1 << 63)) >> 1 for n, row in enumerate(least, 1)]
+                forms += [form] * len(found)
+                out += found
+            yield pd.DataFrame({"form": np.array(forms, object), "band": np.array(out, np.int64)})
+
+    return keys
+
+
+def _near(left: DataFrame, right: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(a, b) pairs of forms whose cores share a key and, by their letters, may be the same; ``left(form, salt, core)``."""
+    one = left.mapInPandas(_signatures(most), "form string, band long")
+    other = one if right is None else right.mapInPandas(_signatures(most), "form string, band long")
+    # A form becomes many keys, which Spark's size estimate does not see: without the hint it would broadcast them.
     pairs = one.select("band", F.col("form").alias("a")).hint("merge").join(other.select("band", F.col("form").alias("b")), "band")
     if right is None:
         pairs = pairs.where("a < b")
@@ -268,7 +292,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
             for a, b in zip(p["a"], p["b"]):
                 x, y = a.split("|"), b.split("|")
                 n = slips(x[-1], y[-1])
-                if n <= 2 and n <= min(len(x[-1]), len(y[-1])) // 4 and monge_elkan([t for t in x[1:] if t], [t for t in y[1:] if t]) >= SAME:
+                if n <= MOST_SLIPS and n <= min(len(x[-1]), len(y[-1])) // LETTERS_A_SLIP and monge_elkan([t for t in x[1:] if t], [t for t in y[1:] if t]) >= SAME:
                     rows.append((a, b, n))
             yield pd.DataFrame(rows, columns=["a", "b", "n"]).astype({"n": "int32"})
 
@@ -326,7 +350,7 @@ def clusters(references: DataFrame) -> DataFrame:
     by_letter = F.concat_ws("|", "kind", F.substring(F.split_part("form", F.lit("|"), F.lit(2)), 1, 1))
     people = full.where("kind = 'person'").select("form", by_letter.alias("salt"), "core")
     cut = refs.where(~has_word).select(short.alias("form"), F.concat_ws("|", "kind", "initial").alias("salt"), "core").distinct()
-    met = _near(cut, people)
+    met = _near(cut, people, 1)
     gaps = F.udf(lambda a, b: slips(a.split("|")[-1], b.split("|")[-1]), "int")
     fits = met.withColumn("n", gaps("a", "b")).where("n <= 1").join(centre.select(F.col("form").alias("b"), "centre"), "b")
     # The exact core counts before one a slip away.

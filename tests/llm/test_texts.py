@@ -154,3 +154,22 @@ def test_similarities():
     assert variants.slips("abcd", "abdc") == 1 and variants.slips("abcd", "xyz", 2) == 3 and variants.slips("", "ab") == 2
     assert variants.monge_elkan(["k", "berg"], ["katherine", "berg"]) > 0.95 > variants.monge_elkan(["mei", "berg"], ["omar", "berg"])
     assert variants.bands_for(0.5, 0.95, 4) == 47 and variants.fold("Åse Ø. Æ") == "ase o. ae"
+
+
+def test_cores_within_the_slips_always_meet(spark):
+    rng = random.Random(3)
+    rows, want = [], set()
+    swap = lambda w, i: w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+    for k in range(300):
+        size = rng.randint(5, 14)  # shorter ones fall below SAME, as do two slips in eight letters
+        a = "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", size))
+        b = swap(a, size // 2) if size < 9 else rng.choice([swap(swap(a, 1), size - 2), swap(a, 3)[:-1], "#" + a[1:] + "#"])
+        rows += [(f"person|w{k}|{c}", f"person|w{k}", c) for c in (a, b)]
+        want.add(tuple(sorted(f"person|w{k}|{c}" for c in (a, b))))
+    rows += [(f"person|x|{c}", "person|x", c) for c in ("abcdefghijklmnopqrstuvwx", "abcdefghijklmnopqrstuvwxyz")]  # over the bound between the two ways
+    want.add(("person|x|abcdefghijklmnopqrstuvwx", "person|x|abcdefghijklmnopqrstuvwxyz"))
+    forms = spark.createDataFrame(rows, "form string, salt string, core string")
+    assert {(r["a"], r["b"]) for r in variants._verified(variants._near(forms)).collect()} == want
+    cut = spark.createDataFrame([("person|k|lie", "person|k", "lie")], "form string, salt string, core string")
+    people = spark.createDataFrame([("person|kari|lei", "person|k", "lei")], "form string, salt string, core string")
+    assert variants._near(cut, people, 1).count() == 1
