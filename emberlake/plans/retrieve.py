@@ -58,14 +58,40 @@ def passing(items: DataFrame, cfg: HybridConfig) -> DataFrame:
     return items.where(keep)
 
 
-def hybrid(items: DataFrame, texts: dict[str, str], cfg: HybridConfig, sessions: DataFrame | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
-    """(query_id, place, kind, id, score) for each of ``texts`` (query id to text).
+def rare_lanes(items: DataFrame, phrases: DataFrame, allowed: DataFrame, cfg: HybridConfig, sessions: DataFrame | None) -> list[DataFrame]:
+    """Each word of at most ``rare_term_df`` items searched alone, with all its items; hits dealt out by rank. Queries of one word have no such lane."""
+    more = phrases.groupBy("query_id").agg(F.count_distinct("phrase").alias("n")).where("n > 1").select("query_id")
+    # Every word is a query of its own.
+    words = stage(phrases.join(more, "query_id", "left_semi").withColumn("query_id", F.to_json(F.struct("query_id", "phrase"))), "words")
+    found = stage(lexical.bm25(items, ITEM_WEIGHTS, words), "words_found")
+    rare = found.groupBy("query_id").agg(F.count("*").alias("df")).where(F.col("df") <= cfg.rare_term_df).select("query_id")
+
+    def dealt(scored: DataFrame, k: int) -> DataFrame:
+        key = F.from_json("query_id", "query_id string, phrase int")
+        return lexical.interleaved(lexical.top_k(scored, k).select(key["query_id"].alias("query_id"), key["phrase"].alias("lane"), "id", "rank"))
+
+    of_items = found.join(rare, "query_id", "left_semi").join(allowed, "id", "left_semi")
+    lanes = [fusion.lane(dealt(of_items, cfg.rare_term_df), "rare_items", "item", "fts", cfg.rare_term_weight)]
+    if sessions is not None:
+        of_sessions = lexical.bm25(sessions, SESSION_WEIGHTS, stage(words.join(rare, "query_id", "left_semi"), "rare_words"))
+        lanes.append(fusion.lane(dealt(of_sessions, cfg.depth()), "rare_sessions", "session", "fts", cfg.rare_term_weight))
+    return lanes
+
+
+def hybrid(items: DataFrame, texts: dict[str, str] | DataFrame, cfg: HybridConfig, sessions: DataFrame | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """(query_id, place, kind, id, score) for each of ``texts`` (query id to text, or a table (query_id, text), which takes no synonyms).
 
     ``items``: distinct items; ``sessions(id, thread_id, summary, participants)``; ``vectors(id, embedding)`` and
     ``query_vectors(query_id, embedding)`` make a dense lane. Corpus statistics count all items, filters apply to
-    what was found. Blank texts find nothing.
+    what was found. Blank texts find nothing in words.
     """
-    phrases = [p for q, t in texts.items() for p in lexical.phrases_of(q, t, synonyms, cfg.prefixes)]
+    if isinstance(texts, DataFrame):
+        if synonyms:
+            raise ValueError("synonyms need the texts as a dictionary")
+        phrases = literal = stage(lexical.phrases_from(texts, cfg.prefixes), "phrases")
+    else:
+        phrases = [p for q, t in texts.items() for p in lexical.phrases_of(q, t, synonyms, cfg.prefixes)]
+        literal = lexical.phrase_table(items.sparkSession, [p for q, t in texts.items() for p in lexical.phrases_of(q, t, None, cfg.prefixes)])
     scored = stage(lexical.bm25(items, ITEM_WEIGHTS, phrases), "scored")  # several lanes read it
     allowed = passing(items, cfg).select("id")
     lanes = [fusion.lane(lexical.top_k(scored.join(allowed, "id", "left_semi"), cfg.depth()), "fts_items", "item", "fts")]
@@ -80,6 +106,8 @@ def hybrid(items: DataFrame, texts: dict[str, str], cfg: HybridConfig, sessions:
         newest = items.agg(F.max("timestamp").alias("now"))
         fresh = items.join(F.broadcast(newest)).where(F.col("timestamp") >= F.col("now") - F.make_dt_interval(F.lit(cfg.recency_lane_days))).select("id")  # one row
         lanes.append(fusion.lane(lexical.top_k(scored.join(fresh, "id", "left_semi").join(allowed, "id", "left_semi"), cfg.depth()), "recency", "item", "fts", cfg.recency_lane_weight))
+    if cfg.rare_term_df > 0:
+        lanes += rare_lanes(items, literal, allowed, cfg, sessions)
     fused = stage(fusion.rrf(lanes), "fused")
     if sessions is not None:
         fused = fusion.thread_credit(fused, items, sessions)

@@ -264,10 +264,18 @@ def thread_credit(spark, d):
 
 @query()
 def hybrid_query(spark, d):
-    """The whole plan: lexical and recency lanes over items and sessions, credits, decay and floor."""
-    sessions = _sessions(spark, d).select("id", "thread_id", F.col("content").alias("summary"), F.lit("").alias("participants"))
-    cfg = HybridConfig(top_k=20, recency_lane_days=14, decay_tau_days=60, relevance_floor=0.2)
-    return hybrid(_items(spark, d), TEXTS, cfg, sessions)
+    """The whole plan over items, documents and sessions: lexical, dense, recency and rare-word lanes, credits, decay and floor.
+
+    Only documents have vectors. The queries are those of ``rrf_fuse``, named by their number.
+    """
+    sessions = stage(_sessions(spark, d).select("id", "thread_id", F.col("content").alias("summary"), F.lit("").alias("participants")), "sessions")
+    documents = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "source", F.col("created_at").cast("timestamp").alias("timestamp"), F.col("author").alias("sender"), F.col("text").alias("content"), "subject", "lang")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = vectors.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    texts = documents.join(asked.select(F.col("query_id").cast("string").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("subject").alias("text"))
+    cfg = HybridConfig(top_k=20, recency_lane_days=14, rare_term_df=25, decay_tau_days=60, relevance_floor=0.2)
+    items = stage(_items(spark, d).unionByName(documents, allowMissingColumns=True), "items")  # all lanes read it
+    return hybrid(items, texts, cfg, sessions, vectors, asked)
 
 
 @query(f"""WITH {ITEMS}, x AS (SELECT id, CASE WHEN promoted_to IS NOT NULL OR source = 'tier2_ledger' THEN 'curated' WHEN source = 'email' THEN 'authored' WHEN source IN ('imessage', 'signal') THEN 'conversational'

@@ -3,6 +3,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from emberlake.operators import lexical
+from emberlake.plans.retrieve import HybridConfig, hybrid
 from emberlake.queries import corpus, retrieval
 
 
@@ -40,3 +41,17 @@ def test_all_documents_are_stripped_and_redacted(spark, tmp_path):
     assert {r["doc_id"]: r["digest"] for r in corpus.strip_markup(spark, str(tmp_path)).collect()} == {k: md5(t) for k, t in enumerate(stripped)}
     redacted = [*texts[:3], '{"body":"<redacted>"}', "got <redacted-jwt> back", '"text":"<redacted>" Bearer <redacted>', None]
     assert {r["doc_id"]: r["digest"] for r in corpus.redact(spark, str(tmp_path)).collect()} == {k: md5(t) for k, t in enumerate(redacted)}
+
+
+def test_rare_words_reach_past_the_depth_of_an_index(spark):
+    cols = "id string, source string, thread_id string, timestamp timestamp, sender string, content string, subject string, junk_reason string, lang string, timestamp_inferred boolean"
+    long = "zebra " + "filler " * 60
+    rows = [(str(k), "s", None, None, "a", "common words" if k < 4 else long if k == 4 else "nothing here", None, None, "en", False) for k in range(30)]
+    items = spark.createDataFrame(rows, cols)
+    cut = HybridConfig(per_index_k=1)
+    texts = {"q": "common words zebra", "one": "zebra"}
+    found = lambda cfg, t: {(r["query_id"], r["id"]): r["score"] for r in hybrid(items, t, cfg).collect()}
+    plain, rare = found(cut, texts), found(HybridConfig(per_index_k=1, rare_term_df=1, rare_term_weight=2.0), texts)
+    assert ("q", "4") not in plain and rare["q", "4"] > rare["q", "0"] and plain["one", "4"] == rare["one", "4"]
+    table = spark.createDataFrame(list(texts.items()), "query_id string, text string")
+    assert found(HybridConfig(per_index_k=1, rare_term_df=1, rare_term_weight=2.0), table) == rare
