@@ -1,20 +1,28 @@
-"""A hierarchical navigable small-world graph in flat arrays, built and searched for many vectors at a time.
+"""A hierarchical navigable small-world graph in flat arrays, built and searched for groups of near vectors at a time.
 
 Layer 0 holds every vector, each higher one a random LEVEL-th part of the one below. A layer is one array of
-neighbour numbers, -1 where a list ends. Vectors are unit length; similarity is the dot product.
+neighbour numbers, -1 where a list ends. Vectors are unit length; similarity is the dot product. Queries that
+come down to one place walk a layer together: whatever one of them meets is measured for all of them by one
+matrix product, and a vector is expanded if it is among the best of any.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-DEGREE, BASE_DEGREE = 8, 22
-#: Candidates kept while inserting and while searching, and how many of them are expanded in one step.
-BUILD_WIDTH, SEARCH_WIDTH, EXPAND = 12, 16, 8
+DEGREE, BASE_DEGREE = 8, 24
+#: Candidates kept of each vector while inserting, of a vector searched from itself, and of one that comes from elsewhere.
+BUILD_WIDTH, SEARCH_WIDTH, VISIT_WIDTH = 16, 24, 48
 LEVEL = 32
-BATCH = 512
+#: Places of the layer above from which a walk begins.
+ENTRIES = 8
+BATCH, GROUP = 1024, 64
 #: A full neighbour list is cut by this part.
-SLACK = 8
+SLACK = 4
+#: The nearest candidates among which links that lead away are looked for.
+DIVERSE = 16
 
 
 class Graph:
@@ -31,69 +39,64 @@ class Graph:
         parts = [x.reshape(n, -1) for x in np.split(flat, ends[:-1])]
         return cls(np.frombuffer(vectors, np.float32).reshape(n, -1), parts, entry)
 
-    def _beam(self, layer: int, queries: np.ndarray, start: np.ndarray, width: int, expand: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``width`` most similar vectors that a walk over one layer meets, as (numbers, similarities); -1 pads."""
-        x, links = self.vectors, self.layers[layer]
-        q, w = len(queries), max(width, start.shape[1])
-        ids = np.full((q, w), -1, np.int64)
-        sims = np.full((q, w), -np.inf, np.float32)
-        done = np.ones((q, w), bool)
-        ids[:, : start.shape[1]] = start
-        real = start >= 0
-        sims[:, : start.shape[1]] = np.where(real, np.matmul(x[start], queries[:, :, None])[..., 0], -np.inf)
-        done[:, : start.shape[1]] = ~real
-        seen = np.zeros((q, len(x) + 1), bool)  # the last column takes the padding
-        np.put_along_axis(seen, np.where(real, start, len(x)), True, 1)
-        live = np.arange(q)
-        while len(live):
-            # Of what is not expanded yet, the most similar.
-            waiting = np.where(done[live], -np.inf, sims[live])
-            pick = np.argpartition(-waiting, min(expand, w) - 1, 1)[:, :expand]
-            chosen = np.take_along_axis(waiting, pick, 1) > -np.inf
-            keep = chosen.any(1)
-            live, pick, chosen = live[keep], pick[keep], chosen[keep]
-            if not len(live):
-                break
-            rows = live[:, None]
-            done[rows, pick] = True
-            near = np.where(chosen[..., None], links[np.where(chosen, ids[rows, pick], 0)], -1).reshape(len(live), -1)
-            near = np.sort(np.where(near < 0, len(x), near), 1)
-            fresh = ~seen[rows, near]
-            fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
-            fresh &= near < len(x)
-            seen[rows, near] = True
-            most = int(fresh.sum(1).max())
-            if not most:
-                continue
-            if most < near.shape[1]:
-                front = np.argsort(~fresh, 1, kind="stable")[:, :most]
-                near, fresh = np.take_along_axis(near, front, 1), np.take_along_axis(fresh, front, 1)
-            near = np.where(fresh, near, 0)
-            new = np.where(fresh, np.matmul(x[near], queries[live][:, :, None])[..., 0], -np.inf)
-            all_ids, all_sims = np.concatenate([ids[live], near], 1), np.concatenate([sims[live], new], 1)
-            all_done = np.concatenate([done[live], ~fresh], 1)
-            best = np.argpartition(-all_sims, w - 1, 1)[:, :w]
-            ids[live], sims[live], done[live] = (np.take_along_axis(a, best, 1) for a in (all_ids, all_sims, all_done))
-        ids[sims == -np.inf] = -1
-        return ids, sims
+    def _walk(self, layer: int, queries: np.ndarray, start: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` most similar vectors that a group of queries meets in one layer, best first, as (numbers, similarities).
 
-    def _descend(self, queries: np.ndarray, to: int) -> np.ndarray:
+        From the distinct numbers ``start``, the neighbours of all that is among the ``width`` best of any query so
+        far are met, until nothing new is.
+        """
+        x, links = self.vectors, self.layers[layer]
+        seen = np.zeros(len(x) + 1, bool)
+        seen[-1] = seen[start] = True  # the last place takes the padding
+        best = np.full((len(queries), width), -np.inf, np.float32)
+        new, numbers, sims = start, [], []
+        while len(new):
+            s = queries @ x[new].T
+            best = np.partition(np.concatenate([best, s], 1), s.shape[1], 1)[:, s.shape[1] :]
+            good = (s >= best.min(1)[:, None]).any(0)
+            front = new[good]
+            numbers.append(front)
+            sims.append(s[:, good])
+            near = links[front].ravel()
+            near = near[~seen[near]]
+            seen[near] = True
+            new = np.unique(near)
+        ids, s = np.concatenate(numbers), np.concatenate(sims, 1)
+        k = min(k, len(ids))
+        pick = np.argpartition(-s, k - 1, 1)[:, :k]
+        s = np.take_along_axis(s, pick, 1)
+        order = np.argsort(-s, 1, kind="stable")
+        return ids[np.take_along_axis(pick, order, 1)], np.take_along_axis(s, order, 1)
+
+    def _entries(self, queries: np.ndarray, to: int) -> np.ndarray:
+        """Up to ENTRIES places of the layer above ``to`` that are nearest to each query, best first; repeats pad."""
         at = np.full((len(queries), 1), self.entry, np.int64)
         for layer in range(len(self.layers) - 1, to, -1):
-            at, _ = self._beam(layer, queries, at, 3, 1)
+            below = np.empty((len(queries), ENTRIES), np.int64)
+            for rows in _groups(at[:, 0], 4 * GROUP):
+                ids, _ = self._walk(layer, queries[rows], np.unique(at[rows]), ENTRIES, ENTRIES)
+                below[rows] = ids[:, np.minimum(np.arange(ENTRIES), ids.shape[1] - 1)]
+            at = below
         return at
 
-    def search(self, queries: np.ndarray, k: int, start: np.ndarray | None = None, width: int = SEARCH_WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, k: int, start: np.ndarray | None = None, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` most similar vectors of each query, best first. ``start``: each query's own number, if it is in the graph."""
-        out_ids, out_sims = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -np.inf, np.float32)
-        for a in range(0, len(queries), BATCH):
-            part = queries[a : a + BATCH]
-            at = self._descend(part, 0) if start is None else start[a : a + BATCH, None]
-            ids, sims = self._beam(0, part, at, max(width, k), EXPAND)
-            best = np.argsort(-sims, 1, kind="stable")[:, :k]
-            out_ids[a : a + BATCH, : best.shape[1]] = np.take_along_axis(ids, best, 1)
-            out_sims[a : a + BATCH, : best.shape[1]] = np.take_along_axis(sims, best, 1)
-        return out_ids, out_sims
+        width = max(k, width or (VISIT_WIDTH if start is None else SEARCH_WIDTH))
+        ids, sims = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -np.inf, np.float32)
+        at = self._entries(queries, 0)
+        for rows in _groups(at[:, 0], GROUP):
+            begin = np.unique(at[rows] if start is None else np.concatenate([at[rows, 0], start[rows]]))
+            i, s = self._walk(0, queries[rows], begin, width, k)
+            ids[rows, : i.shape[1]], sims[rows, : i.shape[1]] = i, s
+        return ids, sims
+
+
+def _groups(place: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """The rows of each place, ``most`` at a time."""
+    order = np.argsort(place, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+        for a in range(0, len(rows), most):
+            yield rows[a : a + most]
 
 
 def _select(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, degree: int) -> np.ndarray:
@@ -101,11 +104,11 @@ def _select(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, degree: int) -> np
     order = np.argsort(-sims, 1, kind="stable")[:, : degree + degree // 3]
     ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
     real = sims > -np.inf
-    v = x[np.where(real, ids, 0)]
+    n = min(ids.shape[1], DIVERSE)
+    v = x[np.where(real, ids, 0)[:, :n]]
     between = np.matmul(v, v.transpose(0, 2, 1))
-    n = ids.shape[1]
     apart = np.zeros(ids.shape, bool)
-    nearest = np.full(ids.shape, -np.inf, np.float32)  # to any chosen one
+    nearest = np.full((len(ids), n), -np.inf, np.float32)  # to any chosen one
     for k in range(n):
         apart[:, k] = real[:, k] & (sims[:, k] > nearest[:, k])
         nearest = np.where(apart[:, k, None], np.maximum(nearest, between[:, k]), nearest)
@@ -142,15 +145,15 @@ def _connect(x: np.ndarray, links: np.ndarray, new: np.ndarray, ids: np.ndarray,
         slot[full] = np.arange(len(full))
         hard = ~easy
         back[slot[at[hard]], degree + place[hard]] = source[hard]
-        for a in range(0, len(full), BATCH):
-            b = back[a : a + BATCH]
+        for a in range(0, len(full), BATCH // 2):
+            b = back[a : a + BATCH // 2]
             b = b[:, (b >= 0).any(0)]
-            own = x[hubs[full[a : a + BATCH]]]
+            own = x[hubs[full[a : a + BATCH // 2]]]
             s = np.where(b >= 0, np.matmul(x[np.maximum(b, 0)], own[:, :, None])[..., 0], -np.inf)
             # Cut below the full length, so that the next links find room and not every one needs a choice.
-            links[hubs[full[a : a + BATCH]]] = -1
+            links[hubs[full[a : a + BATCH // 2]]] = -1
             kept = _select(x, b, s, degree - degree // SLACK)
-            links[hubs[full[a : a + BATCH]], : kept.shape[1]] = kept
+            links[hubs[full[a : a + BATCH // 2]], : kept.shape[1]] = kept
 
 
 def build(vectors: np.ndarray, seed: int = 0) -> Graph:
@@ -173,8 +176,13 @@ def build(vectors: np.ndarray, seed: int = 0) -> Graph:
             in_layer = np.flatnonzero(level[new] >= layer)
             if at == 0:
                 continue
-            start = graph._descend(q[in_layer], layer)
-            ids, sims = graph._beam(layer, q[in_layer], start, BUILD_WIDTH, EXPAND)
+            places = graph._entries(q[in_layer], layer)
+            ids, sims = np.full((len(in_layer), BUILD_WIDTH), -1, np.int64), np.full((len(in_layer), BUILD_WIDTH), -np.inf, np.float32)
+            order_near = np.argsort(places[:, 0], kind="stable")  # few come down to one place: neighbouring ones walk together
+            for a in range(0, len(order_near), GROUP):
+                rows = order_near[a : a + GROUP]
+                i, s = graph._walk(layer, q[in_layer[rows]], np.unique(places[rows]), BUILD_WIDTH, BUILD_WIDTH)
+                ids[rows, : i.shape[1]], sims[rows, : i.shape[1]] = i, s
             # The batch's own members are candidates too.
             mates = own[np.ix_(in_layer, in_layer)]
             k = min(8, mates.shape[1])

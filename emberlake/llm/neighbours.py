@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -25,9 +24,9 @@ from emberlake.session import stage
 #: Vectors of a shard; a cell of more than MOST_SHARDS_IN_ONE times as many is parted by hash, and its queries visit all parts.
 SHARD, MOST_SHARDS_IN_ONE = 8000, 3
 #: Vectors that the coarse clustering is fitted on, and the most cells; every vector is indexed.
-MOST_SAMPLED, MOST_CELLS, FIT_ROUNDS = 50_000, 4096, 10
+MOST_SAMPLED, SAMPLED_A_CELL, MOST_CELLS, FIT_ROUNDS = 50_000, 256, 4096, 10
 #: A cell is searched too if its centre is at most this much less similar than the nearest one.
-MARGIN = 0.05
+MARGIN = 0.08
 #: Queries that one task takes to one graph.
 CHUNK = 20_000
 #: Digits to which equal directions agree.
@@ -59,6 +58,16 @@ def _matrix(rows, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float32).reshape(-1, dim)
 
 
+def _vectors(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """The vectors of a column of their bytes, which lie one behind the other."""
+    parts = [np.zeros((0, dim), np.float32)]
+    for c in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(c):
+            ends = np.frombuffer(c.buffers()[1], np.int32)
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[ends[c.offset] : ends[c.offset + len(c)]].view(np.float32).reshape(-1, dim))
+    return np.concatenate(parts)
+
+
 def _centres(sample: np.ndarray, cells: int) -> np.ndarray:
     rng = np.random.default_rng(5)
     centres = sample[rng.choice(len(sample), cells, replace=False)].copy()
@@ -80,7 +89,7 @@ def _sampled(vectors: DataFrame, id_column: str, vector_column: str, dim: int, n
 
 
 def nearest(directions: DataFrame, sample: np.ndarray, n: int, dim: int, k: int, shard: int = SHARD, margin: float = MARGIN) -> DataFrame:
-    """(h, near, sim): for each of ``directions(id, h, v)``, its ``k`` most similar others that the search meets; repeats of h count once.
+    """(h, near, sim): for each of ``directions(id, h, v)`` and each shard it visits, the ``k`` most similar others there; repeats of h count once.
 
     ``n``: the number of distinct h; ``sample``: vectors that the cells are fitted on. The number of shards grows
     with n, their size does not. Each vector goes to its own shard's graph, and as a visitor to those of near
@@ -103,18 +112,20 @@ def nearest(directions: DataFrame, sample: np.ndarray, n: int, dim: int, k: int,
     crowded = visitors > 2 * CHUNK
     shared = spark.sparkContext.broadcast((fitted, parts, first))
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, parts, first = shared.value
         seen: set[int] = set()
         for b in batches:
-            b = b.drop_duplicates("h")
-            b = b[~b["h"].isin(seen)]  # a direction of very many copies travels once per task
+            h, at = np.unique(b.column("h").to_numpy(), return_index=True)
+            fresh = np.array([x not in seen for x in h.tolist()], bool)  # a direction of very many copies travels once per task
+            h, at = h[fresh], at[fresh]
             if len(seen) > 500_000:
                 seen.clear()
-            seen.update(b["h"].tolist())
-            if not len(b):
+            seen.update(h.tolist())
+            if not len(h):
                 continue
-            h, v, s = b["h"].to_numpy(np.int64), b["v"].to_numpy(), _matrix(b["v"], dim) @ centres.T
+            v = b.column("v").take(pa.array(at))
+            s = _vectors(v, dim) @ centres.T
             home = s.argmax(1)
             own = first[home] + h % parts[home]
             rows, cell = np.nonzero(s >= s.max(1)[:, None] - margin)
@@ -122,66 +133,71 @@ def nearest(directions: DataFrame, sample: np.ndarray, n: int, dim: int, k: int,
             rows, to = np.repeat(rows, each), np.repeat(first[cell], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
             away = to != own[rows]
             to, rows = np.concatenate([own, to[away]]), np.concatenate([np.arange(len(h)), rows[away]])
-            yield pd.DataFrame({"shard": to, "is_own": np.arange(len(to)) < len(h), "h": h[rows], "v": v[rows]})
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.arange(len(to)) < len(h)), pa.array(h[rows]), v.take(pa.array(rows))], ["shard", "is_own", "h", "v"])
 
-    sent = directions.mapInPandas(send, "shard long, is_own boolean, h long, v binary")
+    sent = directions.select("h", "v").mapInArrow(send, "shard long, is_own boolean, h long, v binary")
 
-    def result(h: np.ndarray, hs: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> pd.DataFrame:
-        near = np.where(ids >= 0, hs[np.maximum(ids, 0)], 0)
+    schema = pa.schema([("h", pa.int64()), ("near", pa.int64()), ("sim", pa.float32())])
+
+    def result(h: np.ndarray, hs: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> pa.Table:
+        near = np.where(ids >= 0, hs[np.maximum(ids, 0)], 0) if len(hs) else np.zeros(ids.shape, np.int64)
         keep = (ids >= 0) & (near != h[:, None])
         keep &= np.cumsum(keep, 1) <= k
-        return pd.DataFrame({"h": h[np.nonzero(keep)[0]], "near": near[keep], "sim": sims[keep]})
+        return pa.Table.from_arrays([pa.array(h[np.nonzero(keep)[0]]), pa.array(near[keep]), pa.array(sims[keep])], schema=schema)
+
+    def once(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Each h once, in order, with its vector."""
+        h, at = np.unique(t.column("h").to_numpy(), return_index=True)
+        return h, _vectors(t.column("v"), dim)[at]
 
-    def grown(own: pd.DataFrame) -> tuple[np.ndarray, hnsw.Graph]:
-        own = own.drop_duplicates("h").sort_values("h")
-        return own["h"].to_numpy(np.int64), hnsw.build(_matrix(own["v"], dim))
+    def grown(own: pa.Table) -> tuple[np.ndarray, hnsw.Graph]:
+        hs, x = once(own)
+        return hs, hnsw.build(x)
 
-    def visited(hs: np.ndarray, graph: hnsw.Graph, asked: pd.DataFrame) -> pd.DataFrame:
-        asked = asked.drop_duplicates("h")
-        return result(asked["h"].to_numpy(np.int64), hs, *graph.search(_matrix(asked["v"], dim), k)) if len(hs) and len(asked) else pd.DataFrame({"h": np.zeros(0, np.int64), "near": np.zeros(0, np.int64), "sim": np.zeros(0, np.float32)})
+    def inside(hs: np.ndarray, graph: hnsw.Graph) -> pa.Table:
+        return result(hs, hs, *graph.search(graph.vectors, k + 1, np.arange(len(hs))))
+
+    def visited(hs: np.ndarray, graph: hnsw.Graph, asked: pa.Table) -> pa.Table:
+        h, x = once(asked)
+        return result(h, hs, *graph.search(x, k)) if len(hs) and len(h) else schema.empty_table()
 
-    def build_and_search(b: pd.DataFrame) -> pd.DataFrame:
-        own = b[b["is_own"]]
+    def build_and_search(t: pa.Table) -> pa.Table:
+        own = t.filter(t.column("is_own"))
         if not len(own):
-            return visited(np.zeros(0, np.int64), None, own)
+            return schema.empty_table()
         hs, graph = grown(own)
-        inside = result(hs, hs, *graph.search(graph.vectors, k + 1, np.arange(len(hs))))
-        return pd.concat([inside, visited(hs, graph, b[~b["is_own"]])])
+        return pa.concat_tables([inside(hs, graph), visited(hs, graph, t.filter(pc.invert(t.column("is_own"))))])
 
     quiet = sent if not crowded.any() else sent.where(~F.col("shard").isin([int(x) for x in np.flatnonzero(crowded)]))
-    met = quiet.repartition(shards, "shard").groupBy("shard").applyInPandas(build_and_search, "h long, near long, sim float")
+    met = quiet.repartition(shards, "shard").groupBy("shard").applyInArrow(build_and_search, "h long, near long, sim float")
     if crowded.any():
-        met = met.unionByName(_crowded(sent.where(F.col("shard").isin([int(x) for x in np.flatnonzero(crowded)])), {int(x): ceil(visitors[x] / CHUNK) for x in np.flatnonzero(crowded)}, grown, visited, k, result))
-    found = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("sim")).alias("less"), "near"))), 1, k)
-    return met.groupBy("h").agg(found.alias("f")).select("h", F.explode("f").alias("f")).select("h", "f.near", (-F.col("f.less")).alias("sim"))
+        met = met.unionByName(_crowded(sent.where(F.col("shard").isin([int(x) for x in np.flatnonzero(crowded)])), {int(x): ceil(visitors[x] / CHUNK) for x in np.flatnonzero(crowded)}, grown, inside, visited, schema))
+    return met
 
 
-def _crowded(sent: DataFrame, chunks: dict[int, int], grown, visited, k: int, result) -> DataFrame:
+def _crowded(sent: DataFrame, chunks: dict[int, int], grown, inside, visited, schema: pa.Schema) -> DataFrame:
     """(h, near, sim) for shards of very many visitors: graphs go to a table, and each chunk of visitors to one task."""
 
-    def build(own: pd.DataFrame) -> pd.DataFrame:
+    def build(own: pa.Table) -> pa.Table:
         hs, graph = grown(own)
         vectors, links, size, layers, entry = graph.to_bytes()
-        return pd.DataFrame({"shard": [own["shard"].iloc[0]], "hs": [hs.tobytes()], "vectors": [vectors], "links": [links], "layers": [layers], "entry": [entry], "n": [size]})
+        return pa.Table.from_pydict({"shard": own.column("shard")[:1], "hs": [hs.tobytes()], "vectors": [vectors], "links": [links], "layers": pa.array([layers], pa.int32()), "entry": pa.array([entry], pa.int32()), "n": pa.array([size], pa.int32())})
 
-    def opened(j: pd.Series) -> tuple[np.ndarray, hnsw.Graph]:
-        return np.frombuffer(j["hs"], np.int64), hnsw.Graph.from_bytes(j["vectors"], j["links"], int(j["n"]), int(j["layers"]), int(j["entry"]))
-
-    def inside(b: pd.DataFrame) -> pd.DataFrame:
-        hs, graph = opened(b.iloc[0])
-        return result(hs, hs, *graph.search(graph.vectors, k + 1, np.arange(len(hs))))
+    def opened(t: pa.Table) -> tuple[np.ndarray, hnsw.Graph]:
+        j = t.slice(0, 1).to_pylist()[0]
+        return np.frombuffer(j["hs"], np.int64), hnsw.Graph.from_bytes(j["vectors"], j["links"], j["n"], j["layers"], j["entry"])
 
-    def search(jobs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        return visited(*(opened(jobs.iloc[0]) if len(jobs) else (np.zeros(0, np.int64), None)), asked)
+    def search(jobs: pa.Table, asked: pa.Table) -> pa.Table:
+        return visited(*opened(jobs), asked) if len(jobs) else schema.empty_table()
 
     many = F.element_at(F.create_map(*[F.lit(x) for c, n in chunks.items() for x in (c, n)]), F.col("shard"))
-    graphs = sent.where("is_own").repartition(len(chunks), "shard").groupBy("shard").applyInPandas(build, "shard long, hs binary, vectors binary, links binary, layers int, entry int, n int")
+    graphs = sent.where("is_own").repartition(len(chunks), "shard").groupBy("shard").applyInArrow(build, "shard long, hs binary, vectors binary, links binary, layers int, entry int, n int")
     graphs = stage(graphs, "graphs")
     jobs = graphs.withColumn("chunk", F.explode(F.sequence(F.lit(0), many - 1)))
     asked = sent.where("NOT is_own").withColumn("chunk", F.pmod(F.xxhash64("h"), many.cast("long")).cast("int"))
     key, width = ["shard", "chunk"], sum(chunks.values())
-    own = graphs.groupBy("shard").applyInPandas(inside, "h long, near long, sim float")
-    return own.unionByName(jobs.repartition(width, *key).groupBy(*key).cogroup(asked.repartition(width, *key).groupBy(*key)).applyInPandas(search, "h long, near long, sim float"))
+    own = graphs.groupBy("shard").applyInArrow(lambda t: inside(*opened(t)), "h long, near long, sim float")
+    return own.unionByName(jobs.repartition(width, *key).groupBy(*key).cogroup(asked.repartition(width, *key).groupBy(*key)).applyInArrow(search, "h long, near long, sim float"))
 
 
 def neighbour_pairs(vectors: DataFrame, id_column: str, vector_column: str, dim: int = 64, k: int = 5) -> DataFrame:
@@ -205,12 +221,15 @@ def neighbour_pairs(vectors: DataFrame, id_column: str, vector_column: str, dim:
     several = stage(copies.groupBy("h").agg(smallest("id").alias("ids")), "copies")
     n = sizes.count()
     cells = max(1, ceil(n / SHARD))
-    sample = _sampled(vectors, id_column, vector_column, dim, n, min(MOST_SAMPLED, max(1000, 64 * cells)))
-    met = stage(nearest(rows, sample, n, dim, k), "met")  # read twice below
+    sample = _sampled(vectors, id_column, vector_column, dim, n, min(MOST_SAMPLED, max(1000, SAMPLED_A_CELL * cells)))
+    met = nearest(rows, sample, n, dim, k)
+    # The copies of a neighbour fill as many of the k places as there are of them, the own ones the first places.
     sized = met.join(several.select(F.col("h").alias("near"), F.size("ids").alias("m")), "near", "left").join(several.select("h", F.size("ids").alias("own")), "h", "left")
     m, own = F.coalesce("m", F.lit(1)), F.coalesce("own", F.lit(1))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy("h").orderBy(F.desc("sim"), "near").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    best = Window.partitionBy("h").orderBy(F.desc("sim"), "near")
+    before = F.coalesce(F.sum("m").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slots = sized.withColumns({"m": m, "own": own}).withColumn("slots", F.least("m", k - (F.col("own") - 1) - before)).where("slots > 0")
+    slots = stage(slots.select("h", "near", "m", "own", "slots"), "slots")  # read twice below
     plain = slots.where("m = 1 AND own = 1").select(F.least("h", "near").alias("h"), F.greatest("h", "near").alias("near")).distinct()
     firsts = sizes.select("h", "first")
     one = plain.join(firsts, "h").select("near", F.col("first").alias("x")).join(firsts.withColumnRenamed("h", "near"), "near").select("x", F.col("first").alias("y"))
