@@ -9,40 +9,32 @@ from pyspark.sql import functions as F
 
 from emberlake.functions.text import junk_reasons, merge_key, tidy_name, tokens
 
-LONGEST_NAME = 5
-
-
-def name_table(entities: DataFrame, longest: int = LONGEST_NAME) -> DataFrame:
-    """(entity_id, name): token strings of canonical names and aliases of entities that are not denied."""
+def name_table(entities: DataFrame) -> DataFrame:
+    """(entity_id, name, first, k): canonical names and aliases of entities that are not denied, as token strings of k tokens."""
     names = F.array_union(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
     rows = entities.where("coalesce(pending_review, 0) <> 2").select(F.col("id").alias("entity_id"), F.explode(names).alias("n"))
-    split = tokens(F.col("n"))
-    return rows.withColumn("t", split).where(F.size("t").between(1, longest)).select("entity_id", F.array_join("t", " ").alias("name")).distinct()
+    t = rows.select("entity_id", tokens(F.col("n")).alias("t")).where(F.size("t") > 0)
+    return t.select("entity_id", F.array_join("t", " ").alias("name"), F.col("t")[0].alias("first"), F.size("t").alias("k")).distinct()
 
 
-def dictionary_tags(texts: DataFrame, entities: DataFrame, longest: int = LONGEST_NAME) -> DataFrame:
+def dictionary_tags(texts: DataFrame, entities: DataFrame) -> DataFrame:
     """(id, entity_id, n): how often each entity's name or alias stands in ``texts(id, text)``, as whole tokens.
 
-    Runs of tokens join the name table on their text, so only names that occur are ever compared; a name
-    inside a longer match of the same text does not count.
+    A run of tokens is built only where a name's first token stands, and only as long as a name that begins
+    so; the runs join the names on their text. Names may have any number of tokens. A name
+    inside a longer match of the same text does not count. ``id`` is unique; null and empty texts hold nothing.
     """
-    rows = texts.select("id", tokens(F.col("text")).alias("t"))
-
-    def runs_of(k: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size("t"), F.lit(1)))
-        return F.transform(starts, lambda i: F.when(i + k - 1 <= F.size("t"), F.struct(i.alias("at"), F.lit(k).alias("k"), F.array_join(F.slice("t", i, F.lit(k)), " ").alias("name"))))
-
-    spans = F.flatten(F.array(*[runs_of(k) for k in range(1, longest + 1)]))
-    runs = rows.where(F.size("t") > 0).select("id", F.explode(F.array_compact(spans)).alias("s")).select("id", "s.*")
-    names = name_table(entities, longest)
+    names = name_table(entities)
+    rows = texts.select("id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    begin = names.groupBy("first").agg(F.collect_set("k").alias("ks"))  # few lengths a token
+    hits = rows.select("id", F.posexplode("t").alias("at", "first")).join(begin, "first").groupBy("id").agg(F.collect_list(F.struct("at", "ks")).alias("hits"))
+    runs = rows.join(hits, "id").select("id", "t", F.explode("hits").alias("h")).select("id", "t", "h.at", F.explode("h.ks").alias("k")).where(F.col("at") + F.col("k") <= F.size("t"))
+    runs = runs.select("id", "at", "k", F.array_join(F.slice("t", F.col("at") + 1, F.col("k")), " ").alias("name"))
     met = runs.join(names.select("name").distinct(), "name")
-    w = Window.partitionBy("id").orderBy("at").rangeBetween(-longest, 0)
-    ends = F.max(F.struct((F.col("at") + F.col("k")).alias("e"), F.col("k").alias("k"))).over(w)
-    ahead = F.max("k").over(Window.partitionBy("id", "at"))
-    # Inside a longer one: an earlier or equal start that ends no sooner, over more tokens.
-    inner = (ends["e"] >= F.col("at") + F.col("k")) & (ends["k"] > F.col("k")) | (ahead > F.col("k"))
-    whole = met.withColumn("inner", inner).where("NOT inner")
-    return whole.join(names, "name").groupBy("id", "entity_id").agg(F.count("*").alias("n"))
+    # Inside a longer one: an earlier start, or the same one with more tokens, that ends no sooner.
+    reach = F.max(F.col("at") + F.col("k")).over(Window.partitionBy("id").orderBy("at", F.desc("k")).rowsBetween(Window.unboundedPreceding, -1))
+    whole = met.withColumn("reach", reach).where((F.col("reach") < F.col("at") + F.col("k")) | F.col("reach").isNull())
+    return whole.select("id", "name").join(names.select("name", "entity_id"), "name").groupBy("id", "entity_id").agg(F.count("*").alias("n"))
 
 
 def npmi(links: DataFrame, item: str, entity: str, least_together: int = 3, least_score: float = 0.15) -> DataFrame:

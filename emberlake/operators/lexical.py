@@ -1,13 +1,16 @@
 """Weighted BM25 over text columns, for many queries at once.
 
-Documents become postings, queries become phrases of terms; they meet by an equality join on the term, or on
-its prefix where the query asks for one. Phrases are runs of positions. Statistics come from all documents.
+Queries become phrases of terms. Of a document only the terms that a query asks for become rows: a fixed list of
+queries is matched inside the token array, a table of queries by a join on the term, after its prefixes
+have been looked up in the corpus's own terms. Phrases are runs of positions. Statistics come from all documents.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,14 +62,35 @@ def phrases_from(queries: DataFrame, prefixes: bool = True) -> DataFrame:
     return each.select("query_id", "phrase", "idx", "word", (F.col("long") & (F.col("idx") == F.col("words") - 1)).alias("prefix"), "words")
 
 
-def postings(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """(id, col, pos, term) of ``docs(id, columns...)``. Null texts have no terms."""
+def _asked(phrases: list[Phrase]):
+    """A test of a term: whether a phrase of the list has it, or the beginning of it as a prefix."""
+    whole = sorted({w for p in phrases for w in (p.words[:-1] if p.prefix else p.words)})
+    heads: dict[int, set[str]] = {}
+    for p in phrases:
+        if p.prefix:
+            heads.setdefault(len(p.words[-1]), set()).add(p.words[-1])
+
+    def test(term: Column) -> Column:
+        tests = [term.isin(whole)] if whole else []
+        tests += [F.substring(term, 1, n).isin(sorted(h)) for n, h in heads.items()]
+        return reduce(or_, tests, F.lit(False))
+
+    return test
+
+
+def postings(docs: DataFrame, columns: list[str], keep=None) -> DataFrame:
+    """(id, len, col, pos, term) of ``docs(id, columns...)``; len: the document's terms over all columns. Null texts have none.
+
+    ``keep``: a test that a term must pass to become a row.
+    """
 
     def terms(c: str) -> Column:
-        return F.transform(tokens(F.col(c)), lambda t, i: F.struct(F.lit(c).alias("col"), i.alias("pos"), t.alias("term")))
+        placed = F.transform(F.col(f"_t_{c}"), lambda t, i: F.struct(F.lit(c).alias("col"), i.alias("pos"), t.alias("term")))
+        return placed if keep is None else F.filter(placed, lambda s: keep(s["term"]))
 
-    each = [terms(c) for c in columns]
-    return docs.select("id", F.explode(F.concat(*each)).alias("p")).select("id", "p.*")
+    each = docs.select("id", *[tokens(F.col(c)).alias(f"_t_{c}") for c in columns])
+    length = reduce(lambda a, b: a + b, [F.size(f"_t_{c}") for c in columns])
+    return each.select("id", length.alias("len"), F.explode(F.concat(*[terms(c) for c in columns])).alias("p")).select("id", "len", "p.*")
 
 
 def lengths(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -77,17 +101,24 @@ def lengths(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select("id", total.alias("len"))
 
 
-def phrase_hits(post: DataFrame, phrases: DataFrame, widths: list[int]) -> DataFrame:
-    """(query_id, phrase, id, col, hits). ``widths``: the lengths of the query words that are prefixes."""
-    whole = post.join(phrases.where("NOT prefix"), F.col("term") == F.col("word"))
-    near = post.withColumn("w", F.explode(F.array(*map(F.lit, widths)))).where(F.length("term") >= F.col("w")).withColumn("head", F.substring("term", F.lit(1), F.col("w"))) if widths else None
-    met = whole.select("query_id", "phrase", "idx", "words", "id", "col", "pos")
-    if near is not None:
-        wanted = phrases.where("prefix").withColumn("w", F.length("word"))
-        met = met.unionByName(near.join(wanted, (near["head"] == wanted["word"]) & (near["w"] == wanted["w"])).select("query_id", "phrase", "idx", "words", "id", "col", "pos"))
-    runs = met.where("words > 1").groupBy("query_id", "phrase", "words", "id", "col", (F.col("pos") - F.col("idx")).alias("start")).agg(F.count_distinct("idx").alias("n")).where("n = words")
-    one = met.where("words = 1").select("query_id", "phrase", "id", "col")
-    return one.unionByName(runs.select("query_id", "phrase", "id", "col")).groupBy("query_id", "phrase", "id", "col").agg(F.count("*").alias("hits"))
+def with_terms(phrases: DataFrame, terms: DataFrame) -> DataFrame:
+    """``phrases`` with term: their word, or each of the corpus's ``terms(term)`` that begins with it where it is a prefix."""
+    whole = phrases.where("NOT prefix").withColumn("term", F.col("word"))
+    heads = phrases.where("prefix").withColumn("_n", F.length("word"))
+    # Each term is cut at the lengths that some prefix has.
+    ends = heads.agg(F.collect_set("_n").alias("_ends"))
+    cut = terms.join(F.broadcast(ends)).select("term", F.explode("_ends").alias("_n")).where(F.length("term") >= F.col("_n"))  # one row
+    cut = cut.withColumn("_head", F.substring("term", F.lit(1), F.col("_n")))
+    begun = heads.join(cut.select("term", F.col("_head").alias("word"), F.col("_n")), ["word", "_n"]).drop("_n")
+    return whole.unionByName(begun)
+
+
+def phrase_hits(post: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(query_id, phrase, id, len, col, hits) of ``post`` for phrases as of ``with_terms``."""
+    met = post.join(phrases, "term").select("query_id", "phrase", "idx", "words", "id", "len", "col", "pos")
+    runs = met.where("words > 1").groupBy("query_id", "phrase", "words", "id", "len", "col", (F.col("pos") - F.col("idx")).alias("start")).agg(F.count_distinct("idx").alias("n")).where("n = words")
+    one = met.where("words = 1").select("query_id", "phrase", "id", "len", "col")
+    return one.unionByName(runs.select("query_id", "phrase", "id", "len", "col")).groupBy("query_id", "phrase", "id", "len", "col").agg(F.count("*").alias("hits"))
 
 
 def bm25(docs: DataFrame, weights: dict[str, float], phrases: list[Phrase] | DataFrame) -> DataFrame:
@@ -99,16 +130,17 @@ def bm25(docs: DataFrame, weights: dict[str, float], phrases: list[Phrase] | Dat
     """
     spark, columns = docs.sparkSession, list(weights)
     if isinstance(phrases, DataFrame):
-        wanted, widths = phrases, sorted(r["w"] for r in phrases.where("prefix").select(F.length("word").alias("w")).distinct().collect())  # word lengths
+        post = postings(docs, columns)
+        wanted = with_terms(phrases, post.select("term").distinct())
     else:
-        wanted, widths = phrase_table(spark, phrases), sorted({len(p.words[-1]) for p in phrases if p.prefix})
-    hits = phrase_hits(postings(docs, columns), wanted, widths)
+        post = postings(docs, columns, _asked(phrases))
+        wanted = with_terms(phrase_table(spark, phrases), post.select("term").distinct())
+    hits = phrase_hits(post, wanted)
     weight = F.create_map(*[F.lit(x) for c, w in weights.items() for x in (c, float(w))])
-    f = hits.groupBy("query_id", "phrase", "id").agg(F.sum(weight[F.col("col")] * F.col("hits")).alias("f"))
+    f = hits.groupBy("query_id", "phrase", "id").agg(F.sum(weight[F.col("col")] * F.col("hits")).alias("f"), F.first("len").alias("len"))
     found = f.groupBy("query_id", "phrase").agg(F.count("*").alias("n"))
-    length = lengths(docs, columns)
-    corpus = length.agg(F.count("*").cast("double").alias("total"), F.avg("len").alias("mean"))
-    rows = f.join(found, ["query_id", "phrase"]).join(length, "id").join(F.broadcast(corpus))  # one row
+    corpus = lengths(docs, columns).agg(F.count("*").cast("double").alias("total"), F.avg("len").alias("mean"))
+    rows = f.join(found, ["query_id", "phrase"]).join(F.broadcast(corpus))  # one row
     raw = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(LEAST_IDF)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
@@ -127,9 +159,8 @@ def top_k(scored: DataFrame, k: int, group: str = "query_id", score: Column | No
 
 def rare_terms(docs: DataFrame, columns: list[str], words: list[str], most: int = 25) -> DataFrame:
     """(word, df) of the query words that stand in 1 to ``most`` documents."""
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame([(w.lower(),) for w in dict.fromkeys(words)], "word string")
-    df = postings(docs, columns).join(F.broadcast(wanted), F.col("term") == F.col("word")).groupBy("word").agg(F.count_distinct("id").alias("df"))
+    wanted = sorted({w.lower() for w in words})
+    df = postings(docs, columns, lambda t: t.isin(wanted)).groupBy(F.col("term").alias("word")).agg(F.count_distinct("id").alias("df"))
     return df.where(F.col("df") <= most)
 
 

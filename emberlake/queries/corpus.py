@@ -41,10 +41,9 @@ def lang_detect(spark, d):
     return _documents(spark, d).select("doc_id", T.language(F.col("text")).alias("lang"))
 
 
-@query("""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!?\\[([^\\]]*)\\]\\(([^)]*)\\)', '\\1', 'g'), '(?:https?|ftp)://\\S+|www\\.\\S+', ' ', 'g'), '\\S+@\\S+\\.\\S+', ' ', 'g'), '</?[a-zA-Z][^>\\n]*>', ' ', 'g')) AS digest
-    FROM documents WHERE NOT regexp_matches(text, '[\\x{00a0}\\x{2000}-\\x{202f}\\x{205f}\\x{3000}\\x{feff}\\x{2190}-\\x{2bff}\\x{1f000}-\\x{1faff}]')""")
+@query("""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '(?:https?|ftp)://[^ \\t\\n\\r\\f\\v]+|www\\.[^ \\t\\n\\r\\f\\v]+', ' ', 'g'), '\\S+@\\S+\\.\\S+', ' ', 'g'), '</?[a-zA-Z][^>\\n]*>', ' ', 'g'),
+    '[\\x{00a0}\\x{2000}-\\x{202f}\\x{205f}\\x{3000}\\x{feff}\\x{2190}-\\x{2bff}\\x{1f000}-\\x{1faff}]', ' ', 'g')) AS digest FROM documents""")
 def strip_markup(spark, d):
-    """All documents; the SQL above leaves those with odd blanks or pictographs out and so differs."""
     return _documents(spark, d).select("doc_id", F.md5(T.strip_markup(F.col("text"))).alias("digest"))
 
 
@@ -53,10 +52,9 @@ def html_clean(spark, d):
     return _documents(spark, d).select("doc_id", T.html_to_text(F.col("text")).alias("text"))
 
 
-@query("""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?i)\\bBearer\\s+[A-Za-z0-9._\\-+/=]+', 'Bearer <redacted>', 'g'), '(?i)"(access_token|refresh_token|id_token|client_secret|api_key|secret)"\\s*:\\s*"[^"]*"', '"\\1":"<redacted>"', 'g')) AS digest
-    FROM documents WHERE NOT regexp_matches(text, '(?i)"(body|content|text|html_body|plain_body)"') AND NOT contains(text, 'eyJ')""")
+@query("""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, 'eyJ[\\w-]{10,}(?:\\.[\\w-]{10,}){2}', '<redacted-jwt>', 'g'), '(?i)\\bBearer\\s+[A-Za-z0-9._\\-+/=]+', 'Bearer <redacted>', 'g'),
+    '(?i)"(access_token|refresh_token|id_token|client_secret|api_key|secret|body|content|text|html_body|plain_body)"\\s*:\\s*"[^"]*"', '"\\1":"<redacted>"', 'g')) AS digest FROM documents""")
 def redact(spark, d):
-    """All documents; the SQL above leaves those with body fields or web tokens out and so differs."""
     return _documents(spark, d).select("doc_id", F.md5(T.redact(F.col("text"))).alias("digest"))
 
 
@@ -91,12 +89,10 @@ def phone_numbers(spark, d):
 
 
 _TAGS = """e AS (SELECT id, unnest(list_concat([canonical_name], coalesce(aliases, []))) AS n FROM entities WHERE coalesce(pending_review, 0) <> 2),
-nm AS (SELECT DISTINCT id AS entity_id, array_to_string(t, ' ') AS name, len(t) AS k FROM (SELECT id, regexp_extract_all(lower(n), '[\\p{L}\\p{N}]+') AS t FROM e WHERE n IS NOT NULL) WHERE len(t) BETWEEN 1 AND 5),
+nm AS (SELECT DISTINCT id AS entity_id, array_to_string(t, ' ') AS name, t, len(t) AS k FROM (SELECT id, regexp_extract_all(lower(n), '[\\p{L}\\p{N}]+') AS t FROM e WHERE n IS NOT NULL) WHERE len(t) >= 1),
+dn AS (SELECT DISTINCT name, t, k, t[1] AS first FROM nm),
 tx AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents), tok AS (SELECT id, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS pos FROM tx),
-ld AS (SELECT id, pos, w, lead(w, 1) OVER o AS b, lead(w, 2) OVER o AS c, lead(w, 3) OVER o AS d, lead(w, 4) OVER o AS e FROM tok WINDOW o AS (PARTITION BY id ORDER BY pos)),
-ng AS (SELECT id, pos, 1 AS k, w AS name FROM ld UNION ALL SELECT id, pos, 2, w || ' ' || b FROM ld UNION ALL SELECT id, pos, 3, w || ' ' || b || ' ' || c FROM ld
-  UNION ALL SELECT id, pos, 4, w || ' ' || b || ' ' || c || ' ' || d FROM ld UNION ALL SELECT id, pos, 5, w || ' ' || b || ' ' || c || ' ' || d || ' ' || e FROM ld),
-m AS (SELECT * FROM ng WHERE name IN (SELECT name FROM nm)),
+m AS (SELECT tok.id, pos, k, name FROM tok JOIN dn ON w = first JOIN tx ON tx.id = tok.id WHERE tx.t[pos:pos + k - 1] = dn.t),
 w AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.id = m.id AND o.k > m.k AND o.pos <= m.pos AND o.pos + o.k >= m.pos + m.k))"""
 
 

@@ -41,10 +41,11 @@ def _values(phrases: list[lexical.Phrase]) -> str:
     return f"qt(query_id, phrase, idx, word, prefix, words) AS (VALUES {', '.join(rows)})"
 
 
-def _bm25_sql(phrases: list[lexical.Phrase], weights: dict[str, float], docs: str = "d") -> str:
-    """Common tables that end in scored(query_id, id, score)."""
+def _bm25_sql(phrases: list[lexical.Phrase] | str, weights: dict[str, float], docs: str = "d") -> str:
+    """Common tables that end in scored(query_id, id, score); ``phrases``: a list, or the common table qt."""
+    asked = phrases if isinstance(phrases, str) else _values(phrases)
     split = " UNION ALL ".join(f"SELECT id, '{c}' AS col, {w}::DOUBLE AS weight, regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+') AS t FROM {docs}" for c, w in weights.items())
-    return f"""{_values(phrases)}, tk AS ({split}), post AS (SELECT id, col, weight, unnest(t) AS term, unnest(range(len(t))) AS pos FROM tk),
+    return f"""{asked}, tk AS ({split}), post AS (SELECT id, col, weight, unnest(t) AS term, unnest(range(len(t))) AS pos FROM tk),
 len AS (SELECT id, sum(len(t)) AS len FROM tk GROUP BY id), stat AS (SELECT count(*)::DOUBLE AS total, avg(len) AS mean FROM len),
 met AS (SELECT q.*, p.id, p.col, p.weight, p.pos FROM post p JOIN qt q ON p.term = q.word WHERE NOT q.prefix UNION ALL
   SELECT q.*, p.id, p.col, p.weight, p.pos FROM post p JOIN qt q ON substr(p.term, 1, length(q.word)) = q.word WHERE q.prefix),
@@ -145,8 +146,12 @@ def dedup_bands(spark, d):
 # --- fusion ----------------------------------------------------------------------------------------------------------
 
 _DOCS = "d AS (SELECT doc_id AS id, text AS content, subject, author AS sender FROM documents)"
-_FUSED = f"""{_DOCS}, {_bm25_sql(_phrases(True), ITEM_WEIGHTS)}, fts AS ({_top_sql(50)}), v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
-k AS (SELECT q.qid AS query_id, v.id, round(list_distance(q.e, v.e), 6) AS distance FROM (SELECT 'q' || id AS qid, e FROM v WHERE id BETWEEN 1 AND 5) q, v),
+#: The query set: every vector with an id divisible by 20, with the subject of the document of that id as text where it has one.
+_ASKED = """sp AS (SELECT 'q' || id AS query_id, unnest(list_distinct(regexp_split_to_array(lower(replace(subject, '"', ' ')), '\\s+'))) AS spelling FROM d JOIN (SELECT vec_id AS id FROM embeddings WHERE vec_id % 20 = 0) USING (id)),
+sw AS (SELECT query_id, spelling, regexp_extract_all(spelling, '[\\p{L}\\p{N}]+') AS t FROM sp),
+qt AS (SELECT query_id, spelling AS phrase, i - 1 AS idx, t[i] AS word, length(spelling) >= 5 AND i = len(t) AS prefix, len(t) AS words FROM sw, unnest(range(1, len(t) + 1)) AS u(i))"""
+_FUSED = f"""{_DOCS}, {_bm25_sql(_ASKED, ITEM_WEIGHTS)}, fts AS ({_top_sql(50)}), v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+k AS (SELECT 'q' || q.id AS query_id, v.id, round(list_distance(q.e, v.e), 6) AS distance FROM v q, v WHERE q.id % 20 = 0),
 vec AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM k) WHERE rank <= 50),
 al AS (SELECT query_id, id, rank - 1 AS r0, 'fts' AS ix FROM fts UNION ALL SELECT query_id, id, rank - 1, 'vector' FROM vec),
 fu AS (SELECT query_id, id, sum(1.0 / (30 + r0 + 1))::DOUBLE AS s, min(r0) FILTER (ix = 'fts') AS fr, min(r0) FILTER (ix = 'vector') AS vr FROM al GROUP BY ALL),
@@ -154,10 +159,7 @@ fused AS (SELECT query_id, id, round(s * CASE WHEN fr <= 2 AND vr <= 2 THEN 1.05
 
 
 def _fused(spark, d) -> DataFrame:
-    """The queries are all vectors with an id divisible by 20, each with the subject of the document of that id, where it has one, as text.
-
-    The SQL above still asks five fixed texts and vectors and so differs.
-    """
+    """The queries are all vectors with an id divisible by 20, each with the subject of the document of that id, where it has one, as text."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "subject", F.col("author").alias("sender"))
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     asked = v.where("id % 20 = 0")
