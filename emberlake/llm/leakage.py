@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlake.llm.bits import among, bit_table
 from emberlake.session import stage
 
 #: Picked (1) and ignored (0) positions. Weight 8: chance hits stay rare in templated prose.
@@ -29,8 +30,6 @@ RUN, GAP, SHIFT = 4, 6, 2
 DENSITY = 0.7
 #: A first line that opens so many test items is a stock instruction.
 STOCK_ITEMS = 3
-#: The bit table of test hashes: bits for each hash, and the largest table, 16 MB.
-BITS_PER_SEED, MOST_BITS = 64, 1 << 27
 
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
@@ -72,16 +71,12 @@ def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(places)
 
 
-def _bits(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    m = np.uint64(size - 1)
-    return (hashes & m).astype(np.int64), ((hashes >> np.uint64(32)) & m).astype(np.int64)
-
-
 def longest_overlap(doc: np.ndarray, item: np.ndarray) -> int:
     """The most matched words of a passage that both share.
 
     Exact runs of at least RUN words chain where the next begins within GAP words in both texts and
-    the two distances differ by at most SHIFT; a chain counts if DENSITY of its words match.
+    the two distances differ by at most SHIFT; a chain counts if DENSITY of its words match. Every chain is
+    looked at, from each of its beginnings, but for those that another one outdoes.
     """
     if len(doc) < RUN or len(item) < RUN:
         return 0
@@ -105,17 +100,24 @@ def longest_overlap(doc: np.ndarray, item: np.ndarray) -> int:
                 k += 1
             runs.append((i, j, k + RUN - 1))
     best = max((n for _, _, n in runs), default=0)
-    chains: list[tuple[int, int, int, int, int]] = []  # begin and end in the document, end in the item, matched, begin in the item
+    # Chains by where they end in both texts: (begin in the document, begin in the item, matched words).
+    ends: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for i, j, n in runs:
-        top = (i, i + n, j + n, n, j)
-        for b, e, f, m, c in chains[-64:]:
-            di, dj = i - e, j - f
-            over = max(0, -di, -dj)  # words that both runs claim
-            if over < n and -RUN <= di <= GAP and -RUN <= dj <= GAP and abs(di - dj) <= SHIFT and m + n - over > top[3]:
-                top = (b, i + n, j + n, m + n - over, c)
-        chains.append(top)
-        if top[3] >= DENSITY * max(top[1] - top[0], top[2] - top[4]):
-            best = max(best, top[3])
+        chains = [(i, j, n)]
+        for di in range(-min(RUN, n - 1), GAP + 1):
+            for dj in range(max(-min(RUN, n - 1), di - SHIFT), min(GAP, di + SHIFT) + 1):
+                over = max(0, -di, -dj)  # words that both runs claim
+                chains += [(b, c, m + n - over) for b, c, m in ends.get((i - di, j - dj), ())]
+        best = max([best, *(m for b, c, m in chains if m >= DENSITY * max(i + n - b, j + n - c))])
+        at = ends.setdefault((i + n, j + n), [])
+        at += chains
+        if len(at) > 1:  # a chain that begins later with as many matched words leaves another nothing
+            at.sort(key=lambda x: (-x[2], -x[0], -x[1]))
+            kept: list[tuple[int, int, int]] = []
+            for x in at:
+                if not any(y[0] >= x[0] and y[1] >= x[1] for y in kept):
+                    kept.append(x)
+            ends[i + n, j + n] = kept
     return best
 
 
@@ -143,23 +145,6 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     return items.mapInPandas(seeds, "eval_id long, seed long")
 
 
-def _bit_table(seeds: DataFrame, n: int) -> np.ndarray:
-    """Which hashes the test items have, as bits; at most MOST_BITS whatever the tables hold."""
-    size = 1 << min(MOST_BITS.bit_length() - 1, max(16, (n * BITS_PER_SEED - 1).bit_length()))
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(size, bool)
-        for b in batches:
-            for at in _bits(b["seed"].to_numpy(np.int64).view(np.uint64), size):
-                table[at] = True
-        yield pd.DataFrame({"bits": [np.packbits(table).tobytes()]})
-
-    total = np.zeros(size // 8, np.uint8)
-    for row in seeds.select("seed").coalesce(8).mapInPandas(fill, "bits binary").toLocalIterator():
-        total |= np.frombuffer(row["bits"], np.uint8)
-    return total
-
-
 def leaks(documents: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, eval_id, n_words) for each document that holds a passage of a test item.
 
@@ -171,18 +156,16 @@ def leaks(documents: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS
     spark = documents.sparkSession
     hashed = stage(_hashed_items(items), "items")
     seeds = stage(_item_seeds(hashed), "item_seeds")
-    table = spark.sparkContext.broadcast(_bit_table(seeds, max(1, seeds.count())))
+    table = spark.sparkContext.broadcast(bit_table(seeds, seeds.count()))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packed = table.value
-        size = len(packed) * 8
         for b in batches:
             ids, kept, found = [], [], []
             for doc_id, text in zip(b["doc_id"], b["text"]):
                 words = words_of(text)
                 own, _ = seeds_of(words)
-                one, two = _bits(own, size)
-                own = own[(packed[one >> 3] >> (7 - (one & 7)).astype(np.uint8)) & (packed[two >> 3] >> (7 - (two & 7)).astype(np.uint8)) & 1 == 1]
+                own = own[among(own, packed)]
                 if len(own):
                     ids.append(doc_id)
                     kept.append(words.tobytes())
