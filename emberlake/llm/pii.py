@@ -1,9 +1,11 @@
 """Personal data in free text, by a skip-chain conditional random field.
 
 A text's tokens form a chain; tokens that are equal, or numbers of one shape, are linked besides, wherever
-they stand. Loopy message passing over chain and skip edges makes their labels agree. The weights are
+they stand. Loopy message passing over chain and skip edges makes their labels agree. The weights of both are
 trained here, on labels that strict patterns give to a bounded sample of texts; names known as first names
-and the endings of surnames come from the entities table. All passes run over batches of texts in numpy.
+and the endings of surnames come from the entities table. Each task trains on a part of the sample, in which a part of the
+names counts as unknown, so that context and links have to tell them; the parts' weights are averaged
+between rounds. All texts are decoded, in batches, in numpy.
 """
 
 from __future__ import annotations
@@ -14,21 +16,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlake.llm.bits import among, bit_table
+from emberlake.session import stage
 from emberlake.tables import distinct_items
 
 LABELS = ["O", "email", "phone", "id_number", "address", "+address", "person_name", "+person_name"]
 KINDS = ["email", "phone", "id_number", "address", "person_name"]
 #: Texts that the fit takes at most, by smallest hash; every text is then labelled.
 MOST_TEXTS = 8000
-#: Words of the entities' names kept at most: first names and four-letter endings of surnames, most frequent first.
-MOST_FIRST_NAMES, MOST_ENDINGS = 5000, 2000
+#: First names and four-letter endings of surnames are known that so many entities have.
 LEAST_NAMES, LEAST_ENDINGS = 3, 3
-EPOCHS, RATE, DECAY, BATCH = 30, 0.3, 2e-5, 128
-#: Log potential by which linked tokens favour one label, and rounds of message passing.
-SKIP_WEIGHT, ROUNDS = 0.8, 3
+#: Parts of the sample that are trained apart, rounds between which their weights are averaged, and passes of each over its part.
+PARTS, MIXES, EPOCHS = 8, 2, 12
+RATE, DECAY, BATCH = 0.3, 2e-5, 32
+#: Steps, their length and the shrinking of the fit of the skip potentials; rounds of message passing.
+SKIP_STEPS, SKIP_RATE, SKIP_DECAY, ROUNDS = 60, 0.5, 1e-3, 3
 ROLES = (-2, -1, 0, 1, 2)
 
 # Words that make a street, in English and Norwegian.
@@ -71,17 +77,30 @@ def tokens_of(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+class HashedWords:
+    """A set of words as a bit table."""
+
+    def __init__(self, packed: np.ndarray):
+        self.packed = packed
+
+    def __contains__(self, word: str) -> bool:
+        return bool(among(np.array([xxhash.xxh64_intdigest(word, 42)], np.uint64), self.packed)[0])
+
+
 class Names:
-    """First names and surname endings, as learnt from the entities."""
+    """First names and surname endings, as learnt from the entities; ``hidden``: names of this part of PARTS count as unknown."""
+
+    def __init__(self, first, endings, hidden: int | None = None):
+        self.first, self.endings, self.hidden = first, endings, hidden
 
-    def __init__(self, first: set[str], endings: set[str]):
-        self.first, self.endings = first, endings
+    def _knows(self, word: str) -> bool:
+        return self.hidden is None or xxhash.xxh64_intdigest(word) % PARTS != self.hidden
 
     def is_first(self, word: str) -> bool:
-        return word.lower() in self.first
+        return word.lower() in self.first and self._knows(word.lower())
 
     def is_surname(self, word: str) -> bool:
-        return len(word) >= 5 and word.lower()[-4:] in self.endings and word.lower() not in self.first
+        return len(word) >= 5 and word.lower()[-4:] in self.endings and word.lower() not in self.first and self._knows(word.lower())
 
 
 def learn_names(entities: DataFrame) -> Names:
@@ -98,8 +117,12 @@ def learn_names(entities: DataFrame) -> Names:
     # Names are also typed surname first: an ending counts if it mostly stands last.
     last = ends.where(F.length("x") >= 5).groupBy(F.substring("x", -4, 4).alias("x")).agg(F.count_if(F.col("first") == 0).alias("n"), F.count_if(F.col("first") == 1).alias("m"))
     last = last.where((F.col("n") >= LEAST_ENDINGS) & (F.col("n") > 2 * F.col("m")))
-    top = lambda df, k: {r["x"] for r in df.orderBy(F.desc("n"), "x").limit(k).collect()}
-    return Names(top(first, MOST_FIRST_NAMES), top(last, MOST_ENDINGS))
+
+    def hashed(df: DataFrame) -> HashedWords:
+        seeds = stage(df.select(F.xxhash64("x").alias("seed")), "names")
+        return HashedWords(bit_table(seeds, seeds.count()))
+
+    return Names(hashed(first), hashed(last))
 
 
 def token_type(text: str, kind: str) -> str:
@@ -200,10 +223,10 @@ def _chain(unary: np.ndarray, trans: np.ndarray, real: np.ndarray) -> tuple[np.n
 
 
 class Field:
-    """A trained field: type tables made from feature weights, transitions, names."""
+    """A trained field: type tables made from feature weights, transitions, skip potentials, names."""
 
-    def __init__(self, weights: np.ndarray, features: dict[str, int], trans: np.ndarray, names: Names):
-        self.weights, self.features, self.trans, self.names = weights, features, trans, names
+    def __init__(self, weights: np.ndarray, features: dict[str, int], trans: np.ndarray, skip: np.ndarray, names: Names):
+        self.weights, self.features, self.trans, self.skip, self.names = weights, features, trans, skip, names
         self.types: dict[str, int] = {}
         self.tables = np.zeros((len(ROLES), 1024, len(LABELS)))
         self._row("")
@@ -222,7 +245,8 @@ class Field:
             self._row("")
         return np.array([self.types[x] if x in self.types else self._row(x) for x in types], np.int64)
 
-    def _links(self, types: list[str]) -> list[tuple[int, int]]:
+    @staticmethod
+    def _links(types: list[str]) -> list[tuple[int, int]]:
         """Skip edges: each token and the next one equal to it but for case, signs and frequent short words aside."""
         last: dict[str, int] = {}
         out = []
@@ -252,7 +276,7 @@ class Field:
                 n, i, j = np.array(edges).T
                 to_i = np.zeros((len(n), len(LABELS)))
                 to_j = np.zeros_like(to_i)
-                favour = np.eye(len(LABELS)) * (np.exp(SKIP_WEIGHT) - 1) + 1
+                favour = np.exp(self.skip)
                 for _ in range(ROUNDS):
                     new_j = np.log((p[n, i] * np.exp(-to_i)) @ favour + 1e-12)
                     new_i = np.log((p[n, j] * np.exp(-to_j)) @ favour + 1e-12)
@@ -268,14 +292,10 @@ class Field:
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """(begin, end, kind) of the personal data in each text."""
-        tokens = [tokens_of(t) if self.may_hold(t) else [] for t in texts]
+        tokens = [tokens_of(t) for t in texts]
         labels = self.label([[token_type(t[a:b], k) for a, b, k in ts] for t, ts in zip(texts, tokens)])
         return [self._joined(t, ts, y) for t, ts, y in zip(texts, tokens, labels)]
 
-    def may_hold(self, text: str) -> bool:
-        """False only for texts without digit, mail sign, first name or capital surname ending, of which no token can begin a find."""
-        return bool(_ANCHOR.search(text)) or any(w.lower() in self.names.first or w.lower()[-4:] in self.names.endings for w in _WORD.findall(text))
-
     def _joined(self, text: str, tokens: list[tuple[int, int, str]], labels: np.ndarray) -> list[tuple[int, int, str]]:
         out = []
         k = 0
@@ -306,12 +326,12 @@ class Field:
         return len([w for w in words if len(w) > 1]) >= 2
 
 
-_ANCHOR = re.compile(r"[\d@]|\bdot\b|\(at\)", re.I)
-_WORD = re.compile(r"[^\W\d_]{2,}")
-
+def fit_field(texts: list[str], names: Names, seen_as: Names | None = None, start: Field | None = None) -> Field:
+    """Train on pattern labels: the chain by stochastic gradient ascent of its likelihood, then the skip potentials.
 
-def fit_field(texts: list[str], names: Names) -> Field:
-    """Train on pattern labels by stochastic gradient ascent of the chain's likelihood."""
+    The labels know all ``names``, the features those of ``seen_as``. Weights begin with those of ``start``.
+    """
+    seen_as = seen_as or names
     tokens = [tokens_of(t) for t in texts]
     keep = [k for k, ts in enumerate(tokens) if ts]
     types = [[token_type(texts[k][a:b], kind) for a, b, kind in tokens[k]] for k in keep]
@@ -320,7 +340,7 @@ def fit_field(texts: list[str], names: Names) -> Field:
     for row in types:
         for x in row:
             vocabulary.setdefault(x, len(vocabulary))
-    own = [type_features(x, names) if x else ["space"] for x in vocabulary]
+    own = [type_features(x, seen_as) if x else ["space"] for x in vocabulary]
     seen = Counter(f for fs in own for f in fs)
     features: dict[str, int] = {}
     for fs in own:
@@ -332,6 +352,10 @@ def fit_field(texts: list[str], names: Names) -> Field:
     feature_at = np.array([features[f] for fs in own for f in fs if f in features])
     n = len(LABELS)
     weights, trans = np.zeros((len(ROLES), len(features), n)), np.zeros((n, n))
+    if start is not None:
+        trans = start.trans.copy()
+        both = [f for f in features if f in start.features]
+        weights[:, [features[f] for f in both]] = start.weights[:, [start.features[f] for f in both]]
     square_w, square_t = np.full_like(weights, 1e-6), np.full_like(trans, 1e-6)
     rows = [np.array([vocabulary[x] for x in row]) for row in types]
     order = np.argsort([len(r) for r in rows], kind="stable")
@@ -363,7 +387,40 @@ def fit_field(texts: list[str], names: Names) -> Field:
             square_t += grad_t**2
             weights += RATE * grad_w / np.sqrt(square_w)
             trans += RATE * grad_t / np.sqrt(square_t)
-    return Field(weights, features, trans, names)
+    field = Field(weights, features, trans, np.zeros((n, n)), seen_as)
+    field.skip = _fit_skip(field, types, gold)
+    field.names = names
+    return field
+
+
+def _fit_skip(field: Field, types: list[list[str]], gold: list[np.ndarray]) -> np.ndarray:
+    """Skip potentials, symmetric, by pseudo-likelihood: each end's label given the chain's belief and the other end's label.
+
+    Potentials shrink to zero, so links say only what the chain does not know.
+    """
+    n = len(LABELS)
+    belief, mine, other = [], [], []
+    for k in range(0, len(types), 256):
+        part = range(k, min(k + 256, len(types)))
+        ids = _pad([field.ids(types[j]) for j in part], 0)
+        p = _chain(_unary(field.tables, ids), field.trans, np.arange(ids.shape[1]) < np.array([len(types[j]) for j in part])[:, None])[2]
+        for row, j in enumerate(part):
+            for a, b in field._links(types[j]):
+                for x, y in ((a, b), (b, a)):
+                    belief.append(p[row, x])
+                    mine.append(gold[j][x])
+                    other.append(gold[j][y])
+    skip = np.zeros((n, n))
+    if belief:
+        base, want, other = np.log(np.array(belief) + 1e-12), np.eye(n)[mine], np.array(other)
+        for _ in range(SKIP_STEPS):
+            s = base + skip[other]
+            q = np.exp(s - s.max(1, keepdims=True))
+            grad = np.zeros((n, n))
+            np.add.at(grad, other, want - q / q.sum(1, keepdims=True))
+            grad = (grad + grad.T) / 2 / max(1, len(mine)) ** 0.5 - SKIP_DECAY * skip
+            skip += SKIP_RATE * grad
+    return skip
 
 
 def _texts(items: DataFrame) -> DataFrame:
@@ -371,12 +428,43 @@ def _texts(items: DataFrame) -> DataFrame:
 
 
 def fit(items: DataFrame, entities: DataFrame, most_texts: int = MOST_TEXTS) -> Field:
-    """A field trained on at most ``most_texts`` distinct contents and recipients, three of four contents, by smallest hash."""
+    """A field trained on at most ``most_texts`` distinct contents and recipients, three of four contents, by smallest hash.
+
+    PARTS tasks train at once, each on its part of the texts; weights are averaged over the parts that have them.
+    """
     names = learn_names(entities)
     some = lambda column, n: column.where("length(t) BETWEEN 3 AND 400").distinct().orderBy(F.xxhash64("t"), "t").limit(n)
     contents = some(items.select(F.col("content").alias("t")).where(F.col("t").rlike(r"\d{3}|\d\d \d\d|@|\bdot\b|\p{Lu}\p{L}+,? \p{Lu}|\p{L}{4} \d")), most_texts * 3 // 4)
     others = some(items.select(F.explode("recipients").alias("t")).where("NOT t RLIKE '^(me|u[0-9]+|grp:.*)$'"), most_texts // 4)
-    return fit_field(sorted(r["t"] for r in contents.unionByName(others).collect()), names)
+    sample = stage(contents.unionByName(others).distinct().withColumn("part", F.pmod(F.xxhash64("t", F.lit(3)), F.lit(PARTS)).cast("int")), "sample")
+    field = Field(np.zeros((len(ROLES), 0, len(LABELS))), {}, np.zeros((len(LABELS),) * 2), np.zeros((len(LABELS),) * 2), names)
+    for _ in range(MIXES):
+        field = _mixed(sample, field)
+    return field
+
+
+def _mixed(sample: DataFrame, start: Field) -> Field:
+    """One round: every part trains from ``start``, then each weight is averaged in Spark."""
+    shared = sample.sparkSession.sparkContext.broadcast(start)
+    size = len(ROLES) * len(LABELS)
+
+    def train(rows: pd.DataFrame) -> pd.DataFrame:
+        old = shared.value
+        seen_as = Names(old.names.first, old.names.endings, int(rows["part"].iloc[0]))
+        new = fit_field(sorted(rows["t"]), old.names, seen_as, old if old.features else None)
+        square = [(kind, k, row) for kind, m in (("trans", new.trans), ("skip", new.skip)) for k, row in enumerate(m.tolist())]
+        names = [(f"f:{f}", 0, new.weights[:, k].ravel().tolist()) for f, k in new.features.items()]
+        return pd.DataFrame([*square, *names], columns=["name", "k", "w"])
+
+    rows = sample.repartition(PARTS, "part").groupBy("part").applyInPandas(train, "name string, k int, w array<double>")
+    mean = rows.groupBy("name", "k").agg(*[F.avg(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(size)])
+    found = mean.orderBy("name", "k").toPandas()  # as many rows as the sample has features
+    values, at = found[[f"w{i}" for i in range(size)]].to_numpy(float), found["name"].to_numpy()
+    is_feature = np.array([x.startswith("f:") for x in at], bool)
+    features = {x[2:]: k for k, x in enumerate(at[is_feature])}
+    weights = values[is_feature].reshape(-1, len(ROLES), len(LABELS)).transpose(1, 0, 2)
+    square = lambda kind, old: values[at == kind][:, : len(LABELS)] if (at == kind).any() else old
+    return Field(np.ascontiguousarray(weights), features, square("trans", start.trans), square("skip", start.skip), start.names)
 
 
 def find(items: DataFrame, entities: DataFrame, most_texts: int = MOST_TEXTS) -> DataFrame:
