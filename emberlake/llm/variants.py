@@ -1,8 +1,9 @@
 """Variant spellings of one person, organisation or place, linked into clusters.
 
 A reference's text is read into a core (surname, or an organisation's or place's own name) and a word
-(first name, or trade or kind of place), or an initial where the word is cut. Cores of equal word meet where they
-agree but for letters left out, very long ones by MinHash banding over padded q-grams, are verified by Monge-Elkan similarity, and clustered by stars: frequent
+(first name, or trade or kind of place), or an initial where the word is cut. Whole names meet by MinHash banding over
+padded q-grams where a word is none that many names have; cores of equal word meet where they
+agree but for letters left out, very long ones by bands too. All are verified by Monge-Elkan similarity and clustered by stars: frequent
 spellings are centres, the others join the most similar centre. Spellings with an initial join last.
 """
 
@@ -27,8 +28,10 @@ GRAM = 3
 LONG, SLIP, RECALL, ROWS = 24, 0.53, 0.96, 5
 #: The most slips between two cores, and the letters that each core must have for one.
 MOST_SLIPS, LETTERS_A_SLIP = 2, 4
-#: Words are known that stand beside this many other words, or this share of the references; MOST_WORDS at most.
-LEAST_BESIDE, SHARE_BESIDE, MOST_WORDS = 6, 0.0004, 5000
+#: Words are known that stand beside this many other words, unless they are a slip away from one that stands beside FAR_MORE times as many.
+LEAST_BESIDE, FAR_MORE = 6, 8
+#: Whole names of which one has an unknown word meet by bands; the similarity of two names of 12 letters that differ by two slips.
+NAME_SLIP, NAME_ROWS = 0.4, 3
 #: The least Monge-Elkan similarity of two spellings.
 SAME = 0.88
 
@@ -108,27 +111,20 @@ def split_name(text: str) -> tuple[list[str], bool]:
 
 
 class Words:
-    """First names and other words that many references share."""
+    """What is known of the tokens of some references: each one's known word, and which are known themselves."""
 
-    def __init__(self, known: set[str]):
-        self.known = known | set(NICKNAMES.values())
-        self.by_length: dict[int, list[str]] = {}
-        for w in sorted(self.known):
-            self.by_length.setdefault(len(w), []).append(w)
-        self._near: dict[str, str | None] = {}
+    def __init__(self, found: dict[str, str]):
+        self.found = found
 
     def find(self, token: str) -> str | None:
         """The known word that a token is: itself, what it is short for, or the only one a slip away."""
-        if token in NICKNAMES:
-            return NICKNAMES[token]
-        if token in self.known:
-            return token
-        if token not in self._near:
-            if len(self._near) > 100_000:
-                self._near.clear()
-            close = [w for n in (len(token) - 1, len(token), len(token) + 1) for w in self.by_length.get(n, ()) if len(token) >= 3 and slips(token, w, 1) == 1]
-            self._near[token] = close[0] if len(close) == 1 else None
-        return self._near[token]
+        return NICKNAMES.get(token) or self.found.get(token)
+
+    def is_known(self, token: str) -> bool:
+        return token in NICKNAMES or token in _FULL_NAMES or self.found.get(token) == token
+
+
+_FULL_NAMES = set(NICKNAMES.values())
 
 
 def read_person(tokens: list[str], login: bool, words: Words) -> tuple[str, str, str] | None:
@@ -142,7 +138,7 @@ def read_person(tokens: list[str], login: bool, words: Words) -> tuple[str, str,
     full = [t for t in tokens if len(t) > 1]
     if len(full) == 1:
         return "", next(t for t in tokens if len(t) == 1), full[0]
-    exact = [t for t in full if t in words.known or t in NICKNAMES]
+    exact = [t for t in full if words.is_known(t)]
     first = next(iter(exact), None) if len(exact) < len(full) else full[0]
     if first is None:
         first = next((t for t in full if words.find(t)), None) or min(full, key=lambda t: (len(t), full.index(t)))
@@ -172,12 +168,57 @@ def is_firm(tokens: list[str]) -> bool:
     return any(t in TRADE_WORDS or t in TRADES or t in LEGAL - {"as", "the", "co"} for t in tokens) or any(t.endswith(tuple(TRADE_WORDS)) and len(t) > 12 for t in tokens) or bool(tokens) and len(tokens) > 1 and any(slips(t, n, 1) <= 1 for t in tokens for n in TRADE_WORDS)
 
 
-def _known_words(references: DataFrame) -> Words:
-    tokens = F.filter(F.split(F.regexp_replace(F.regexp_replace("text", r"@.*$", ""), r"([a-zæøå])([A-ZÆØÅ])", "$1 $2"), r"[^\p{L}]+"), lambda t: F.length(t) >= 2)
-    ends = references.select(F.transform(tokens, lambda t: F.lower(t)).alias("t")).where(F.size("t").between(2, 3)).select("t", F.explode("t").alias("x"))
-    beside = ends.select("x", F.explode("t").alias("y")).where("x <> y").groupBy("x").agg(F.count_distinct("y").alias("n"))
-    least = max(LEAST_BESIDE, SHARE_BESIDE * references.count())
-    return Words({fold(r["x"]) for r in beside.where((F.col("n") >= least) & (F.length("x") <= 12)).orderBy(F.desc("n"), "x").limit(MOST_WORDS).collect()} - LEGAL - TRADE_WORDS - PLACE_WORDS - {"field", "team", "ekstern", "dr", "mr", "ms"})
+def _tokens_of(references: DataFrame) -> DataFrame:
+    """(ref, token) of each reference's text and aliases, as ``split_name`` reads them, with beside: whether the text has two or three tokens."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for ref, text, aliases in zip(b["ref"], b["text"], b["aliases"]):
+                own = split_name(text)[0]
+                also = [t for x in (aliases if aliases is not None else ()) if x for t in split_name(x)[0]]
+                long = [t for t in own if len(t) >= 2]
+                rows.append((ref, sorted({*own, *also}), long if 2 <= len(long) <= 3 else []))
+            yield pd.DataFrame(rows, columns=["ref", "tokens", "beside"])
+
+    return references.select("ref", "text", "aliases").mapInPandas(read, "ref string, tokens array<string>, beside array<string>")
+
+
+def _known_words(tokens: DataFrame) -> DataFrame:
+    """(word, n): words that stand beside many others in ``tokens(beside)``, but for slips of far more frequent ones.
+
+    The least number is fixed and slips are told by comparison, so the rule is the same at every size of the table.
+    """
+    never = sorted(LEGAL | TRADE_WORDS | PLACE_WORDS | {"field", "team", "ekstern", "dr", "mr", "ms"})
+    pair = tokens.select(F.explode("beside").alias("word"), "beside").select("word", F.explode("beside").alias("y")).where("word <> y")
+    often = pair.groupBy("word").agg(F.count_distinct("y").alias("n")).where((F.col("n") >= LEAST_BESIDE) & ~F.col("word").isin(never))
+    often = stage(often, "often")
+    a, b = (_keyed(often, "word").select("key", F.col("word").alias(x), F.col("n").alias(f"n{x}")) for x in ("a", "b"))
+    slip = a.hint("merge").join(b, "key").where((F.col("nb") >= FAR_MORE * F.col("na")) & (F.levenshtein("a", "b", 2) >= 0)).select(F.col("a").alias("word")).distinct()
+    known = often.join(slip, "word", "left_anti").select("word", "n")
+    full = tokens.sparkSession.createDataFrame([(w, 0) for w in sorted(_FULL_NAMES)], "word string, n long")
+    return known.unionByName(full).groupBy("word").agg(F.max("n").alias("n"))
+
+
+def _keyed(words: DataFrame, column: str) -> DataFrame:
+    """``words`` with key: the word and all it becomes by leaving out a letter. Two words a slip apart share a key."""
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(column), F.lit(1))), lambda i: F.concat(F.substring(column, F.lit(1), i - 1), F.substring(column, i + 1, F.length(column))))
+    return words.withColumn("key", F.explode(F.array_distinct(F.concat(F.array(column), cut))))
+
+
+def _resolved(tokens: DataFrame, known: DataFrame) -> DataFrame:
+    """(token, word): the known word that a token is, or the only one a slip away from a token of three letters or more."""
+    each = stage(tokens.select(F.explode("tokens").alias("token")).distinct(), "tokens")
+    same = each.join(known.select(F.col("word").alias("token")), "token", "left_semi").select("token", F.col("token").alias("word"))
+    open_ = each.join(known.select(F.col("word").alias("token")), "token", "left_anti").where(F.length("token") >= 3)
+    near = _keyed(open_, "token").hint("merge").join(_keyed(known.select("word"), "word"), "key").select("token", "word").distinct().where(F.levenshtein("token", "word", 2) >= 0)
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield x[[slips(t, w, 1) == 1 for t, w in zip(x["token"], x["word"])]]
+
+    near = near.mapInPandas(check, "token string, word string").groupBy("token").agg(F.count("*").alias("n"), F.min("word").alias("word")).where("n = 1").select("token", "word")
+    return same.unionByName(near)
 
 
 def references_of(entities: DataFrame, items: DataFrame, sources: list[str]) -> DataFrame:
@@ -187,9 +228,13 @@ def references_of(entities: DataFrame, items: DataFrame, sources: list[str]) ->
     return own.unionByName(senders.select(F.concat(F.lit("s:"), F.col("sender")).alias("ref"), F.col("sender").alias("text"), F.lit("").alias("kind"), F.lit(None).cast("array<string>").alias("aliases")))
 
 
-def _read(references: DataFrame, words: Words) -> DataFrame:
-    """(ref, kind, word, initial, core): what each reference's text, or else an alias of it, says."""
-    shared = references.sparkSession.sparkContext.broadcast(words)
+def _read(references: DataFrame) -> DataFrame:
+    """(ref, kind, word, initial, core, known): what each reference's text, or else an alias of it, says; known: whether the word is one."""
+    tokens = stage(_tokens_of(references), "tokens_of")
+    words = _resolved(tokens, stage(_known_words(tokens), "known"))
+    # A reference's few tokens come back to it with their words; references and tokens meet by shuffle.
+    own = tokens.select("ref", F.explode("tokens").alias("token")).join(words, "token").groupBy("ref").agg(F.collect_list("token").alias("tokens"), F.collect_list("word").alias("words"))
+    references = references.join(own, "ref", "left")
 
     def parse(text: str, kind: str, words: Words) -> tuple[str, str, str, str] | None:
         tokens, login = split_name(text)
@@ -204,12 +249,13 @@ def _read(references: DataFrame, words: Words) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for ref, text, kind, aliases in zip(b["ref"], b["text"], b["kind"], b["aliases"]):
-                found = None if _CODE.match(text.strip()) else parse(text, kind or "", shared.value)
+            for ref, text, kind, aliases, tokens, known in zip(b["ref"], b["text"], b["kind"], b["aliases"], b["tokens"], b["words"]):
+                own = Words(dict(zip(tokens, known)) if tokens is not None else {})
+                found = None if _CODE.match(text.strip()) else parse(text, kind or "", own)
                 if found is not None or aliases is None or not len(aliases):
                     rows.append((ref, 0, *(found or (kind or "", "", "", fold(text)))))
                 for k, other in enumerate(sorted({x for x in aliases if x}) if aliases is not None else (), 1):
-                    more = parse(other, kind or "", shared.value)
+                    more = parse(other, kind or "", own)
                     if more is None and found is not None and slips(fold(other), found[3]) <= 2:
                         more = (found[0], found[1], found[2], fold(other))  # the core alone
                     if more and found is None and len(split_name(other)[0]) < 2:
@@ -225,7 +271,8 @@ def _read(references: DataFrame, words: Words) -> DataFrame:
     # Of an entity's own spellings, the one that most references share stands for it: a slip seldom occurs twice.
     weight = said.groupBy("kind", "word", "core").agg(F.count_distinct("ref").alias("weight"))
     best = F.struct((F.col("word") != "").alias("named"), "weight", -F.col("place"), "kind", "word", "initial", "core")
-    return said.join(weight, ["kind", "word", "core"]).groupBy("ref").agg(F.max(best).alias("f")).select("ref", "f.kind", "f.word", "f.initial", "f.core")
+    best = said.join(weight, ["kind", "word", "core"]).groupBy("ref").agg(F.max(best).alias("f")).select("ref", "f.kind", "f.word", "f.initial", "f.core")
+    return best.join(words.where("token = word").select("word", F.lit(True).alias("known")), "word", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def bands_for(similarity: float, recall: float, rows: int) -> int:
@@ -272,6 +319,35 @@ def _signatures(most: int | None = None) -> Callable[[Iterator[pd.DataFrame]], I
     return keys
 
 
+def _whole_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Forms by MinHash bands over the padded q-grams of their whole names, in either order of word and core."""
+    bands = bands_for(NAME_SLIP, RECALL, NAME_ROWS)
+    rng = np.random.default_rng(17)
+    mult = rng.integers(1, 1 << 62, (bands * NAME_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    plus = rng.integers(0, 1 << 62, (bands * NAME_ROWS, 1), dtype=np.uint64)
+    pad = "#" * (GRAM - 1)
+    for b in batches:
+        forms, out = [], []
+        for form in b["form"]:
+            kind, word, core = form.split("|")
+            grams = {x[i : i + GRAM] for x in (f"{pad}{word}{pad}", f"{pad}{core}{pad}") for i in range(len(x) - GRAM + 1)}
+            hashes = np.array([xxhash.xxh64_intdigest(g) for g in sorted(grams)], np.uint64)
+            least = ((hashes * mult + plus) >> np.uint64(8)).min(1).reshape(bands, NAME_ROWS)
+            seed = xxhash.xxh64_intdigest(kind)
+            forms += [form] * bands
+            out += [xxhash.xxh64_intdigest(row.tobytes(), seed=(seed + n) % (1 << 63)) >> 1 for n, row in enumerate(least)]
+        yield pd.DataFrame({"form": np.array(forms, object), "band": np.array(out, np.int64)})
+
+
+def _alike(full: DataFrame) -> DataFrame:
+    """(a, b) forms whose whole names share a band, of which at least one has a word that is not known: an unknown nickname or a word of several slips."""
+    bands = full.select("form").mapInPandas(_whole_names, "form string, band long")
+    odd = full.where("NOT known").select("form").distinct()
+    pairs = bands.join(odd, "form", "left_semi").select("band", F.col("form").alias("x")).hint("merge").join(bands.select("band", F.col("form").alias("y")), "band").where("x <> y")
+    core = lambda c: F.element_at(F.split(F.col(c), r"\|"), -1)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().where(F.levenshtein(core("a"), core("b"), 4) >= 0)
+
+
 def _near(left: DataFrame, right: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(a, b) pairs of forms whose cores share a key and, by their letters, may be the same; ``left(form, salt, core)``."""
     one = left.mapInPandas(_signatures(most), "form string, band long")
@@ -299,6 +375,12 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(check, "a string, b string, n int")
 
 
+def _gaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs with the slips between their cores."""
+    for p in batches:
+        yield p[["a", "b"]].assign(n=np.array([slips(a.split("|")[-1], b.split("|")[-1]) for a, b in zip(p["a"], p["b"])], np.int32))
+
+
 def stars(forms: DataFrame, edges: DataFrame, most_rounds: int = 20) -> DataFrame:
     """(form, centre): star clustering of ``forms(form, weight)`` over ``edges(a, b, n)``.
 
@@ -340,19 +422,19 @@ def clusters(references: DataFrame) -> DataFrame:
     several fit, none is chosen. Null kinds are guessed from the text; texts that cannot be read stand alone
     with their equals. Null and empty aliases say nothing.
     """
-    refs = stage(_read(references, _known_words(references)), "references")
+    refs = stage(_read(references), "references")
     form = F.concat_ws("|", "kind", "word", "core")
     short = F.concat_ws("|", "kind", "initial", "core")
     has_word = (F.col("word") != "") | (F.col("kind") != "person")
-    full = stage(refs.where(has_word).groupBy(form.alias("form"), F.concat_ws("|", "kind", "word").alias("salt"), "core", "kind", "initial").agg(F.count("*").alias("weight"))
-                 .groupBy("form", "salt", "core", "kind").agg(F.min("initial").alias("initial"), F.sum("weight").alias("weight")), "forms")
-    centre = stage(stars(full, stage(_verified(_near(full.select("form", "salt", "core"))), "edges")), "stars")
+    full = stage(refs.where(has_word).groupBy(form.alias("form"), F.concat_ws("|", "kind", "word").alias("salt"), "core", "kind", "word", "known", "initial").agg(F.count("*").alias("weight"))
+                 .groupBy("form", "salt", "core", "kind", "word", "known").agg(F.min("initial").alias("initial"), F.sum("weight").alias("weight")), "forms")
+    people = full.where("kind = 'person' AND word <> ''")
+    pairs = _near(full.select("form", "salt", "core")).unionByName(_alike(people)).distinct()
+    centre = stage(stars(full, stage(_verified(pairs), "edges")), "stars")
     by_letter = F.concat_ws("|", "kind", F.substring(F.split_part("form", F.lit("|"), F.lit(2)), 1, 1))
     people = full.where("kind = 'person'").select("form", by_letter.alias("salt"), "core")
     cut = refs.where(~has_word).select(short.alias("form"), F.concat_ws("|", "kind", "initial").alias("salt"), "core").distinct()
-    met = _near(cut, people, 1)
-    gaps = F.udf(lambda a, b: slips(a.split("|")[-1], b.split("|")[-1]), "int")
-    fits = met.withColumn("n", gaps("a", "b")).where("n <= 1").join(centre.select(F.col("form").alias("b"), "centre"), "b")
+    fits = _near(cut, people, 1).mapInPandas(_gaps, "a string, b string, n int").where("n <= 1").join(centre.select(F.col("form").alias("b"), "centre"), "b")
     # The exact core counts before one a slip away.
     best = fits.groupBy("a", "centre").agg(F.min("n").alias("n"))
     best = best.withColumn("least", F.min("n").over(Window.partitionBy("a"))).where("n = least").groupBy("a").agg(F.count("*").alias("k"), F.min("centre").alias("centre")).where("k = 1")
