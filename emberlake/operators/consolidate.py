@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlake.operators.blocks import neighbours, row_numbers, running_sum, time_block
+
 
 def capped_sessions(items: DataFrame, gap_minutes: int = 240, cap: int = 50) -> DataFrame:
-    """``items`` with thread_key, session_no and place: a session ends after a gap or after ``cap`` items.
+    """``items`` with thread_key, us, session_no and place: a session ends after a gap or after ``cap`` items.
 
-    Items are ordered by timestamp and id in their source and thread; null threads of a source are one.
-    A thread is ordered in one window: use it where one thread's items fit a task.
+    Items are ordered by timestamp and id in their source and thread; null threads of a source are one; items
+    without timestamp are in no session. Only a block of hours of a thread is ever ordered in one task.
     """
+    thread, order, block = ["source", "thread_key"], ["us", "id"], time_block(F.col("us"))
     rows = items.where("timestamp IS NOT NULL").withColumn("thread_key", F.coalesce("thread_id", F.lit(""))).withColumn("us", F.unix_micros("timestamp"))
-    w = Window.partitionBy("source", "thread_key").orderBy("us", "id")
-    opens = F.when(F.col("us") - F.lag("us").over(w) > gap_minutes * 60_000_000, 1).otherwise(0)
-    rows = rows.withColumn("_opens", opens).withColumn("_gap", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy("source", "thread_key", "_gap").orderBy("us", "id")
-    n = F.row_number().over(inside) - 1
-    rows = rows.withColumn("_cap", F.floor(n / cap)).withColumn("place", (n % cap + 1).cast("long"))
-    first = F.when(F.col("place") == 1, 1).otherwise(0)
-    return rows.withColumn("_first", first).withColumn("session_no", F.sum("_first").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens", "_gap", "_cap", "_first")
+    small = neighbours(rows.select(*thread, *order), thread, block, order, ["us"])
+    opens = F.when(F.col("us") - F.col("prev.us") > gap_minutes * 60_000_000, 1).otherwise(0)
+    small = running_sum(small.withColumn("_opens", opens), thread, block, order, F.col("_opens"), "_gap")
+    small = row_numbers(small, [*thread, "_gap"], block, order, "_n").withColumn("place", (F.pmod(F.col("_n") - 1, F.lit(cap)) + 1).cast("long"))
+    small = running_sum(small, thread, block, order, F.when(F.col("place") == 1, 1).otherwise(0), "session_no")
+    # Texts stay out of the windows.
+    return rows.join(small.select("id", "place", "session_no"), "id")
 
 
 def consolidations(members: DataFrame, least: int = 3) -> DataFrame:
@@ -36,7 +38,7 @@ def consolidations(members: DataFrame, least: int = 3) -> DataFrame:
     return out.select(cid.alias("consolidation_id"), *key, "start_us", "end_us", "item_count", people.alias("participants"), ids.alias("raw_item_ids"))
 
 
-def summaries(members: DataFrame, least: int = 3, most_chars: int = 800) -> DataFrame:
+def summaries(members: DataFrame, least: int = 3, most_chars: int = 8000) -> DataFrame:
     """A header and one line per item while the budget lasts, then how many more there are."""
     key = ["source", "thread_key", "session_no"]
     stamp = lambda us: F.date_format(F.timestamp_micros(us), "yyyy-MM-dd HH:mm")
@@ -58,12 +60,16 @@ def summaries(members: DataFrame, least: int = 3, most_chars: int = 800) -> Data
 
 
 def folded_turns(items: DataFrame) -> DataFrame:
-    """Neighbouring messages of one sender in a thread as one turn: (source, thread_key, turn_no, sender, n, chars)."""
-    rows = items.where("timestamp IS NOT NULL").withColumn("thread_key", F.coalesce("thread_id", F.lit("")))
-    w = Window.partitionBy("source", "thread_key").orderBy("timestamp", "id")
-    changes = F.when(F.lag("sender").over(w).eqNullSafe(F.col("sender")) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    rows = rows.withColumn("_c", changes).withColumn("turn_no", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("source", "thread_key", "turn_no").agg(F.min("sender").alias("sender"), F.count("*").alias("n"), F.sum(F.length(F.coalesce("content", F.lit("")))).alias("chars"))
+    """Neighbouring messages of one sender in a thread as one turn: (source, thread_key, turn_no, sender, n, chars).
+
+    Null senders are one sender. A thread of any length is worked on by blocks of hours.
+    """
+    thread, order, block = ["source", "thread_key"], ["us", "id"], time_block(F.col("us"))
+    rows = items.where("timestamp IS NOT NULL").select("source", F.coalesce("thread_id", F.lit("")).alias("thread_key"), F.unix_micros("timestamp").alias("us"), "id", "sender", F.length(F.coalesce("content", F.lit(""))).alias("chars"))
+    rows = neighbours(rows, thread, block, order, ["sender"])
+    changes = F.when(F.col("prev").isNotNull() & F.col("prev.sender").eqNullSafe(F.col("sender")), 0).otherwise(1)
+    rows = running_sum(rows.withColumn("_c", changes), thread, block, order, F.col("_c"), "turn_no")
+    return rows.groupBy(*thread, "turn_no").agg(F.min("sender").alias("sender"), F.count("*").alias("n"), F.sum("chars").alias("chars"))
 
 
 def overlapping(sessions: DataFrame, since_us: int, until_us: int) -> DataFrame:

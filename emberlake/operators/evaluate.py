@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlake.operators.blocks import row_numbers, running_sum
+
 
 def hash_bucket(key: Column, buckets: int = 100) -> Column:
     """A stable bucket of a key: the first 15 hex digits of its sha1, modulo."""
@@ -67,16 +69,44 @@ def precision_recall(scores: DataFrame, thresholds: list[float]) -> DataFrame:
     return kept.join(F.broadcast(total)).select("threshold", "kept", F.try_divide("right", "kept").alias("precision"), F.try_divide("right", "positives").alias("recall"))
 
 
+def _range_block(df: DataFrame, keys: list[str], column: str, name: str, blocks: int = 256) -> DataFrame:
+    """``df`` with ``name``: in which of about ``blocks`` equally full ranges of its group the value of ``column`` lies, rising with it."""
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(column, F.array(*[F.lit(k / blocks) for k in range(1, blocks)]), F.lit(4 * blocks)).alias("_cuts"))
+    cuts = cuts.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(cuts, same).withColumn(name, F.size(F.filter("_cuts", lambda c: c < F.col(column)))).drop("_cuts", *[f"_k_{k}" for k in keys])
+
+
 def spearman(scores: DataFrame, group: str, a: str, b: str, tie: str) -> DataFrame:
-    """(group, n, rho): rank correlation of two scores inside each group, ties broken by ``tie``; null for one row."""
-    ra, rb = (F.row_number().over(Window.partitionBy(group).orderBy(F.desc(c), tie)) for c in (a, b))
-    d = scores.select(group, ra.alias("ra"), rb.alias("rb")).groupBy(group).agg(F.count("*").cast("double").alias("n"), F.sum(F.pow(F.col("ra") - F.col("rb"), F.lit(2))).alias("d2"))
+    """(group, n, rho): rank correlation of two scores inside each group, ties broken by ``tie``; null for one row.
+
+    Rows with a null score take no part. Groups are ranked by ranges of the score, so that few large groups fill many tasks.
+    """
+    rows = scores.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(group, a, b, tie)
+    for c, rank in ((a, "ra"), (b, "rb")):
+        rows = row_numbers(_range_block(rows, [group], c, "_range"), [group], -F.col("_range"), [F.desc(c), tie], rank).drop("_range")
+    d = rows.groupBy(group).agg(F.count("*").cast("double").alias("n"), F.sum(F.pow(F.col("ra") - F.col("rb"), F.lit(2))).alias("d2"))
     return d.select(group, F.col("n").cast("long").alias("n"), (1 - F.try_divide(6 * F.col("d2"), F.col("n") * (F.col("n") * F.col("n") - 1))).alias("rho"))
 
 
 def deciles(values: DataFrame, column: str) -> DataFrame:
-    """One row of the nine interpolated deciles."""
-    return values.agg(*[F.percentile(column, F.lit(k / 10)).alias(f"d{k}") for k in range(1, 10)])
+    """One row of the nine deciles, interpolated between neighbouring values; nulls where there are no values.
+
+    Equal values are counted together, counts add up by ranges of values, and of all values only those at the wanted places meet.
+    """
+    counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    upto = running_sum(_range_block(counts, [], "v", "_range"), [], F.col("_range"), ["v"], F.col("c"), "upto")
+    total = counts.agg(F.sum("c").alias("n"))
+    rows = upto.join(F.broadcast(total))  # one row
+    out = []
+    for k in range(1, 10):
+        place = F.lit(k / 10) * (F.col("n") - 1)
+        at = lambda r: F.max(F.when((F.col("upto") > r) & (F.col("upto") - F.col("c") <= r), F.col("v")))
+        low, part = at(F.floor(place)), F.max(place - F.floor(place))
+        out.append((low + part * (F.coalesce(at(F.floor(place) + 1), low) - low)).alias(f"d{k}"))
+    return rows.agg(*out)
 
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlake.functions.text import tokens
+from emberlake.session import stage
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Query words from this length on match as prefixes.
@@ -78,10 +79,11 @@ def _asked(phrases: list[Phrase]):
     return test
 
 
-def postings(docs: DataFrame, columns: list[str], keep=None) -> DataFrame:
-    """(id, len, col, pos, term) of ``docs(id, columns...)``; len: the document's terms over all columns. Null texts have none.
+def index_of(docs: DataFrame, columns: list[str], keep=None) -> DataFrame:
+    """(id, len, terms) of ``docs(id, columns...)``: the index that searches read, written as a table, so that texts are read and parted once.
 
-    ``keep``: a test that a term must pass to become a row.
+    terms: structs of col, pos and term; len: the document's terms over all columns. Null texts have none.
+    ``keep``: a test that a term must pass to stand in the table, for a list of queries that is all that will be asked.
     """
 
     def terms(c: str) -> Column:
@@ -90,15 +92,12 @@ def postings(docs: DataFrame, columns: list[str], keep=None) -> DataFrame:
 
     each = docs.select("id", *[tokens(F.col(c)).alias(f"_t_{c}") for c in columns])
     length = reduce(lambda a, b: a + b, [F.size(f"_t_{c}") for c in columns])
-    return each.select("id", length.alias("len"), F.explode(F.concat(*[terms(c) for c in columns])).alias("p")).select("id", "len", "p.*")
+    return stage(each.select("id", length.alias("len"), F.concat(*[terms(c) for c in columns]).alias("terms")), "index")
 
 
-def lengths(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """(id, len): terms over all the columns together."""
-    total = F.lit(0)
-    for c in columns:
-        total = total + F.size(tokens(F.col(c)))
-    return docs.select("id", total.alias("len"))
+def postings(index: DataFrame) -> DataFrame:
+    """(id, len, col, pos, term), one row per term of ``index_of``."""
+    return index.select("id", "len", F.explode("terms").alias("p")).select("id", "len", "p.*")
 
 
 def with_terms(phrases: DataFrame, terms: DataFrame) -> DataFrame:
@@ -121,25 +120,23 @@ def phrase_hits(post: DataFrame, phrases: DataFrame) -> DataFrame:
     return one.unionByName(runs.select("query_id", "phrase", "id", "len", "col")).groupBy("query_id", "phrase", "id", "len", "col").agg(F.count("*").alias("hits"))
 
 
-def bm25(docs: DataFrame, weights: dict[str, float], phrases: list[Phrase] | DataFrame) -> DataFrame:
+def bm25(docs: DataFrame, weights: dict[str, float], phrases: list[Phrase] | DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score): higher is better; only documents with a hit.
 
     ``docs(id, columns of weights)``, one row per id; ``phrases``: a list, or a table as of ``phrases_from``. All documents count for the number of documents and the mean
     length. A phrase's hits add up over the columns by weight; a term in over half the documents scores next
-    to nothing, as in the common formula with its floor.
+    to nothing, as in the common formula with its floor. ``index``: an ``index_of`` the documents that is at hand already.
     """
     spark, columns = docs.sparkSession, list(weights)
-    if isinstance(phrases, DataFrame):
-        post = postings(docs, columns)
-        wanted = with_terms(phrases, post.select("term").distinct())
-    else:
-        post = postings(docs, columns, _asked(phrases))
-        wanted = with_terms(phrase_table(spark, phrases), post.select("term").distinct())
+    if index is None:
+        index = index_of(docs, columns, None if isinstance(phrases, DataFrame) else _asked(phrases))
+    post = postings(index)
+    wanted = with_terms(phrases if isinstance(phrases, DataFrame) else phrase_table(spark, phrases), post.select("term").distinct())
     hits = phrase_hits(post, wanted)
     weight = F.create_map(*[F.lit(x) for c, w in weights.items() for x in (c, float(w))])
     f = hits.groupBy("query_id", "phrase", "id").agg(F.sum(weight[F.col("col")] * F.col("hits")).alias("f"), F.first("len").alias("len"))
     found = f.groupBy("query_id", "phrase").agg(F.count("*").alias("n"))
-    corpus = lengths(docs, columns).agg(F.count("*").cast("double").alias("total"), F.avg("len").alias("mean"))
+    corpus = index.agg(F.count("*").cast("double").alias("total"), F.avg("len").alias("mean"))
     rows = f.join(found, ["query_id", "phrase"]).join(F.broadcast(corpus))  # one row
     raw = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(LEAST_IDF)
@@ -160,7 +157,7 @@ def top_k(scored: DataFrame, k: int, group: str = "query_id", score: Column | No
 def rare_terms(docs: DataFrame, columns: list[str], words: list[str], most: int = 25) -> DataFrame:
     """(word, df) of the query words that stand in 1 to ``most`` documents."""
     wanted = sorted({w.lower() for w in words})
-    df = postings(docs, columns, lambda t: t.isin(wanted)).groupBy(F.col("term").alias("word")).agg(F.count_distinct("id").alias("df"))
+    df = postings(index_of(docs, columns, lambda t: t.isin(wanted))).groupBy(F.col("term").alias("word")).agg(F.count_distinct("id").alias("df"))
     return df.where(F.col("df") <= most)
 
 

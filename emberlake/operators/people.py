@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.functions.text import identity_key
+from emberlake.operators.blocks import BLOCK_US
 
 
 def identity_map(entities: DataFrame) -> DataFrame:
@@ -44,7 +45,12 @@ def exchanges(items: DataFrame, person: list[str], own: list[str], window_hours:
     only = identity_key(F.get("recipients", F.lit(0)))
     direct = F.coalesce((F.size("recipients") == 1) & F.when(F.col("role") == "o", only.isin(*p)).otherwise(only.isin(*o)), F.lit(False))
     span = int(window_hours * 3600 * 1_000_000)
-    w = Window.partitionBy("thread").orderBy("us").rangeBetween(-span, span)
+    # A row counts in its own block of time and, for the rows there, in the next one it reaches.
+    block = max(BLOCK_US, span)
+    at = lambda us: F.floor(us / block)
+    reached = F.array_distinct(F.array(at(F.col("us")), at(F.col("us") - span), at(F.col("us") + span)))
+    rows = rows.withColumn("direct", direct).withColumn("_own", at(F.col("us"))).withColumn("_block", F.explode(reached))
+    w = Window.partitionBy("thread", "_block").orderBy("us").rangeBetween(-span, span)
     near = {r: F.sum(F.when(F.col("role") == r, 1).otherwise(0)).over(w) for r in ("o", "p")}
     met = F.when(F.col("role") == "o", near["p"]).otherwise(near["o"]) > 0
-    return rows.withColumn("direct", direct).withColumn("met", met).where("direct OR met").select("id")
+    return rows.withColumn("met", met).where("_block = _own AND (direct OR met)").select("id")

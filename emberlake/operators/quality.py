@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlake.operators.blocks import neighbours, time_block
+
 # How reactions that arrive as text begin.
 REACTIONS = ["Liked ", "Loved ", "Emphasized ", "Laughed at ", "Questioned ", "Disliked "]
 SHORT = 10
@@ -59,6 +61,7 @@ def context(items: DataFrame, chars: int = 120) -> DataFrame:
     micros = F.unix_micros("timestamp")
     rows = items.where("thread_id IS NOT NULL").select("id", "thread_id", micros.alias("us"), "content")
     said = rows.groupBy("thread_id", "us").agg(F.min_by("content", "id").alias("said"))
-    w = Window.partitionBy("thread_id").orderBy("us")
-    near = said.select("thread_id", "us", F.substring(F.coalesce(F.lag("said").over(w), F.lit("")), 1, chars).alias("prev"), F.substring(F.coalesce(F.lead("said").over(w), F.lit("")), 1, chars).alias("next"))
+    near = neighbours(said, ["thread_id"], time_block(F.col("us")), ["us"], ["said"], after=True)
+    cut = lambda c: F.substring(F.coalesce(F.col(c), F.lit("")), 1, chars)
+    near = near.select("thread_id", "us", cut("prev.said").alias("prev"), cut("next.said").alias("next"))
     return rows.select("id", "thread_id", "us").join(near, ["thread_id", "us"]).select("id", "prev", "next")

@@ -243,10 +243,13 @@ docs AS (SELECT 'cons:' || substr(sha256(array_to_string(ids, ',')), 1, 32) AS i
 
 
 def _sessions(spark, d):
-    members = consolidate.capped_sessions(distinct_items(table(spark, d, "items").where(quality.is_message(F.col("source"))), *COLUMNS))
-    c = consolidate.consolidations(members).select("consolidation_id", "thread_key", F.posexplode("raw_item_ids").alias("pos", "id"))
-    rows = c.join(members.select("id", "content"), "id").groupBy("consolidation_id", "thread_key").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("content", F.lit("")).alias("c")))).getField("c"), " ").alias("content"))
-    return rows.select(F.col("consolidation_id").alias("id"), F.col("thread_key").alias("thread_id"), "content")
+    """(id, thread_id, source, content, participants, start_us, end_us) of the sessions of messages, as a table that searches read more than once."""
+    members = stage(consolidate.capped_sessions(distinct_items(table(spark, d, "items").where(quality.is_message(F.col("source"))), "source", "timestamp", "sender", "content", "thread_id")), "members")
+    c = stage(consolidate.consolidations(members), "consolidations")
+    each = c.select("consolidation_id", F.posexplode("raw_item_ids").alias("pos", "id"))
+    said = each.join(members.select("id", "content"), "id").groupBy("consolidation_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("content", F.lit("")).alias("c")))).getField("c"), " ").alias("content"))
+    rows = c.join(said, "consolidation_id")
+    return stage(rows.select(F.col("consolidation_id").alias("id"), F.col("thread_key").alias("thread_id"), "source", "content", "participants", "raw_item_ids", "start_us", "end_us"), "sessions")
 
 
 @query(f"WITH {_SESSIONS}, {_bm25_sql(_phrases(True), {'content': 1.0}, 'docs')}, t AS ({_top_sql(10)}) {_OUT} t")
