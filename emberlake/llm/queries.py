@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlake.llm import conversations, leakage, mailtext, neighbours, packing, pii, reading, variants
+from emberlake.session import stage
 from emberlake.tables import table
 
 CHATS = ["chats_desk", "chats_web"]
@@ -14,10 +15,22 @@ MESSAGES = ["imessage", "signal", "teams_ops", "teams_field"]
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "items").where(F.col("source").isin(CHATS))
-    found = conversations.rebuild(items, table(spark, sf_dir, "speaker_roles")).where("has_thread")
+    found = conversations.rebuild(items, table(spark, sf_dir, "speaker_roles"), attach=False).where("has_thread")
     return found.select("source", F.col("conv_key").alias("thread_id"), F.col("msg_pos").cast("long").alias("msg_pos"), "item_id")
 
 
+def p1_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations found again by links alone: all thread ids are blanked, and each message replies to the one of the number before its own.
+
+    (source, item_id, conversation, n_messages): conversation is named by its smallest item id.
+    """
+    items = table(spark, sf_dir, "items").where(F.col("source").isin(CHATS))
+    before = F.concat(F.regexp_extract("source_id", r"^(.*:)\d+$", 1), (F.regexp_extract("source_id", r":(\d+)$", 1).try_cast("long") - 1).cast("string"))
+    loose = items.withColumns({"thread_id": F.lit(None).cast("string"), "raw_metadata": F.to_json(F.struct(before.alias("reply_to")))})
+    rows = stage(conversations.conversation_rows(loose).select("source", F.col("id").alias("item_id"), F.col("conv_key").alias("conversation")), "linked")
+    return rows.join(rows.groupBy("conversation").agg(F.count("*").alias("n_messages")), "conversation").select("source", "item_id", "conversation", "n_messages")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "eval_id")
 
@@ -70,7 +83,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.level_profile(reading.reading_levels(documents, table(spark, sf_dir, "reading_labels")), documents)
 
 
-QUERIES = {"p10_found": p10_found, "p10_profile": p10_profile, "p1_found": p1_found, "p2_found": p2_found, "p2_new_text": p2_new_text, "p4_found": p4_found, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
+QUERIES = {"p10_found": p10_found, "p10_profile": p10_profile, "p1_found": p1_found, "p1_linked": p1_linked, "p2_found": p2_found, "p2_new_text": p2_new_text, "p4_found": p4_found, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
 
 _PLAIN = r"regexp_replace(lower({0}), '^[\s\p{{Z}}\p{{P}}\p{{Cf}}]+|[\s\p{{Z}}\p{{P}}\p{{Cf}}]+$', '', 'g')"
 _STAND_IN = conversations.STAND_INS.replace("'", "''")
@@ -82,5 +95,9 @@ SQL: dict[str, str] = {
     x AS (SELECT d.*, r.role, TRY_CAST(regexp_extract(source_id, ':(\\d+)$', 1) AS BIGINT) AS no, trim(regexp_replace(content, '{_BLANK}', ' ', 'g')) AS t FROM d LEFT JOIN r ON {_PLAIN.format('d.sender')} = r.form),
     s AS (SELECT source, thread_id FROM x GROUP BY ALL HAVING min(no) = 1 AND max(no) = count(*) AND count(DISTINCT no) = count(*) AND bool_and(coalesce(t <> '' AND NOT regexp_matches(t, '{_STAND_IN}') AND role IS NOT NULL AND timestamp IS NOT NULL, false))
       AND arg_min(role, (timestamp, no, id)) FILTER (role IN ('user', 'assistant')) = 'user' AND arg_max(role, (timestamp, no, id)) FILTER (role IN ('user', 'assistant')) = 'assistant')
-    SELECT source, thread_id, row_number() OVER (PARTITION BY source, thread_id ORDER BY timestamp, no, id)::BIGINT AS msg_pos, id AS item_id FROM x SEMI JOIN s USING (source, thread_id)"""
+    SELECT source, thread_id, row_number() OVER (PARTITION BY source, thread_id ORDER BY timestamp, no, id)::BIGINT AS msg_pos, id AS item_id FROM x SEMI JOIN s USING (source, thread_id)""",
+    # Runs of numbers without a hole, by source and what stands before the number.
+    "p1_linked": """WITH d AS (SELECT DISTINCT ON (id) id, source, regexp_extract(source_id, '^(.*:)[0-9]+$', 1) AS head, TRY_CAST(regexp_extract(source_id, ':([0-9]+)$', 1) AS BIGINT) AS no FROM items WHERE source IN ('chats_desk', 'chats_web') ORDER BY id, ingested_at),
+    r AS (SELECT *, no - dense_rank() OVER (PARTITION BY source, head ORDER BY no) AS run FROM d)
+    SELECT source, id AS item_id, CASE WHEN no IS NULL THEN id ELSE min(id) OVER w END AS conversation, CASE WHEN no IS NULL THEN 1 ELSE count(*) OVER w END AS n_messages FROM r WINDOW w AS (PARTITION BY source, head, run)""",
 }
