@@ -130,7 +130,8 @@ def _new_entries(rows: DataFrame, known: DataFrame | None) -> DataFrame:
     if known is not None:
         same = reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in DICTIONARY_KEY])
         new = new.alias("a").join(known.alias("b"), same, "left_anti").select(*DICTIONARY_KEY, "n_rows")
-    return with_instants(new)
+    # Few bytes make much parsing: adaptive execution would put them into a few tasks.
+    return with_instants(new.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *DICTIONARY_KEY))
 
 
 def parse_dictionary(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:

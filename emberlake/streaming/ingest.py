@@ -1,4 +1,4 @@
-"""Ingest as a stream: micro-batches upsert into the store, sources keep marks, sessions close behind a watermark."""
+"""Ingest as a stream: micro-batches append to the store by id, sources keep marks."""
 
 from __future__ import annotations
 
@@ -34,7 +34,7 @@ def append_new(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     def write(batch: DataFrame, no: int) -> None:
         spark = batch.sparkSession
         items = f"{path}/items"
-        new = not_stored(batch, _known(spark, items, batch.schema.simpleString()[7:-1].replace(":", " ")) if no else spark.createDataFrame([], batch.schema))
+        new = not_stored(batch, _known(spark, items, batch.schema.simpleString()[7:-1].replace(":", " ")))
         new.write.mode("append").parquet(items)
         old = _known(spark, f"{path}/marks", "source string, last_us long, batch long")
         advance(old, batch).withColumn("batch", F.lit(no)).write.mode("append").parquet(f"{path}/marks")
