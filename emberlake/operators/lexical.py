@@ -63,7 +63,7 @@ def phrases_from(queries: DataFrame, prefixes: bool = True) -> DataFrame:
     return each.select("query_id", "phrase", "idx", "word", (F.col("long") & (F.col("idx") == F.col("words") - 1)).alias("prefix"), "words")
 
 
-def _asked(phrases: list[Phrase]):
+def asked(phrases: list[Phrase]):
     """A test of a term: whether a phrase of the list has it, or the beginning of it as a prefix."""
     whole = sorted({w for p in phrases for w in (p.words[:-1] if p.prefix else p.words)})
     heads: dict[int, set[str]] = {}
@@ -90,7 +90,8 @@ def index_of(docs: DataFrame, columns: list[str], keep=None) -> DataFrame:
         placed = F.transform(F.col(f"_t_{c}"), lambda t, i: F.struct(F.lit(c).alias("col"), i.alias("pos"), t.alias("term")))
         return placed if keep is None else F.filter(placed, lambda s: keep(s["term"]))
 
-    each = docs.select("id", *[tokens(F.col(c)).alias(f"_t_{c}") for c in columns])
+    text = lambda c: F.array_join(c, " ") if dict(docs.dtypes)[c].startswith("array") else F.col(c)
+    each = docs.select("id", *[tokens(text(c)).alias(f"_t_{c}") for c in columns])
     length = reduce(lambda a, b: a + b, [F.size(f"_t_{c}") for c in columns])
     return stage(each.select("id", length.alias("len"), F.concat(*[terms(c) for c in columns]).alias("terms")), "index")
 
@@ -129,7 +130,7 @@ def bm25(docs: DataFrame, weights: dict[str, float], phrases: list[Phrase] | Dat
     """
     spark, columns = docs.sparkSession, list(weights)
     if index is None:
-        index = index_of(docs, columns, None if isinstance(phrases, DataFrame) else _asked(phrases))
+        index = index_of(docs, columns, None if isinstance(phrases, DataFrame) else asked(phrases))
     post = postings(index)
     wanted = with_terms(phrases if isinstance(phrases, DataFrame) else phrase_table(spark, phrases), post.select("term").distinct())
     hits = phrase_hits(post, wanted)
