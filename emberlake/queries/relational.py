@@ -248,14 +248,16 @@ def assoc_weights(spark, d):
 _NORM = "regexp_replace(regexp_replace(canonical_name, '[ \\t\\r\\n\\f\\v]+', ' ', 'g'), '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')"
 
 
-@query(f"""WITH r AS (SELECT entity_type, lower({_NORM}) AS norm FROM entities WHERE coalesce(pending_review, 0) <> 2)
-    SELECT norm, entity_type, count(*)::BIGINT AS n FROM r WHERE norm <> '' GROUP BY ALL HAVING count(*) > 1""")
+@query(f"""WITH {_LINKS}, u AS (SELECT entity_id, count(*) AS uses FROM links GROUP BY 1), t AS (SELECT id, entity_type, canonical_name, coalesce(uses, 0) AS uses, {_NORM} AS plain FROM entities LEFT JOIN u ON u.entity_id = id WHERE coalesce(pending_review, 0) <> 2),
+    r AS (SELECT *, lower(plain) AS norm, CASE WHEN entity_type IN ('person', 'place') THEN array_to_string([upper(x[1:1]) || lower(x[2:]) FOR x IN string_split(plain, ' ')], ' ') ELSE plain END AS tidy FROM t)
+    SELECT norm, entity_type, count(*)::BIGINT AS n, arg_min(id, (tidy <> canonical_name, -uses, length(canonical_name), id)) AS survivor FROM r WHERE norm <> '' GROUP BY ALL HAVING count(*) > 1""")
 def normalize_groups(spark, d):
     uses = people.participant_links(_items(spark, d), table(spark, d, "entities")).groupBy("entity_id").agg(F.count("*").alias("n"))
-    return ent.normalised_groups(table(spark, d, "entities"), uses).select("norm", "entity_type", "n")
+    return ent.normalised_groups(table(spark, d, "entities"), uses).select("norm", "entity_type", "n", "survivor")
 
 
-@query("""WITH r AS (SELECT id, entity_type, trim(regexp_replace(trim(regexp_replace(regexp_replace(lower(canonical_name), '[^\\p{L}\\p{N} ]', ' ', 'g'), ' +', ' ', 'g')), '( (as|asa|ltd|inc|gmbh|llc|corp|co|ab|limited|incorporated))+$', '')) AS key FROM entities WHERE coalesce(pending_review, 0) <> 2)
+@query("""WITH r AS (SELECT id, entity_type, array_to_string([w FOR w IN regexp_split_to_array(lower(canonical_name), '[^\\p{L}\\p{N}_]+')
+      IF w <> '' AND w NOT IN ('as', 'asa', 'ab', 'inc', 'llc', 'ltd', 'gmbh', 'group', 'gruppen', 'consulting', 'consult', 'holding', 'norge', 'company', 'co', 'corp')], ' ') AS key FROM entities WHERE coalesce(pending_review, 0) <> 2)
     SELECT key, entity_type, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM r WHERE key <> '' GROUP BY key, entity_type HAVING count(*) > 1""")
 def merge_suggestions(spark, d):
     return ent.merge_suggestions(table(spark, d, "entities")).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))

@@ -19,6 +19,9 @@ ITEM_COLUMNS = ["id", "source", "source_id", "timestamp", "sender", "recipients"
 APPLE_EPOCH = 978_307_200
 # Local parts of addresses that machines send from.
 AUTOMATED = r"(?i)^(?:no[-_]?reply|do[-_]?not[-_]?reply|donotreply|automated|notifications?|invitations?|informer|newsletter|mailer|bouncer?|reply|alerts?|updates?|digest|ikkesvar|noresponse|noresponder|postmaster|mailer-daemon|notify|hello|team|news|announce|automatic|system)@"
+# Headers of mail that goes to a list, and how names of machines look.
+LIST_HEADERS = ["list-unsubscribe", "list-id", "list-help"]
+MACHINE_NAME = r"(?i)\b(?:bot|workflows?|connector|webhook|service account|power automate|notifications?)\b"
 DATE_IN_NAME = r"(20\d{2})[-_.]?([01]\d)[-_.]?([0-3]\d)"
 
 
@@ -41,9 +44,10 @@ def as_items(df: DataFrame, source: str) -> DataFrame:
     return df.withColumn("source", F.lit(source)).withColumn("id", item_id(F.col("source"), F.col("source_id"))).select(*ITEM_COLUMNS)
 
 
-def since(items: DataFrame, watermark) -> DataFrame:
-    """Items not older than ``watermark``; None reads all."""
-    return items if watermark is None else items.where(F.col("timestamp") >= F.lit(watermark).cast("timestamp"))
+def since(items: DataFrame, watermark, floor=None, full: bool = False) -> DataFrame:
+    """Items not older than the later of ``watermark`` and the configured ``floor``; a ``full`` run minds only the floor, None reads all."""
+    marks = [F.lit(x).cast("timestamp") for x in ([] if full else [watermark]) + [floor] if x is not None]
+    return items if not marks else items.where(F.col("timestamp") >= (marks[0] if len(marks) == 1 else F.greatest(*marks)))
 
 
 def chat_export(messages: DataFrame, handles: DataFrame, chats: DataFrame, source: str = "imessage") -> DataFrame:
@@ -87,7 +91,7 @@ def mail_files(spark: SparkSession, path: str, glob: str = "*.eml", source: str
             rows = []
             for content in b["content"]:
                 m = message_from_bytes(content, policy=policy.default)
-                if any(m.get(h) for h in ("List-Unsubscribe", "List-Id", "List-Help")) or str(m.get("Precedence", "")).lower() in ("bulk", "list", "junk"):
+                if any(m.get(h) for h in ("List-Unsubscribe", "List-Id", "List-Help")) or str(m.get("Precedence", "")).lower() in ("bulk", "list", "junk") or str(m.get("Auto-Submitted", "no")).lower() != "no":
                     continue
                 body = m.get_body(("plain", "html"))
                 try:
@@ -186,3 +190,91 @@ def folder(spark: SparkSession, path: str, source: str = "folder") -> DataFrame:
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").select("value", F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_modification_time").alias("mtime"))
     named = F.concat_ws("-", *[F.regexp_extract("source_id", DATE_IN_NAME, g) for g in (1, 2, 3)]).try_cast("timestamp")
     return as_items(files.select("source_id", F.coalesce(named, "mtime").alias("timestamp"), F.lit(True).alias("timestamp_inferred"), F.col("value").alias("content"), F.regexp_extract("source_id", r"([^/]+)$", 1).alias("subject")), source)
+
+
+def mail_listing(spark: SparkSession, path: str, source: str = "email") -> DataFrame:
+    """JSON lines of a mail service's listing (id, conversationId, subject, from, toRecipients, receivedDateTime, body, internetMessageHeaders); lists' and machines' mail is left out."""
+    person = "struct<emailAddress:struct<name:string, address:string>>"
+    m = spark.read.schema(f"id string, conversationId string, subject string, from {person}, toRecipients array<{person}>, ccRecipients array<{person}>, receivedDateTime string, body struct<contentType:string, content:string>, internetMessageHeaders array<struct<name:string, value:string>>").json(path)
+    headers = F.transform(F.coalesce("internetMessageHeaders", F.array().cast("array<struct<name:string,value:string>>")), lambda h: F.lower(h["name"]))
+    sender = F.col("from.emailAddress.address")
+    by_machine = F.arrays_overlap(headers, F.array(*map(F.lit, LIST_HEADERS))) | F.coalesce(sender.rlike(AUTOMATED), F.lit(False))
+    to = F.filter(F.concat(*[F.coalesce(F.col(c)["emailAddress"]["address"], F.array().cast("array<string>")) for c in ("toRecipients", "ccRecipients")]), lambda a: a.isNotNull())
+    text = F.when(F.lower("body.contentType") == "html", html_to_text(F.col("body.content"))).otherwise(F.col("body.content"))
+    return as_items(m.where(F.col("id").isNotNull() & ~by_machine).select(F.col("id").alias("source_id"), F.col("receivedDateTime").try_cast("timestamp").alias("timestamp"), sender.alias("sender"), to.alias("recipients"), text.alias("content"), "subject", F.col("conversationId").alias("thread_id")), source)
+
+
+def delimited_records(spark: SparkSession, path: str, fields: list[str], source: str, record: str = "\x1e", unit: str = "\x1f") -> DataFrame:
+    """Text files of records parted by ``record`` and fields by ``unit``, as a desktop application exports them; ``fields`` names them in order.
+
+    source_id is a must; records with another number of fields are left out. A timestamp is read as written, others become null.
+    """
+    rows = spark.read.option("lineSep", record).text(path).select(F.split("value", unit).alias("f")).where(F.size("f") == len(fields))
+    rows = rows.select(*[F.nullif(F.trim(F.get("f", F.lit(k))), F.lit("")).alias(c) for k, c in enumerate(fields)]).where("source_id IS NOT NULL")
+    if "timestamp" in fields:
+        rows = rows.withColumn("timestamp", F.col("timestamp").try_cast("timestamp"))
+    if "recipients" in fields:
+        rows = rows.withColumn("recipients", F.filter(F.split(F.coalesce("recipients", F.lit("")), r"\s*[;,]\s*"), lambda r: r != ""))
+    return as_items(rows, source)
+
+
+def chat_service(spark: SparkSession, path: str, source: str = "teams_chats", own: str = "me") -> DataFrame:
+    """JSON lines of chats with their roster (id, topic, members, messages): recipients are the roster without the sender, a talk of two is named after the other one."""
+    message = "struct<id:string, type:string, from:string, composeTime:string, content:string>"
+    c = spark.read.schema(f"id string, topic string, members array<struct<id:string, name:string>>, messages array<{message}>").json(path)
+    m = c.select(F.col("id").alias("thread_id"), "topic", "members", F.explode("messages").alias("m")).where("m.id IS NOT NULL AND m.type IN ('RichText/Html', 'Text')")
+    name_of = F.get(F.filter("members", lambda p: p["id"] == F.col("m.from")), F.lit(0))["name"]
+    others = F.transform(F.filter("members", lambda p: p["id"] != F.col("m.from")), lambda p: F.coalesce(p["name"], p["id"]))
+    single = F.get(F.filter(F.col("members.name"), lambda n: n != own), F.lit(0))
+    subject = F.coalesce("topic", F.when(F.size("members") == 2, single))
+    rows = m.select(F.concat_ws(":", "thread_id", "m.id").alias("source_id"), F.col("m.composeTime").try_cast("timestamp").alias("timestamp"), F.coalesce(name_of, F.col("m.from")).alias("sender"), others.alias("recipients"), html_to_text(F.col("m.content")).alias("content"), subject.alias("subject"), "thread_id")
+    return as_items(rows.where("content <> ''"), source)
+
+
+def channels(spark: SparkSession, path: str, source: str = "teams_channels") -> DataFrame:
+    """JSON lines of channel posts with replies (id, team, channel, from, createdDateTime, subject, body, replies); a post and its replies are a thread, machines' posts are left out."""
+    post = "id string, from struct<user:struct<displayName:string>>, createdDateTime string, body struct<content:string>"
+    p = spark.read.schema(f"{post}, team string, channel string, subject string, replies array<struct<{', '.join(x.replace(' ', ':', 1) for x in ('id string', 'from struct<user:struct<displayName:string>>', 'createdDateTime string', 'body struct<content:string>'))}>>").json(path)
+    cols = ["id", "from", "createdDateTime", "body"]
+    top = p.select("team", "channel", "subject", F.col("id").alias("root"), F.struct(*cols).alias("m"))
+    rest = p.select("team", "channel", "subject", F.col("id").alias("root"), F.explode("replies").alias("m"))
+    rows = top.unionByName(rest).where(F.col("m.id").isNotNull() & F.col("m.from.user.displayName").isNotNull() & ~F.col("m.from.user.displayName").rlike(MACHINE_NAME))
+    text = html_to_text(F.coalesce("m.body.content", F.lit("")))
+    return as_items(rows.select(F.concat_ws(":", "root", "m.id").alias("source_id"), F.col("m.createdDateTime").try_cast("timestamp").alias("timestamp"), F.col("m.from.user.displayName").alias("sender"), text.alias("content"), F.coalesce("subject", F.concat_ws(" / ", "team", "channel")).alias("subject"), F.concat_ws(":", "team", "channel", "root").alias("thread_id")).where("content <> ''"), source)
+
+
+def memory_files(spark: SparkSession, path: str, source: str = "agent_memory", least: int = 20) -> DataFrame:
+    """Markdown files of an assistant's memory: every section under a heading is an item; the repository is the folder above ``memory``, times are the file's and inferred."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("timestamp"))
+    body = F.regexp_replace("value", r"(?s)\A---\r?\n.*?\r?\n---\r?\n", "")
+    rows = files.select("path", "timestamp", F.posexplode(F.split(body, r"(?m)^(?=#{1,6} )")).alias("no", "part")).withColumn("part", F.btrim("part", F.lit(" \t\r\n"))).where(F.length("part") >= least)
+    repo = F.nullif(F.regexp_extract("path", r"([^/]+)/memory/[^/]+$", 1), F.lit(""))
+    heading = F.nullif(F.trim(F.regexp_extract("part", r"\A#{1,6} ([^\n]*)", 1)), F.lit(""))
+    # A section keeps its id as long as its heading and place do.
+    key = F.concat("path", F.lit("#"), F.substring(F.sha2(F.concat_ws("|", F.coalesce(heading, F.lit("")), F.col("no").cast("string")), 256), 1, 8))
+    return as_items(rows.select(key.alias("source_id"), "timestamp", F.lit(True).alias("timestamp_inferred"), F.col("part").alias("content"), F.coalesce(heading, F.regexp_extract("path", r"([^/]+)\.md$", 1)).alias("subject"), F.to_json(F.struct(repo.alias("repo"))).alias("raw_metadata")), source)
+
+
+def address_book(records: DataFrame, phones: DataFrame, mails: DataFrame) -> DataFrame:
+    """(canonical, aliases) of an address book's records(id, first, last, organisation), phones(owner, number) and mails(owner, address).
+
+    Records without phone or mail stay; of a record without any name the organisation is the name; numbers stand in international form, addresses in lower case. Repeats fold.
+    """
+    from emberlake.functions.text import phone
+
+    p = phones.select(F.col("owner").alias("id"), phone(F.col("number")).alias("p")).groupBy("id").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    e = mails.select(F.col("owner").alias("id"), F.lower(F.trim("address")).alias("e")).where("e LIKE '%@%'").groupBy("id").agg(F.array_sort(F.collect_set("e")).alias("es"))
+    none = F.array().cast("array<string>")
+    name = F.coalesce(F.nullif(F.trim(F.concat_ws(" ", "first", "last")), F.lit("")), F.nullif(F.trim("organisation"), F.lit("")))
+    rows = records.join(p, "id", "left").join(e, "id", "left").select(name.alias("canonical"), F.concat(F.coalesce("ps", none), F.coalesce("es", none)).alias("aliases")).where("canonical IS NOT NULL")
+    return rows.groupBy("canonical").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"))
+
+
+def directory(spark: SparkSession, path: str) -> DataFrame:
+    """(canonical, aliases) of JSON lines of a company directory (displayName, mail, userPrincipalName, businessPhones, mobilePhone); records without a name are left out."""
+    from emberlake.functions.text import phone
+
+    d = spark.read.schema("displayName string, mail string, userPrincipalName string, businessPhones array<string>, mobilePhone string").json(path)
+    numbers = F.transform(F.concat(F.coalesce("businessPhones", F.array().cast("array<string>")), F.array("mobilePhone")), lambda n: phone(n))
+    aliases = F.array_distinct(F.array_compact(F.concat(F.array(F.lower("mail"), F.lower("userPrincipalName")), numbers)))
+    return d.select(F.trim("displayName").alias("canonical"), aliases.alias("aliases")).where("canonical <> ''").groupBy("canonical").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"))
