@@ -133,11 +133,15 @@ def bm25(docs: DataFrame, weights: dict[str, float], phrases: list[Phrase] | Dat
         index = index_of(docs, columns, None if isinstance(phrases, DataFrame) else asked(phrases))
     post = postings(index)
     wanted = with_terms(phrases if isinstance(phrases, DataFrame) else phrase_table(spark, phrases), post.select("term").distinct())
-    hits = phrase_hits(post, wanted)
+    corpus = index.agg(F.count("*").cast("double").alias("total"), F.avg("len").alias("mean"))
+    return _scored(phrase_hits(post, wanted), weights, corpus)
+
+
+def _scored(hits: DataFrame, weights: dict[str, float], corpus: DataFrame) -> DataFrame:
+    """(query_id, id, score) of ``phrase_hits``; ``corpus``: one row (total, mean)."""
     weight = F.create_map(*[F.lit(x) for c, w in weights.items() for x in (c, float(w))])
     f = hits.groupBy("query_id", "phrase", "id").agg(F.sum(weight[F.col("col")] * F.col("hits")).alias("f"), F.first("len").alias("len"))
     found = f.groupBy("query_id", "phrase").agg(F.count("*").alias("n"))
-    corpus = index.agg(F.count("*").cast("double").alias("total"), F.avg("len").alias("mean"))
     rows = f.join(found, ["query_id", "phrase"]).join(F.broadcast(corpus))  # one row
     raw = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(LEAST_IDF)
@@ -174,3 +178,26 @@ def synonym_groups(entities: DataFrame) -> DataFrame:
     own = entities.where("coalesce(pending_review, 0) <> 2").select("id", F.transform(F.filter(names, lambda n: F.trim(n) != ""), lambda n: F.lower(F.trim(n))).alias("names")).withColumn("names", F.array_distinct("names")).where(F.size("names") > 1)
     words = own.select("names", F.explode("names").alias("word")).where("word NOT LIKE '% %'")
     return words.groupBy("word").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("spellings"))
+
+
+def write_index(docs: DataFrame, columns: list[str], path: str, buckets: int = 64, spread: int = 4) -> None:
+    """Keep the index of ``docs`` under ``path``: postings in ``buckets`` by the hash of the term, the terms in order, and the corpus statistics.
+
+    A search reads the buckets of its terms alone, of the terms only what begins as its prefixes do. A bucket is written by ``spread`` tasks, so a term of very many rows fills no single one.
+    """
+    index = index_of(docs, columns)
+    post = postings(index).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    post.repartition(buckets, "bucket", F.pmod(F.xxhash64("id"), F.lit(spread))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    post.select("term", "bucket").distinct().repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    index.agg(F.count("*").cast("double").alias("total"), F.avg("len").alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def stored_bm25(spark: SparkSession, path: str, weights: dict[str, float], phrases: list[Phrase]) -> DataFrame:
+    """``bm25`` of an index that ``write_index`` keeps: only the partitions of the asked terms are read."""
+    terms = spark.read.parquet(f"{path}/terms")
+    begins = [F.col("term").startswith(p.words[-1]) for p in phrases if p.prefix]
+    whole = sorted({w for p in phrases for w in (p.words[:-1] if p.prefix else p.words)})
+    near = terms.where(reduce(or_, begins, F.col("term").isin(whole) if whole else F.lit(False)))
+    wanted = with_terms(phrase_table(spark, phrases), near.select("term")).join(near, "term")
+    post = spark.read.parquet(f"{path}/postings").where(F.col("col").isin(list(weights)))
+    return _scored(phrase_hits(post.join(near, ["term", "bucket"], "left_semi").drop("bucket"), wanted.drop("bucket")), weights, spark.read.parquet(f"{path}/stats"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlake.operators import consolidate, fusion, lexical, promote, quality, signals, vector
-from emberlake.plans.retrieve import ITEM_WEIGHTS, HybridConfig, hybrid
+from emberlake.plans.retrieve import ITEM_WEIGHTS, SESSION_WEIGHTS, HybridConfig, hybrid, hydrated
 from emberlake.queries.relational import COLUMNS, ITEMS, LOG, MESSAGES, _log
-from emberlake.session import stage
+from emberlake.session import shared_dir, stage
+from emberlake.sources import store
 from emberlake.tables import distinct_items, table
 
 QUERIES: dict = {}
@@ -81,6 +84,14 @@ def bm25_prefix(spark, d):
     return _top(lexical.bm25(_items(spark, d), ITEM_WEIGHTS, _phrases(True)), 20)
 
 
+@query(f"WITH {ITEMS}, {_bm25_sql(_phrases(True), ITEM_WEIGHTS)}, t AS ({_top_sql(20)}) {_OUT} t")
+def bm25_stored(spark, d):
+    """The searches of ``bm25_prefix`` on an index that was written before."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    lexical.write_index(_items(spark, d), list(ITEM_WEIGHTS), path)
+    return _top(lexical.stored_bm25(spark, path, ITEM_WEIGHTS, _phrases(True)), 20)
+
+
 SYNONYMS = {"budget": ["budget", "budsjettet"], "retry": ["retry", "restart", "start på nytt"], "onsdag": ["onsdag", "wednesday"]}
 
 
@@ -257,7 +268,12 @@ def bm25_sessions(spark, d):
     return _top(lexical.bm25(_sessions(spark, d), {"content": 1.0}, _phrases(True)), 10)
 
 
-@query()
+@query(f"""WITH {_SESSIONS}, si AS (WITH {_bm25_sql(_phrases(True), ITEM_WEIGHTS)} SELECT * FROM scored), ss AS (WITH {_bm25_sql(_phrases(True), {'content': 1.0}, 'docs')} SELECT * FROM scored),
+    ti AS ({_top_sql(50, 'si')}), ts AS ({_top_sql(50, 'ss')}),
+    fu AS (SELECT query_id, 'item' AS kind, id, round(1.0 / (30 + rank), 9)::DOUBLE AS score FROM ti UNION ALL SELECT query_id, 'session', id, round(1.05 / (30 + rank), 9)::DOUBLE FROM ts),
+    pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kind, id) AS place FROM fu),
+    ld AS (SELECT query_id, thread_id, max(score) AS lead FROM pl JOIN docs USING (id) WHERE place <= 3 AND kind = 'session' AND thread_id <> '' GROUP BY ALL)
+    SELECT fu.query_id, fu.kind, fu.id, round(fu.score + CASE WHEN fu.kind = 'item' THEN coalesce(0.15 * lead, 0) ELSE 0 END, 9)::DOUBLE AS score FROM fu LEFT JOIN d ON d.id = fu.id LEFT JOIN ld ON ld.query_id = fu.query_id AND ld.thread_id = d.thread_id""")
 def thread_credit(spark, d):
     items, sessions = _items(spark, d), _sessions(spark, d)
     lanes = [
@@ -267,13 +283,42 @@ def thread_credit(spark, d):
     return fusion.thread_credit(fusion.rrf(lanes), items, sessions).select("query_id", "kind", "id", "score")
 
 
+_FILTERED = f"""{_SESSIONS}, g2 AS (SELECT source, thread_key, gap, cap, list(id ORDER BY us, id) AS ids, string_agg(coalesce(content, ''), ' ' ORDER BY us, id) AS summary, min(us) AS start_us, max(us) AS end_us, count(*) AS n FROM m GROUP BY source, thread_key, gap, cap HAVING count(*) >= 3),
+pp AS (SELECT source, thread_key, gap, cap, sender, min((us, id)) AS f FROM m WHERE sender IS NOT NULL AND sender <> '' GROUP BY source, thread_key, gap, cap, sender),
+pq AS (SELECT source, thread_key, gap, cap, list(sender ORDER BY f) AS people FROM pp GROUP BY source, thread_key, gap, cap),
+sx AS (SELECT 'cons:' || substr(sha256(array_to_string(ids, ',')), 1, 32) AS id, source, thread_key AS thread_id, ids, summary, start_us, end_us, n, coalesce(people, []) AS people, array_to_string(coalesce(people, []), ' ') AS participants FROM g2 LEFT JOIN pq USING (source, thread_key, gap, cap)),
+ok AS (SELECT id FROM d WHERE source IN ('signal', 'email', 'teams_ops') AND timestamp >= TIMESTAMPTZ '2026-03-01 00:00:00+00' AND timestamp <= TIMESTAMPTZ '2026-05-01 00:00:00+00' AND NOT coalesce(timestamp_inferred, false) AND junk_reason IS NULL
+  AND id NOT IN (SELECT unnest(ids) FROM sx) AND sender IS DISTINCT FROM 'me'),
+os AS (SELECT id FROM sx WHERE source IN ('signal', 'email', 'teams_ops') AND end_us >= epoch_us(TIMESTAMP '2026-03-01') AND start_us <= epoch_us(TIMESTAMP '2026-05-01')),
+si AS (WITH {_bm25_sql(_phrases(True), ITEM_WEIGHTS)} SELECT scored.* FROM scored JOIN ok USING (id)), ss AS (WITH {_bm25_sql(_phrases(True), SESSION_WEIGHTS, 'sx')} SELECT scored.* FROM scored JOIN os USING (id)),
+ti AS ({_top_sql(200, 'si')}), ts AS ({_top_sql(200, 'ss')}),
+fu AS (SELECT query_id, 'item' AS kind, id, round(1.0 / (30 + rank), 9)::DOUBLE AS score FROM ti UNION ALL SELECT query_id, 'session', id, round(1.05 / (30 + rank), 9)::DOUBLE FROM ts),
+pz AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kind, id) AS place FROM fu),
+ld AS (SELECT query_id, thread_id, max(score) AS lead FROM pz JOIN sx USING (id) JOIN os USING (id) WHERE place <= 3 AND kind = 'session' AND thread_id <> '' GROUP BY ALL),
+cr AS (SELECT fu.query_id, fu.kind, fu.id, round(fu.score + CASE WHEN fu.kind = 'item' THEN coalesce(0.15 * lead, 0) ELSE 0 END, 9)::DOUBLE AS score FROM fu LEFT JOIN d ON d.id = fu.id LEFT JOIN ld ON ld.query_id = fu.query_id AND ld.thread_id = d.thread_id),
+ct AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS c FROM cr) WHERE c <= 200),
+sh AS (SELECT 'item' AS kind, id, source, epoch_us(timestamp) AS at_us, epoch_us(timestamp) AS end_us, sender, subject, thread_id, substr(coalesce(content, ''), 1, 400) AS preview FROM d
+  UNION ALL SELECT 'session', id, source, start_us, least(end_us, epoch_us(TIMESTAMP '2026-05-01')), array_to_string(people[1:3], ', '), source || ' session (' || n || ' items)', thread_id, substr(summary, 1, 400) FROM sx),
+lo AS (SELECT ct.query_id, ct.score, sh.*, row_number() OVER (PARTITION BY ct.query_id ORDER BY sh.end_us DESC NULLS LAST, ct.score DESC, ct.id) AS place FROM ct JOIN sh USING (kind, id))"""
+
+
+@query(f"WITH {_FILTERED} SELECT query_id, place::BIGINT AS place, round(score, 6) AS score, kind, id, source, at_us::BIGINT AS at_us, sender, subject, thread_id, preview FROM lo WHERE place <= 20")
+def hybrid_filtered(spark, d):
+    """Every filter at once, newest first: sources, window, junk, members left to their sessions, an allow list and curated and associated weights."""
+    sessions = _sessions(spark, d).withColumnRenamed("content", "summary")
+    items = stage(store.mark_consolidated(_items(spark, d).withColumn("consolidated_into", F.lit(None).cast("string")), sessions.withColumnRenamed("id", "consolidation_id")), "items")
+    cfg = HybridConfig(top_k=20, sort="desc", since="2026-03-01", until="2026-05-01", source_filter=["signal", "email", "teams_ops"], exclude_junk=True, exclude_ids=items.where("sender = 'me'"), tier_boost=1.2, query_shape="last_occurrence")
+    found = hybrid(items, TEXTS, cfg, sessions)
+    return hydrated(found, items, sessions).withColumn("place", F.col("place").cast("long"))
+
+
 @query()
 def hybrid_query(spark, d):
     """The whole plan over items, documents and sessions: lexical, dense, recency and rare-word lanes, credits, decay and floor.
 
     Only documents have vectors. The queries are those of ``rrf_fuse``, named by their number.
     """
-    sessions = stage(_sessions(spark, d).select("id", "thread_id", F.col("content").alias("summary"), F.lit("").alias("participants")), "sessions")
+    sessions = _sessions(spark, d).withColumnRenamed("content", "summary")
     documents = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "source", F.col("created_at").cast("timestamp").alias("timestamp"), F.col("author").alias("sender"), F.col("text").alias("content"), "subject", "lang")
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     asked = vectors.where("id % 20 = 0").withColumnRenamed("id", "query_id")
