@@ -113,12 +113,18 @@ def with_terms(phrases: DataFrame, terms: DataFrame) -> DataFrame:
     return whole.unionByName(begun)
 
 
-def phrase_hits(post: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(query_id, phrase, id, len, col, hits) of ``post`` for phrases as of ``with_terms``."""
-    met = post.join(phrases, "term").select("query_id", "phrase", "idx", "words", "id", "len", "col", "pos")
-    runs = met.where("words > 1").groupBy("query_id", "phrase", "words", "id", "len", "col", (F.col("pos") - F.col("idx")).alias("start")).agg(F.count_distinct("idx").alias("n")).where("n = words")
-    one = met.where("words = 1").select("query_id", "phrase", "id", "len", "col")
-    return one.unionByName(runs.select("query_id", "phrase", "id", "len", "col")).groupBy("query_id", "phrase", "id", "len", "col").agg(F.count("*").alias("hits"))
+def met_in_list(post: DataFrame, phrases: list[Phrase]) -> DataFrame:
+    """(query_id, phrase, idx, words, id, len, col, pos) of the terms of ``post`` that a list of phrases has; no join is needed for it."""
+    rows = [F.struct(F.lit(p.query_id).alias("query_id"), F.lit(p.no).alias("phrase"), F.lit(i).alias("idx"), F.lit(w).alias("word"), F.lit(p.prefix and i == len(p.words) - 1).alias("prefix"), F.lit(len(p.words)).alias("words")) for p in phrases for i, w in enumerate(p.words)]
+    if not rows:
+        return met_in_table(post, phrase_table(post.sparkSession, []).withColumn("term", F.col("word")))
+    fits = F.filter(F.array(*rows), lambda p: F.when(p["prefix"], F.startswith(F.col("term"), p["word"])).otherwise(F.col("term") == p["word"]))
+    return post.select("id", "len", "col", "pos", F.explode(fits).alias("p")).select("p.query_id", "p.phrase", "p.idx", "p.words", "id", "len", "col", "pos")
+
+
+def met_in_table(post: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``met_in_list`` for a table of phrases as of ``with_terms``."""
+    return post.join(phrases, "term").select("query_id", "phrase", "idx", "words", "id", "len", "col", "pos")
 
 
 def bm25(docs: DataFrame, weights: dict[str, float], phrases: list[Phrase] | DataFrame, index: DataFrame | None = None) -> DataFrame:
@@ -132,15 +138,16 @@ def bm25(docs: DataFrame, weights: dict[str, float], phrases: list[Phrase] | Dat
     if index is None:
         index = index_of(docs, columns, None if isinstance(phrases, DataFrame) else asked(phrases))
     post = postings(index)
-    wanted = with_terms(phrases if isinstance(phrases, DataFrame) else phrase_table(spark, phrases), post.select("term").distinct())
-    corpus = index.agg(F.count("*").cast("double").alias("total"), F.avg("len").alias("mean"))
-    return _scored(phrase_hits(post, wanted), weights, corpus)
+    met = met_in_table(post, with_terms(phrases, post.select("term").distinct())) if isinstance(phrases, DataFrame) else met_in_list(post, phrases)
+    return _scored(met, weights, index.agg(F.count("*").cast("double").alias("total"), F.avg("len").alias("mean")))
 
 
-def _scored(hits: DataFrame, weights: dict[str, float], corpus: DataFrame) -> DataFrame:
-    """(query_id, id, score) of ``phrase_hits``; ``corpus``: one row (total, mean)."""
+def _scored(met: DataFrame, weights: dict[str, float], corpus: DataFrame) -> DataFrame:
+    """(query_id, id, score) of terms met; ``corpus``: one row (total, mean)."""
+    # A hit is a run of positions that holds all words of its phrase.
+    hits = met.groupBy("query_id", "phrase", "words", "id", "len", "col", (F.col("pos") - F.col("idx")).alias("start")).agg(F.count("*").alias("_n")).where("_n = words")
     weight = F.create_map(*[F.lit(x) for c, w in weights.items() for x in (c, float(w))])
-    f = hits.groupBy("query_id", "phrase", "id").agg(F.sum(weight[F.col("col")] * F.col("hits")).alias("f"), F.first("len").alias("len"))
+    f = hits.groupBy("query_id", "phrase", "id").agg(F.sum(weight[F.col("col")]).alias("f"), F.first("len").alias("len"))
     found = f.groupBy("query_id", "phrase").agg(F.count("*").alias("n"))
     rows = f.join(found, ["query_id", "phrase"]).join(F.broadcast(corpus))  # one row
     raw = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
@@ -194,10 +201,7 @@ def write_index(docs: DataFrame, columns: list[str], path: str, buckets: int = 6
 
 def stored_bm25(spark: SparkSession, path: str, weights: dict[str, float], phrases: list[Phrase]) -> DataFrame:
     """``bm25`` of an index that ``write_index`` keeps: only the partitions of the asked terms are read."""
-    terms = spark.read.parquet(f"{path}/terms")
-    begins = [F.col("term").startswith(p.words[-1]) for p in phrases if p.prefix]
-    whole = sorted({w for p in phrases for w in (p.words[:-1] if p.prefix else p.words)})
-    near = terms.where(reduce(or_, begins, F.col("term").isin(whole) if whole else F.lit(False)))
-    wanted = with_terms(phrase_table(spark, phrases), near.select("term")).join(near, "term")
-    post = spark.read.parquet(f"{path}/postings").where(F.col("col").isin(list(weights)))
-    return _scored(phrase_hits(post.join(near, ["term", "bucket"], "left_semi").drop("bucket"), wanted.drop("bucket")), weights, spark.read.parquet(f"{path}/stats"))
+    asked_for = asked(phrases)(F.col("term"))
+    buckets = [r["bucket"] for r in spark.read.parquet(f"{path}/terms").where(asked_for).select("bucket").distinct().collect()]  # as many as there are buckets
+    post = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & asked_for & F.col("col").isin(list(weights)))
+    return _scored(met_in_list(post.select("id", "len", "col", "pos", "term"), phrases), weights, spark.read.parquet(f"{path}/stats"))
