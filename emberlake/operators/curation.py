@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.operators.blocks import neighbours, time_block
-from emberlake.operators.evaluate import hash_bucket, split_name
+from emberlake.operators.evaluate import hash_bucket, range_block, split_name
 
 
 def merged_links(links: DataFrame, merges: DataFrame) -> DataFrame:
@@ -26,9 +26,13 @@ def merged_relations(relations: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def without_neighbours(rows: DataFrame, labelled: DataFrame, group: str, at: str, key: str) -> DataFrame:
-    """``rows`` that are neither labelled nor the next or previous of a labelled one in their group by the timestamp ``at``: a split must not leak context."""
-    block = time_block(F.unix_micros(at))
-    near = neighbours(rows.select(group, at, key), [group], block, [at, key], [key], after=True)
+    """``rows`` that are neither labelled nor the next or previous of a labelled one in their group by ``at``, a time or a number: a split must not leak context."""
+    small = rows.select(group, at, key)
+    if dict(rows.dtypes)[at].startswith("timestamp"):
+        block = time_block(F.unix_micros(at))
+    else:
+        small, block = range_block(small, [group], at, "_range"), F.col("_range")
+    near = neighbours(small, [group], block, [at, key], [key], after=True)
     near = near.select(key, F.col(f"prev.{key}").alias("p"), F.col(f"next.{key}").alias("n")).join(labelled.select(key).distinct(), key, "left_semi")
     out = near.select(F.explode(F.array_compact(F.array(key, "p", "n"))).alias(key)).distinct()
     return rows.join(out, key, "left_anti")

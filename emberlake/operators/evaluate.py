@@ -69,7 +69,7 @@ def precision_recall(scores: DataFrame, thresholds: list[float]) -> DataFrame:
     return kept.join(F.broadcast(total)).select("threshold", "kept", F.try_divide("right", "kept").alias("precision"), F.try_divide("right", "positives").alias("recall"))
 
 
-def _range_block(df: DataFrame, keys: list[str], column: str, name: str, blocks: int = 256) -> DataFrame:
+def range_block(df: DataFrame, keys: list[str], column: str, name: str, blocks: int = 256) -> DataFrame:
     """``df`` with ``name``: in which of about ``blocks`` equally full ranges of its group the value of ``column`` lies, rising with it."""
     cuts = df.groupBy(*keys).agg(F.percentile_approx(column, F.array(*[F.lit(k / blocks) for k in range(1, blocks)]), F.lit(4 * blocks)).alias("_cuts"))
     cuts = cuts.withColumnsRenamed({k: f"_k_{k}" for k in keys})
@@ -86,7 +86,7 @@ def spearman(scores: DataFrame, group: str, a: str, b: str, tie: str) -> DataFra
     """
     rows = scores.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(group, a, b, tie)
     for c, rank in ((a, "ra"), (b, "rb")):
-        rows = row_numbers(_range_block(rows, [group], c, "_range"), [group], -F.col("_range"), [F.desc(c), tie], rank).drop("_range")
+        rows = row_numbers(range_block(rows, [group], c, "_range"), [group], -F.col("_range"), [F.desc(c), tie], rank).drop("_range")
     d = rows.groupBy(group).agg(F.count("*").cast("double").alias("n"), F.sum(F.pow(F.col("ra") - F.col("rb"), F.lit(2))).alias("d2"))
     return d.select(group, F.col("n").cast("long").alias("n"), (1 - F.try_divide(6 * F.col("d2"), F.col("n") * (F.col("n") * F.col("n") - 1))).alias("rho"))
 
@@ -97,7 +97,7 @@ def deciles(values: DataFrame, column: str) -> DataFrame:
     Equal values are counted together, counts add up by ranges of values, and of all values only those at the wanted places meet.
     """
     counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    upto = running_sum(_range_block(counts, [], "v", "_range"), [], F.col("_range"), ["v"], F.col("c"), "upto")
+    upto = running_sum(range_block(counts, [], "v", "_range"), [], F.col("_range"), ["v"], F.col("c"), "upto")
     total = counts.agg(F.sum("c").alias("n"))
     rows = upto.join(F.broadcast(total))  # one row
     out = []

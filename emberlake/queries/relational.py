@@ -7,7 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.operators import consolidate, entities as ent, evaluate, people, quality, querylog, signals
+from emberlake.operators import consolidate, entities as ent, evaluate, people, quality, signals
+from emberlake.queries import querylog
 from emberlake.tables import distinct_items, table
 
 COLUMNS = ["source", "source_id", "timestamp", "sender", "recipients", "content", "subject", "thread_id", "lang", "raw_metadata", "timestamp_inferred", "junk_reason", "provenance"]

@@ -185,9 +185,9 @@ def covered_titles(spark, d):
     return upkeep.open_names(table(spark, d, "entities"), _items(spark, d)).select("id")
 
 
-@query("""WITH q AS (SELECT doc_id AS query_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents), tk AS (SELECT query_id, t, unnest(range(1, len(t) + 1)) AS i FROM q),
+@query(f"""WITH {ITEMS}, q AS (SELECT id AS query_id, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS t FROM d), tk AS (SELECT query_id, t, unnest(range(1, len(t) + 1)) AS i FROM q),
     g AS (SELECT DISTINCT query_id, array_to_string(t[i:i + k - 1], ' ') AS name FROM tk, (SELECT unnest([2, 3, 4]) AS k) WHERE i + k - 1 <= len(t)),
-    e AS (SELECT id AS entity_id, array_to_string(regexp_extract_all(lower(canonical_name), '[\\p{L}\\p{N}]+'), ' ') AS name FROM entities WHERE coalesce(pending_review, 0) <> 2)
+    e AS (SELECT id AS entity_id, array_to_string(regexp_extract_all(lower(canonical_name), '[\\p{{L}}\\p{{N}}]+'), ' ') AS name FROM entities WHERE coalesce(pending_review, 0) <> 2)
     SELECT DISTINCT query_id, entity_id FROM g JOIN e USING (name)""")
 def names_in_text(spark, d):
     return upkeep.names_in(_items(spark, d).select(F.col("id").alias("query_id"), F.col("content").alias("text")), table(spark, d, "entities"))
