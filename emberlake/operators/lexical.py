@@ -187,6 +187,27 @@ def synonym_groups(entities: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("spellings"))
 
 
+def merged_synonyms(entities: DataFrame, most_rounds: int = 30) -> DataFrame:
+    """(word, spellings): like ``synonym_groups``, but entities that share a name, in any case, are one group, and so on from one to the next.
+
+    The smallest label of a name's entities and of an entity's names goes around until none changes. Raises if ``most_rounds`` were not enough.
+    """
+    names = F.array_union(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    own = entities.where("coalesce(pending_review, 0) <> 2").select("id", F.explode(names).alias("n")).select("id", F.lower(F.trim("n")).alias("name")).where("name <> ''").distinct()
+    pairs = stage(own.withColumn("label", F.col("id")), "names")
+    for _ in range(most_rounds):
+        by_name = pairs.groupBy("name").agg(F.min("label").alias("by_name"))
+        by_id = pairs.join(by_name, "name").groupBy("id").agg(F.min("by_name").alias("low"))
+        now = stage(pairs.join(by_id, "id").select("id", "name", "low", (F.col("low") != F.col("label")).alias("moved")), "names")
+        pairs = now.select("id", "name", F.col("low").alias("label"))
+        if now.where("moved").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"synonyms are not settled after {most_rounds} rounds")
+    groups = pairs.groupBy("label").agg(F.array_sort(F.collect_set("name")).alias("spellings")).where(F.size("spellings") > 1)
+    return groups.select(F.explode("spellings").alias("word"), "spellings").where("word NOT LIKE '% %'")
+
+
 def write_index(docs: DataFrame, columns: list[str], path: str, buckets: int = 64, spread: int = 4) -> None:
     """Keep the index of ``docs`` under ``path``: postings in ``buckets`` by the hash of the term, the terms in order, and the corpus statistics.
 

@@ -106,6 +106,14 @@ def synonym_groups(spark, d):
     return lexical.synonym_groups(table(spark, d, "entities")).withColumn("spellings", F.array_join("spellings", "|"))
 
 
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT id, lower(trim(x)) AS name FROM (SELECT id, unnest(list_concat([canonical_name], coalesce(aliases, []))) AS x FROM entities WHERE coalesce(pending_review, 0) <> 2) WHERE trim(x) <> ''),
+    e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM n a JOIN n b USING (name)), r AS (SELECT id AS a, id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    l AS (SELECT a AS id, min(b) AS label FROM r GROUP BY a), g AS (SELECT label, list_sort(list_distinct(list(name))) AS s FROM n JOIN l USING (id) GROUP BY label)
+    SELECT word, array_to_string(s, '|') AS spellings FROM (SELECT s, unnest(s) AS word FROM g WHERE len(s) > 1) WHERE word NOT LIKE '% %'""")
+def synonym_closure(spark, d):
+    return lexical.merged_synonyms(table(spark, d, "entities")).withColumn("spellings", F.array_join("spellings", "|"))
+
+
 _WORDS = ", ".join(f"'{w}'" for w in WORDS)
 
 

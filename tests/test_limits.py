@@ -66,3 +66,10 @@ def test_batches_and_thresholds(spark):
     scores = spark.createDataFrame([(k, k / 100, False) for k in range(100)] + [(200, 0.9, True)], "id int, score double, label boolean")
     assert 0.75 <= upkeep.median_threshold(scores, 0.8).first()["threshold"] <= 0.85
     assert upkeep.median_threshold(scores.limit(0), 0.8).first()["threshold"] == 0.5
+
+
+def test_synonyms_merge_from_one_entity_to_the_next(spark):
+    e = spark.createDataFrame([(1, "Budget", "x", ["plan"], 0), (2, "PLAN", "x", ["outline"], 0), (3, "Outline", "x", ["the draft"], 1), (4, "outline", "x", ["gone"], 2), (5, "alone", "x", None, 0)], ENTITY)
+    got = {r["word"]: r["spellings"] for r in lexical.merged_synonyms(e).collect()}
+    assert got == {w: ["budget", "outline", "plan", "the draft"] for w in ("budget", "plan", "outline")}
+    assert lexical.merged_synonyms(e.limit(0)).count() == 0
