@@ -27,6 +27,12 @@ def rank_metrics(ranks: DataFrame) -> DataFrame:
     ).withColumn("quality", 0.7 * F.col("hit_at_1") + 0.3 * F.col("mrr"))
 
 
+def ranks_of(results: DataFrame, right: DataFrame, case: str = "query_id") -> DataFrame:
+    """(``case``, rank): the best rank in ``results(case, id, rank)`` of one of the answers ``right(case, id)``, null where none was found; a row for each case of ``right``."""
+    hits = results.join(right.select(case, "id").distinct(), [case, "id"]).groupBy(case).agg(F.min("rank").alias("rank"))
+    return right.select(case).distinct().join(hits, case, "left")
+
+
 def auc(scores: DataFrame) -> DataFrame:
     """One row: the probability that a positive outranks a negative of ``scores(score, label)``, ties counting half.
 

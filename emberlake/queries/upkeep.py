@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlake.functions import abbreviations
-from emberlake.operators import consolidate, people, signals, upkeep
+from emberlake.operators import consolidate, evaluate, lexical, people, signals, upkeep
 from emberlake.plans import retrieve
 from emberlake.queries.relational import _CAPPED, _KEY, _LINKS, _USAGE, ITEMS, _items, _log, _members
 from emberlake.session import stage
@@ -245,3 +245,52 @@ def alias_relations(spark, d):
     """How often the aliases of each type of entity are identifiers, initials, nicknames or contractions."""
     rows = table(spark, d, "entities").select("entity_type", "canonical_name", F.explode("aliases").alias("alias")).where("trim(alias) <> ''")
     return rows.groupBy("entity_type", abbreviations.relation_type(F.col("alias"), F.col("canonical_name"), F.col("entity_type")).alias("relation")).agg(F.count("*").alias("n"))
+
+
+_EXPANDED = """m AS (SELECT canonical_name AS long_form, id::VARCHAR AS e, array_to_string([upper(w[1]) FOR w IN regexp_split_to_array(trim(canonical_name), '[\\s/-]+') IF w <> ''], '') AS short_form FROM entities),
+f AS (SELECT *, lower(regexp_replace(short_form, '[^\\p{L}\\p{N}_]', '', 'g')) AS k FROM m WHERE length(short_form) >= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY long_form, short_form) AS r FROM f WHERE k <> ''),
+g AS (SELECT k, min_by(long_form, r) AS long_form, string_agg(e, ';' ORDER BY r) AS evidence FROM r WHERE r <= 3 GROUP BY 1),
+a AS (SELECT id, unnest(aliases) AS alias FROM entities)"""
+
+
+@query(f"""WITH {_EXPANDED} SELECT a.id, alias, long_form, evidence FROM a LEFT JOIN g ON k = lower(regexp_replace(alias, '[^\\p{{L}}\\p{{N}}_]', '', 'g')) WHERE trim(alias) <> ''""")
+def alias_evidence(spark, d):
+    """Every alias with the names that its letters are the initials of; the names stand in for mined long forms, which the test tables hardly have."""
+    names = table(spark, d, "entities")
+    short = F.upper(abbreviations.initials(F.col("canonical_name")))
+    mined = names.select(short.alias("short_form"), F.col("canonical_name").alias("long_form"), F.lit(1).alias("n"), F.col("id").cast("string").alias("evidence")).where("length(short_form) >= 2")
+    return abbreviations.with_evidence(names.select("id", F.explode("aliases").alias("alias")).where("trim(alias) <> ''"), mined).select("id", "alias", "long_form", "evidence")
+
+
+_CASES = f"""{_LINKS}, l AS (SELECT entity_id, item_id, coalesce(thread_id, id) AS thread, epoch_us(timestamp) AS us, {_KEY.format("coalesce(sender, '')")} AS who,
+    CASE WHEN len(recipients) = 1 THEN {_KEY.format("coalesce(recipients[1], '')")} END AS sole FROM links JOIN d ON id = item_id WHERE timestamp IS NOT NULL),
+o AS (SELECT coalesce(thread_id, id) AS thread, epoch_us(timestamp) AS us FROM d WHERE trim(lower(sender), ' ') = 'me' AND timestamp IS NOT NULL),
+rl AS (SELECT l.*, CASE WHEN who = 'me' THEN 'o' WHEN EXISTS (SELECT 1 FROM ids WHERE ids.key = who AND ids.entity_id = l.entity_id) THEN 'p' END AS role FROM l),
+t AS (SELECT *, CASE WHEN role = 'o' THEN sole IS NOT NULL OR EXISTS (SELECT 1 FROM rl p WHERE p.entity_id = x.entity_id AND p.thread = x.thread AND p.role = 'p' AND p.us BETWEEN x.us - 7200000000 AND x.us + 7200000000)
+    WHEN role = 'p' THEN coalesce(sole = 'me', false) OR EXISTS (SELECT 1 FROM o WHERE o.thread = x.thread AND o.us BETWEEN x.us - 7200000000 AND x.us + 7200000000) ELSE false END AS talk FROM rl x),
+n AS (SELECT entity_id FROM t GROUP BY 1 HAVING count(*) >= 3),
+a AS (SELECT DISTINCT ON (entity_id) entity_id, item_id AS anchor, thread, us FROM t WHERE talk AND entity_id IN (SELECT entity_id FROM n) ORDER BY entity_id, us DESC, item_id),
+c AS (SELECT t.entity_id, t.item_id, anchor FROM t JOIN a ON a.entity_id = t.entity_id AND a.thread = t.thread WHERE talk AND abs(t.us - a.us) <= 7200000000)"""
+
+
+def _talks(spark, d):
+    return stage(people.talks(_items(spark, d), table(spark, d, "entities"), ["me"]), "talks")
+
+
+@query(f"WITH {_CASES} SELECT * FROM c")
+def contact_cases(spark, d):
+    """When did I last speak with each person of three items or more: what answers it."""
+    return people.contact_cases(_talks(spark, d), 3)
+
+
+@query(f"""WITH {_CASES}, f AS (SELECT entity_id, item_id, row_number() OVER (PARTITION BY entity_id ORDER BY us DESC, item_id) AS rank FROM t),
+    b AS (SELECT c.entity_id, min(rank) FILTER (rank <= 20) AS rank FROM c JOIN f USING (entity_id, item_id) GROUP BY 1)
+    SELECT count(*)::BIGINT AS n, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS hit_at_1, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS recall_at_10, round(avg(coalesce(1.0 / rank, 0.0)), 6)::DOUBLE AS mrr FROM b""")
+def contact_eval(spark, d):
+    """How well the newest 20 items linked to a person, talk or not, answer when I last spoke with them."""
+    talked = _talks(spark, d)
+    found = lexical.top_k(talked.select(F.col("entity_id").alias("query_id"), F.col("item_id").alias("id"), F.col("us").alias("score")), 20)
+    right = people.contact_cases(talked, 3).select(F.col("entity_id").alias("query_id"), F.col("item_id").alias("id"))
+    m = evaluate.rank_metrics(evaluate.ranks_of(found, right))
+    return m.select("n", *[F.round(c, 6).alias(c) for c in ("hit_at_1", "recall_at_10", "mrr")])

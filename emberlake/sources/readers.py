@@ -67,21 +67,48 @@ def chat_export(messages: DataFrame, handles: DataFrame, chats: DataFrame, sourc
 
 
 def signal_export(messages: DataFrame, conversations: DataFrame, source: str = "signal") -> DataFrame:
-    """A messenger's messages(id, conversationId, type, sent_at, source, body, json) and conversations(id, name, e164).
+    """A messenger's messages(id, conversationId, type, sent_at, source, body, json) and conversations(id, name, e164, serviceId where kept).
 
-    Attachments named in json become items of their own, with ``#n`` behind the message's id.
+    Reactions named in json are a last line of the message they belong to, from the name of who sent them where a conversation has it. Attachments become items of
+    their own, with ``#n`` behind the message's id; a message with nothing else lists them. One without text and attachments is left out.
     """
     own = messages.where("type IN ('incoming', 'outgoing')").join(conversations.select(F.col("id").alias("conversationId"), "name", "e164"), "conversationId", "left")
-    base = own.select("id", F.timestamp_millis("sent_at").alias("timestamp"), F.when(F.col("type") == "outgoing", "me").otherwise(F.coalesce("source", "e164")).alias("sender"), F.col("name").alias("subject"), F.col("conversationId").alias("thread_id"), "body", F.from_json("json", "attachments array<struct<fileName:string>>").alias("j"))
+    form = "attachments array<struct<fileName:string>>, reactions array<struct<emoji:string, `from`:string, fromId:string, fromName:string>>"
+    base = own.select("id", F.timestamp_millis("sent_at").alias("timestamp"), F.when(F.col("type") == "outgoing", "me").otherwise(F.coalesce("source", "e164")).alias("sender"), F.col("name").alias("subject"), F.col("conversationId").alias("thread_id"), F.trim(F.coalesce("body", F.lit(""))).alias("body"), F.from_json("json", form).alias("j"))
     keep = ["source_id", "timestamp", "sender", "subject", "thread_id", "content"]
-    texts = base.where("trim(coalesce(body, '')) <> ''").withColumns({"source_id": F.col("id"), "content": F.col("body")}).select(*keep)
+    names = conversations.select(F.col("id").alias("by"), "name")
+    if "serviceId" in conversations.columns:
+        names = names.unionByName(conversations.select(F.col("serviceId").alias("by"), "name"))
+    names = names.where("by IS NOT NULL AND coalesce(name, '') <> ''").groupBy("by").agg(F.min("name").alias("known"))
+    given = base.select("id", F.posexplode("j.reactions").alias("n", "r")).where("r IS NOT NULL").withColumn("by", F.coalesce("r.from", "r.fromId")).join(names, "by", "left")
+    line = F.trim(F.concat(F.coalesce("r.emoji", F.lit("")), F.lit(" from "), F.coalesce("r.fromName", "known", "by", F.lit("(unknown)"))))
+    footer = given.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("t")))).alias("l")).select("id", F.concat(F.lit("reactions: "), F.array_join("l.t", ", ")).alias("footer"))
+    listed = F.concat(F.lit("Attachments: "), F.array_join(F.transform("j.attachments", lambda x: F.coalesce(x["fileName"], F.lit("(unnamed)"))), ", "))
+    held = F.coalesce(F.size("j.attachments") > 0, F.lit(False))
+    texts = base.where((F.col("body") != "") | held).join(footer, "id", "left")
+    content = F.coalesce(F.nullif(F.concat_ws("\n\n", F.nullif("body", F.lit("")), "footer"), F.lit("")), listed)
+    texts = texts.withColumns({"source_id": F.col("id"), "content": content}).select(*keep)
     files = base.select("*", F.posexplode("j.attachments").alias("n", "a")).where("a.fileName IS NOT NULL")
     files = files.withColumns({"source_id": F.concat(F.col("id"), F.lit("#"), F.col("n").cast("string")), "content": F.concat(F.lit("[attachment] "), F.col("a.fileName"))}).select(*keep)
     return as_items(texts.unionByName(files), source)
 
 
-def mail_files(spark: SparkSession, path: str, glob: str = "*.eml", source: str = "email") -> DataFrame:
-    """RFC 822 files: newsletters and machines' mail left out, bodies as text, threads by the first reference."""
+def _unframed(content: bytes, framing: str) -> bytes | None:
+    """The mail inside: without the envelope line in front (mbox), or as many bytes as the first line says (emlx; None where it says no number)."""
+    if framing == "file":
+        return content
+    head, _, rest = content.partition(b"\n")
+    if framing == "mbox":
+        return rest
+    return rest[: int(head)] if head.strip().isdigit() else None
+
+
+def mail_files(spark: SparkSession, path: str, glob: str = "*.eml", source: str = "email", framing: str = "file") -> DataFrame:
+    """RFC 822 mails: newsletters and machines' mail left out, bodies as text, threads by the first reference; mails without a readable date are left out.
+
+    ``framing``: one mail a ``file``, behind its length in a file (``emlx``), or mailboxes (``mbox``), which are split at their envelope lines
+    and so read in parts, however long.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from email import message_from_bytes, policy
@@ -90,21 +117,28 @@ def mail_files(spark: SparkSession, path: str, glob: str = "*.eml", source: str
         for b in batches:
             rows = []
             for content in b["content"]:
-                m = message_from_bytes(content, policy=policy.default)
+                raw = _unframed(content, framing)
+                if not raw:
+                    continue
+                m = message_from_bytes(raw, policy=policy.default)
                 if any(m.get(h) for h in ("List-Unsubscribe", "List-Id", "List-Help")) or str(m.get("Precedence", "")).lower() in ("bulk", "list", "junk") or str(m.get("Auto-Submitted", "no")).lower() != "no":
                     continue
                 body = m.get_body(("plain", "html"))
                 try:
                     at = parsedate_to_datetime(str(m["Date"])).timestamp() * 1_000_000
                 except (TypeError, ValueError):
-                    at = None
+                    continue
                 to = [a for _, a in getaddresses([str(x) for h in ("To", "Cc") for x in m.get_all(h, [])]) if a]
                 sender = (getaddresses([str(m.get("From", ""))]) or [("", "")])[0][1]
                 thread = (str(m.get("References", "")).split() or str(m.get("In-Reply-To", "")).split() or [str(m.get("Message-ID", ""))])[0]
                 rows.append((str(m.get("Message-ID", "")).strip(), at, sender, to, str(m.get("Subject", "")), thread, body.get_content() if body else "", bool(body and body.get_content_subtype() == "html")))
             yield pd.DataFrame(rows, columns=["source_id", "us", "sender", "recipients", "subject", "thread_id", "body", "is_html"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("content")
+    read = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    if framing == "mbox":
+        files = read.option("lineSep", "\nFrom ").text(path).select(F.col("value").cast("binary").alias("content"))
+    else:
+        files = read.format("binaryFile").load(path).select("content")
     rows = files.mapInPandas(parse, "source_id string, us double, sender string, recipients array<string>, subject string, thread_id string, body string, is_html boolean")
     rows = rows.where(~F.col("sender").rlike(AUTOMATED))
     return as_items(rows.withColumns({"timestamp": F.timestamp_micros(F.col("us").cast("long")), "content": F.when(F.col("is_html"), html_to_text(F.col("body"))).otherwise(F.col("body"))}), source)

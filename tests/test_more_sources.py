@@ -41,3 +41,31 @@ def test_memory_sections_and_people(spark, tmp_path):
     assert sorted((r["canonical"], r["aliases"]) for r in readers.address_book(records, phones, mails).collect()) == [("Bo Berg", ["+4790012345", "b@y.no", "bo@x.no"]), ("Firm", [])]
     path = _lines(tmp_path / "d.json", [{"displayName": "Mei Li", "mail": "MEI@x.no", "userPrincipalName": "mei@x.no", "mobilePhone": "+47 900 12 345"}, {"displayName": " "}, {"mail": "z@x.no"}])
     assert [tuple(r) for r in readers.directory(spark, path).collect()] == [("Mei Li", ["+4790012345", "mei@x.no"])]
+
+
+def test_mailboxes_are_split_and_lengths_kept(spark, tmp_path):
+    mail = lambda n, body, head="": f"From: Bo <bo@x.no>\nTo: me@x.no\nMessage-ID: <{n}@x>\nDate: Wed, 1 Apr 2026 10:00:0{n} +0000\n{head}Subject: s\n\n{body}\n".encode("latin-1")
+    (tmp_path / "box.mbox").write_bytes(b"".join(b"From bo@x.no Wed Apr  1 10:00:00 2026\n" + m + b"\n" for m in [mail(1, "one\n>From here on"), mail(2, "blåbær", "Content-Type: text/plain; charset=latin-1\nContent-Transfer-Encoding: 8bit\n"), b"Subject: undated\n\nx", mail(3, "auto", "Auto-Submitted: auto-replied\n")]))
+    (tmp_path / "empty.mbox").write_bytes(b"")
+    got = {r["source_id"]: r["content"].strip() for r in readers.mail_files(spark, str(tmp_path), "*.mbox", framing="mbox").collect()}
+    assert got == {"<1@x>": "one\n>From here on", "<2@x>": "blåbær"}
+    m = mail(4, "four")
+    (tmp_path / "a.emlx").write_bytes(f"{len(m)}   \n".encode() + m + b"<?xml version='1.0'?><plist/>")
+    (tmp_path / "b.emlx").write_bytes(b"no number\n" + m)
+    (tmp_path / "c.emlx").write_bytes(b"")
+    assert [(r["source_id"], r["content"].strip()) for r in readers.mail_files(spark, str(tmp_path), "*.emlx", framing="emlx").collect()] == [("<4@x>", "four")]
+
+
+def test_reactions_close_their_message(spark):
+    rows = [
+        ("1", "c", "incoming", 1, "x", " hi ", '{"reactions":[{"emoji":"+1","from":"d"},{"emoji":"!","fromId":"s9"},{"fromName":"Mei"},{"emoji":"?"}]}'),
+        ("2", "c", "outgoing", 2, None, None, '{"attachments":[{"fileName":"f.png"},{}]}'), ("3", "c", "incoming", 3, "x", " ", '{"reactions":[{"emoji":"+1","from":"d"}]}'),
+        ("4", "c", "incoming", 4, "x", None, '{"attachments":[{"fileName":"g.png"}],"reactions":[{"emoji":"+1","from":"zz"}]}'), ("5", None, "incoming", 5, None, "b", "no json"),
+    ]
+    s = spark.createDataFrame(rows, "id string, conversationId string, type string, sent_at long, source string, body string, json string")
+    c = spark.createDataFrame([("c", "Group", None, None), ("d", "Dag", None, None), ("e", "Eli", None, "s9"), ("f", None, None, None)], "id string, name string, e164 string, serviceId string")
+    got = {r["source_id"]: r["content"] for r in readers.signal_export(s, c).collect()}
+    assert got == {
+        "1": "hi\n\nreactions: +1 from Dag, ! from Eli, from Mei, ? from (unknown)", "2": "Attachments: f.png, (unnamed)", "2#0": "[attachment] f.png",
+        "4": "reactions: +1 from zz", "4#0": "[attachment] g.png", "5": "b",
+    }
