@@ -17,32 +17,35 @@ QUERY_BLOCK = 2048
 def knn(vectors: DataFrame, queries: DataFrame, k: int, dim: int = 64) -> DataFrame:
     """(query_id, id, distance, rank): the ``k`` vectors nearest to each query by L2 distance, itself included; ties by id.
 
-    ``vectors(id, embedding)`` and ``queries(query_id, embedding)``. Vectors null or of another length take no part.
+    ``vectors(id, embedding)`` and ``queries(query_id, embedding)``; ids are numbers or texts. Vectors without id, null or of another length take no part.
     Queries form blocks of bounded size; each batch of vectors meets every block by one matrix product and keeps
     its best ``k``, so no pair of rows is ever a row.
     """
     right = F.col("embedding").isNotNull() & (F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
-    q = queries.where(right).select(F.col("query_id").cast("long"), "embedding")
+    kind = lambda df, c: "long" if dict(df.dtypes)[c] in ("tinyint", "smallint", "int", "bigint") else "string"
+    of_query, of_id = kind(queries, "query_id"), kind(vectors, "id")
+    q = queries.where(right).select(F.col("query_id").cast(of_query), "embedding").where("query_id IS NOT NULL")
     blocks = max(1, -(-q.count() // QUERY_BLOCK))
     q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     packed = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "embedding")).alias("q"))
-    v = vectors.where(right).select(F.col("id").cast("long"), "embedding").withColumn("part", F.spark_partition_id())
+    v = vectors.where(right).select(F.col("id").cast(of_id), "embedding").where("id IS NOT NULL").withColumn("part", F.spark_partition_id())
     v = v.withColumn("part", F.concat_ws("-", "part", F.pmod(F.xxhash64("id"), F.lit(8)))).groupBy("part", F.floor(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) / (1 << 17)).alias("sub")).agg(F.collect_list(F.struct("id", "embedding")).alias("v"))
     jobs = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block")
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for rows, asked in zip(b["v"], b["q"]):
-                ids = np.array([r["id"] for r in rows], np.int64)
+                rows = sorted(rows, key=lambda r: r["id"])
+                ids = np.array([r["id"] for r in rows])
                 x = np.array([r["embedding"] for r in rows], np.float64)
                 qs = np.array([r["embedding"] for r in asked], np.float64)
                 d = np.sqrt(np.maximum(0, (qs**2).sum(1)[:, None] + (x**2).sum(1) - 2 * qs @ x.T))
                 d = np.round(d, 6)
                 n = min(k, len(ids))
-                best = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :n]
+                best = np.argsort(d, axis=1, kind="stable")[:, :n]
                 yield pd.DataFrame({"query_id": np.repeat([r["query_id"] for r in asked], n), "id": ids[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()})
 
-    found = jobs.select("v", "q").mapInPandas(nearest, "query_id long, id long, distance double")
+    found = jobs.select("v", "q").mapInPandas(nearest, f"query_id {of_query}, id {of_id}, distance double")
     return top_k(found, k, score=F.col("distance").asc())
 
 

@@ -62,6 +62,7 @@ class HybridConfig:
     raw_only: bool = False
     sort: str = "relevance"
     prefixes: bool = True
+    dim: int = 64
 
     def depth(self) -> int:
         """Results that each index is asked for: the widest of what the filters need, not their product."""
@@ -169,11 +170,15 @@ def _lexical(index: DataFrame, docs: DataFrame, weights: dict[str, float], phras
     return stage(lexical.bm25(docs, weights, phrases, index), "scored")  # several lanes read it
 
 
-def hybrid(items: DataFrame, texts: dict[str, str] | DataFrame, cfg: HybridConfig, sessions: DataFrame | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+def _nearest(vectors: DataFrame, asked: DataFrame, cfg: HybridConfig) -> DataFrame:
+    return vector.knn(vectors, asked, cfg.depth(), cfg.dim).select(F.col("query_id").cast("string").alias("query_id"), F.col("id").cast("string").alias("id"), "rank")
+
+
+def hybrid(items: DataFrame, texts: dict[str, str] | DataFrame, cfg: HybridConfig, sessions: DataFrame | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, synonyms: dict[str, list[str]] | None = None, session_vectors: DataFrame | None = None) -> DataFrame:
     """(query_id, place, kind, id, score) for each of ``texts`` (query id to text, or a table (query_id, text), which takes no synonyms).
 
     ``items``: distinct items; ``sessions(id, thread_id, summary, participants)``, for filters also source, start_us, end_us and raw_item_ids; ``vectors(id, embedding)`` and
-    ``query_vectors(query_id, embedding)`` make a dense lane. Corpus statistics count all items, filters apply to
+    ``query_vectors(query_id, embedding)`` make a dense lane, ``session_vectors(id, embedding)`` one over sessions. Corpus statistics count all items, filters apply to
     what was found. Blank texts find nothing in words; a query that finds nothing at all gets the newest items of its time window, if it has one.
     """
     if isinstance(texts, DataFrame):
@@ -210,10 +215,15 @@ def hybrid(items: DataFrame, texts: dict[str, str] | DataFrame, cfg: HybridConfi
             lanes.append(fusion.lane(cut(of_sessions, ended), "recency_sessions", "session", "fts", cfg.recency_lane_weight))
     if vectors is not None and query_vectors is not None:
         # The nearest overall first, filters after, as an index would.
-        near = stage(vector.knn(vectors, query_vectors, cfg.depth()).select(F.col("query_id").cast("string").alias("query_id"), F.col("id").cast("string").alias("id"), "rank"), "near")
+        near = stage(_nearest(vectors, query_vectors, cfg), "near")
         lanes.append(fusion.lane(near.join(ids, "id", "left_semi"), "vec_items", "item", "vector"))
         if recent:
             lanes.append(fusion.lane(near.join(new_ids, "id", "left_semi"), "recency_vec", "item", "vector", cfg.recency_lane_weight))
+    if sessions is not None and session_vectors is not None and query_vectors is not None:
+        near = stage(_nearest(session_vectors, query_vectors, cfg), "near_sessions")
+        lanes.append(fusion.lane(near.join(sessions.select("id"), "id", "left_semi"), "vec_sessions", "session", "vector"))
+        if recent and "end_us" in sessions.columns:
+            lanes.append(fusion.lane(near.join(ended, "id", "left_semi"), "recency_vec_sessions", "session", "vector", cfg.recency_lane_weight))
     if cfg.rare_term_df > 0:
         lanes += rare_lanes(index, items, literal, ids, cfg, sessions, session_index)
     fused = stage(fusion.rrf(lanes, cfg.rrf_k), "fused")
