@@ -22,6 +22,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Query words from this length on match as prefixes.
 PREFIX_FROM = 5
 TOP_BLOCKS = 16
+#: Ranks up to this are cut in the tasks before the shuffle: spark.sql.optimizer.windowGroupLimitThreshold.
+MOST_CUT_EARLY = 1000
 
 
 @dataclass(frozen=True)
@@ -142,6 +144,16 @@ def bm25(docs: DataFrame, weights: dict[str, float], phrases: list[Phrase] | Dat
     return _scored(met, weights, index.agg(F.count("*").cast("double").alias("total"), F.avg("len").alias("mean")))
 
 
+def _idf(total: Column, n: Column) -> Column:
+    raw = F.log((total - n + 0.5) / (n + 0.5))
+    return F.when(raw > 0, raw).otherwise(LEAST_IDF)
+
+
+def _part(idf: Column) -> Column:
+    """A phrase's part of the score of a document, from columns f, len and mean."""
+    return idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+
+
 def _scored(met: DataFrame, weights: dict[str, float], corpus: DataFrame) -> DataFrame:
     """(query_id, id, score) of terms met; ``corpus``: one row (total, mean)."""
     # A hit is a run of positions that holds all words of its phrase.
@@ -150,9 +162,7 @@ def _scored(met: DataFrame, weights: dict[str, float], corpus: DataFrame) -> Dat
     f = hits.groupBy("query_id", "phrase", "id").agg(F.sum(weight[F.col("col")]).alias("f"), F.first("len").alias("len"))
     found = f.groupBy("query_id", "phrase").agg(F.count("*").alias("n"))
     rows = f.join(found, ["query_id", "phrase"]).join(F.broadcast(corpus))  # one row
-    raw = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.when(raw > 0, raw).otherwise(LEAST_IDF)
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    part = _part(_idf(F.col("total"), F.col("n")))
     return rows.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
 
 
@@ -166,6 +176,55 @@ def top_k(scored: DataFrame, k: int, group: str = "query_id", score: Column | No
     return part.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k).drop("_b", "_k")
 
 
+def spelt(phrases: DataFrame, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(asked, asked_extra, words): the phrases of many queries by their distinct spellings, so that each is looked for once.
+
+    asked(query_id, phrase, s) of ``phrases`` and of ``extra``, which is ``phrases`` where it is None; words(s, idx, word, prefix, words).
+    """
+    of = lambda p, no: p.groupBy("query_id", "phrase").agg(F.array_sort(F.collect_list(F.struct("idx", "word", "prefix", "words"))).alias("spelling")).withColumn("list", F.lit(no))
+    each = stage(of(phrases, 0) if extra is None else of(phrases, 0).unionByName(of(extra, 1)), "asked_spellings", sweep=True)
+    # The numbers stay as they are once they are written.
+    spellings = stage(each.select("spelling").distinct().withColumn("s", F.monotonically_increasing_id()), "spellings", sweep=True)
+    asked = stage(each.join(spellings, "spelling").select("list", "query_id", "phrase", "s"), "asked", sweep=True)
+    lists = [asked.where(F.col("list") == no).drop("list") for no in (0, 0 if extra is None else 1)]
+    return lists[0], lists[1], spellings.select("s", F.inline("spelling"))
+
+
+def hits(index: DataFrame, weights: dict[str, float], words: DataFrame) -> DataFrame:
+    """(s, id, len, f): the weighted hits of each spelling of ``spelt`` in each document that has one, as a table.
+
+    The corpus's terms are looked up first; where those that are asked for are few they go to all tasks, and only what they match travels, by document.
+    """
+    post = postings(index)
+    terms = stage(with_terms(words, post.select("term").distinct()).select("term", "s", "idx", "words"), "asked_terms", sweep=True)
+    met = post.join(terms, "term").select("s", "id", "len", "words", "col", (F.col("pos") - F.col("idx")).alias("start")).repartition("id")
+    runs = met.groupBy("s", "id", "len", "words", "col", "start").agg(F.count("*").alias("_n")).where("_n = words")
+    weight = F.create_map(*[F.lit(x) for c, w in weights.items() for x in (c, float(w))])
+    found = runs.groupBy("s", "id", "len").agg(F.sum(weight[F.col("col")]).alias("f"))
+    return stage(found, "hits", sweep=True)
+
+
+def spelling_weights(found: DataFrame, index: DataFrame) -> DataFrame:
+    """(s, n, idf, mean) of each spelling of ``hits``, as a table; n: the documents that have it. All documents of the index count."""
+    corpus = index.agg(F.count("*").cast("double").alias("total"), F.avg("len").alias("mean"))
+    rows = found.groupBy("s").agg(F.count("*").alias("n")).join(F.broadcast(corpus))  # one row
+    return stage(rows.select("s", "n", _idf(F.col("total"), F.col("n")).alias("idf"), "mean"), "spelling_weights", sweep=True)
+
+
+def scores(found: DataFrame, weighed: DataFrame, asked: DataFrame, *group: str) -> DataFrame:
+    """(group..., id, score), the scores of ``bm25`` from ``hits`` or those of some documents, ``spelling_weights`` and ``spelt``; group: query_id, and phrase to score each alone."""
+    rows = found.join(weighed, "s").join(asked, "s")
+    return rows.groupBy(*group, "id").agg(F.round(F.sum(_part(F.col("idf"))), 9).alias("score"))
+
+
+def best(scored: DataFrame, k: int) -> DataFrame:
+    """``top_k`` of each query over many more rows than ``k``: every task leaves but its own ``k`` best before a query meets in one."""
+    if k > MOST_CUT_EARLY:
+        return top_k(scored, k)
+    at = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(at)).where(F.col("rank") <= k)
+
+
 def rare_terms(docs: DataFrame, columns: list[str], words: list[str], most: int = 25) -> DataFrame:
     """(word, df) of the query words that stand in 1 to ``most`` documents."""
     wanted = sorted({w.lower() for w in words})

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.operators import fusion, lexical, signals, vector
-from emberlake.session import stage
+from emberlake.session import stage, unstage
 
 ITEM_WEIGHTS = {"content": 1.0, "subject": 2.0, "sender": 1.0}
 SESSION_WEIGHTS = {"summary": 1.0, "participants": 1.0}
@@ -146,28 +146,41 @@ def participant_sessions(sessions: DataFrame, identities: list[str], ids: DataFr
     return own.unionByName(sessions_of(sessions, ids)).distinct()
 
 
-def rare_lanes(index: DataFrame, items: DataFrame, phrases: DataFrame, allowed: DataFrame, cfg: HybridConfig, sessions: DataFrame | None, session_index: DataFrame | None) -> list[DataFrame]:
+@dataclass
+class Found:
+    """What the words of all queries have found in one index: its ``lexical.hits`` and ``spelling_weights``."""
+
+    hits: DataFrame
+    weights: DataFrame
+
+    def among(self, only: DataFrame, asked: DataFrame, k: int, *group: str) -> DataFrame:
+        """(group..., id, score) of the documents ``only(id)``; best ``k`` of each query, or all where a word is scored alone."""
+        scored = lexical.scores(self.hits.join(only, "id", "left_semi"), self.weights, asked, *group)
+        return lexical.best(scored, k) if group == ("query_id",) else lexical.top_k(scored.withColumn("_w", F.struct(*group)), k, "_w").drop("_w")
+
+
+def _find(docs: DataFrame, weights: dict[str, float], words: DataFrame, keep) -> Found:
+    index = lexical.index_of(docs, list(weights), keep)
+    hits = lexical.hits(index, weights, words)
+    found = Found(hits, lexical.spelling_weights(hits, index))
+    unstage(index)
+    return found
+
+
+def rare_lanes(items: Found, asked: DataFrame, allowed: DataFrame, cfg: HybridConfig, sessions: Found | None, allowed_sessions: DataFrame | None) -> list[DataFrame]:
     """Each word of at most ``rare_term_df`` items searched alone, with all its items; hits dealt out by rank. Queries of one word have no such lane."""
-    more = phrases.groupBy("query_id").agg(F.count_distinct("phrase").alias("n")).where("n > 1").select("query_id")
-    # Every word is a query of its own.
-    words = stage(phrases.join(more, "query_id", "left_semi").withColumn("query_id", F.to_json(F.struct("query_id", "phrase"))), "words")
-    found = stage(lexical.bm25(items, ITEM_WEIGHTS, words, index), "words_found")
-    rare = found.groupBy("query_id").agg(F.count("*").alias("df")).where(F.col("df") <= cfg.rare_term_df).select("query_id")
-
-    def dealt(scored: DataFrame, k: int) -> DataFrame:
-        key = F.from_json("query_id", "query_id string, phrase int")
-        return lexical.interleaved(lexical.top_k(scored, k).select(key["query_id"].alias("query_id"), key["phrase"].alias("lane"), "id", "rank"))
-
-    of_items = found.join(rare, "query_id", "left_semi").join(allowed, "id", "left_semi")
-    lanes = [fusion.lane(dealt(of_items, cfg.rare_term_df), "rare_items", "item", "fts", cfg.rare_term_weight)]
-    if sessions is not None:
-        of_sessions = lexical.bm25(sessions, SESSION_WEIGHTS, stage(words.join(rare, "query_id", "left_semi"), "rare_words"), session_index)
-        lanes.append(fusion.lane(dealt(of_sessions.join(sessions.select("id"), "id", "left_semi"), cfg.depth()), "rare_sessions", "session", "fts", cfg.rare_term_weight))
-    return lanes
+    more = asked.groupBy("query_id").agg(F.count("*").alias("_n")).where("_n > 1").select("query_id")
+    rare = items.weights.where(F.col("n") <= cfg.rare_term_df).select("s")
+    words = stage(asked.join(more, "query_id", "left_semi").join(rare, "s", "left_semi"), "rare_words", sweep=True)
 
+    def dealt(found: Found, only: DataFrame, k: int) -> DataFrame:
+        few = Found(found.hits.join(words.select("s"), "s", "left_semi"), found.weights)
+        return lexical.interleaved(few.among(only, words, k, "query_id", "phrase").withColumnRenamed("phrase", "lane"))
 
-def _lexical(index: DataFrame, docs: DataFrame, weights: dict[str, float], phrases) -> DataFrame:
-    return stage(lexical.bm25(docs, weights, phrases, index), "scored")  # several lanes read it
+    lanes = [fusion.lane(dealt(items, allowed, cfg.rare_term_df), "rare_items", "item", "fts", cfg.rare_term_weight)]
+    if sessions is not None:
+        lanes.append(fusion.lane(dealt(sessions, allowed_sessions, cfg.depth()), "rare_sessions", "session", "fts", cfg.rare_term_weight))
+    return [stage(x, "rare_lane", sweep=True) for x in lanes]
 
 
 def _nearest(vectors: DataFrame, asked: DataFrame, cfg: HybridConfig) -> DataFrame:
@@ -184,30 +197,28 @@ def hybrid(items: DataFrame, texts: dict[str, str] | DataFrame, cfg: HybridConfi
     if isinstance(texts, DataFrame):
         if synonyms:
             raise ValueError("synonyms need the texts as a dictionary")
-        queries, phrases = texts.select("query_id"), stage(lexical.phrases_from(texts, cfg.prefixes), "phrases")
-        literal = phrases
+        queries, keep, plain = texts.select("query_id"), None, None
+        phrases = stage(lexical.phrases_from(texts, cfg.prefixes), "phrases", sweep=True)
     else:
         queries = items.sparkSession.createDataFrame([(q,) for q in texts], "query_id string")
-        phrases = [p for q, t in texts.items() for p in lexical.phrases_of(q, t, synonyms, cfg.prefixes)]
-        plain = [p for q, t in texts.items() for p in lexical.phrases_of(q, t, None, cfg.prefixes)]
-        literal = lexical.phrase_table(items.sparkSession, plain)
-    keep = None if isinstance(phrases, DataFrame) else lexical.asked(phrases + plain)
-    index = lexical.index_of(items, list(ITEM_WEIGHTS), keep)
-    scored = _lexical(index, items, ITEM_WEIGHTS, phrases)
-    allowed = stage(passing(items, cfg, sessions).select("id", "timestamp"), "allowed")
+        listed, literal = ([p for q, t in texts.items() for p in lexical.phrases_of(q, t, s, cfg.prefixes)] for s in (synonyms, None))
+        phrases, plain = (lexical.phrase_table(items.sparkSession, x) for x in (listed, literal))
+        keep = lexical.asked(listed + literal)
+    asked, asked_literal, words = lexical.spelt(phrases, plain)
+    of_items = _find(items, ITEM_WEIGHTS, words, keep)
+    allowed = stage(passing(items, cfg, sessions).select("id", "timestamp"), "allowed", sweep=True)
     ids = allowed.select("id")
     recent = cfg.recency_lane_days and cfg.sort == "relevance" and not cfg.since
     now = _now(items, cfg)
     fresh = F.unix_micros("timestamp") >= F.col("now_us") - cfg.recency_lane_days * _DAY_US
     new_ids = allowed.join(F.broadcast(now)).where(fresh).select("id") if recent else None  # one row
-    cut = lambda rows, only: lexical.top_k(rows.join(only, "id", "left_semi"), cfg.depth())
-    lanes = [fusion.lane(cut(scored, ids), "fts_items", "item", "fts")]
+    cut = lambda found, only: stage(found.among(only, asked, cfg.depth(), "query_id"), "best", sweep=True)
+    lanes = [fusion.lane(cut(of_items, ids), "fts_items", "item", "fts")]
     if recent:
-        lanes.append(fusion.lane(cut(scored, new_ids), "recency", "item", "fts", cfg.recency_lane_weight))
-    session_index = None
+        lanes.append(fusion.lane(cut(of_items, new_ids), "recency", "item", "fts", cfg.recency_lane_weight))
+    of_sessions = None
     if sessions is not None:
-        session_index = lexical.index_of(sessions, list(SESSION_WEIGHTS), keep)
-        of_sessions = _lexical(session_index, sessions, SESSION_WEIGHTS, phrases)
+        of_sessions = _find(sessions, SESSION_WEIGHTS, words, keep)
         sessions = passing_sessions(sessions, items, cfg)
         lanes.append(fusion.lane(cut(of_sessions, sessions.select("id")), "fts_sessions", "session", "fts"))
         if recent and "end_us" in sessions.columns:
@@ -215,20 +226,23 @@ def hybrid(items: DataFrame, texts: dict[str, str] | DataFrame, cfg: HybridConfi
             lanes.append(fusion.lane(cut(of_sessions, ended), "recency_sessions", "session", "fts", cfg.recency_lane_weight))
     if vectors is not None and query_vectors is not None:
         # The nearest overall first, filters after, as an index would.
-        near = stage(_nearest(vectors, query_vectors, cfg), "near")
+        near = stage(_nearest(vectors, query_vectors, cfg), "near", sweep=True)
         lanes.append(fusion.lane(near.join(ids, "id", "left_semi"), "vec_items", "item", "vector"))
         if recent:
             lanes.append(fusion.lane(near.join(new_ids, "id", "left_semi"), "recency_vec", "item", "vector", cfg.recency_lane_weight))
     if sessions is not None and session_vectors is not None and query_vectors is not None:
-        near = stage(_nearest(session_vectors, query_vectors, cfg), "near_sessions")
+        near = stage(_nearest(session_vectors, query_vectors, cfg), "near_sessions", sweep=True)
         lanes.append(fusion.lane(near.join(sessions.select("id"), "id", "left_semi"), "vec_sessions", "session", "vector"))
         if recent and "end_us" in sessions.columns:
             lanes.append(fusion.lane(near.join(ended, "id", "left_semi"), "recency_vec_sessions", "session", "vector", cfg.recency_lane_weight))
     if cfg.rare_term_df > 0:
-        lanes += rare_lanes(index, items, literal, ids, cfg, sessions, session_index)
-    fused = stage(fusion.rrf(lanes, cfg.rrf_k), "fused")
+        lanes += rare_lanes(of_items, asked_literal, ids, cfg, of_sessions, None if sessions is None else sessions.select("id"))
+    fused = stage(fusion.rrf(lanes, cfg.rrf_k), "fused", sweep=True)
+    for found in (of_items, of_sessions):
+        if found is not None:
+            unstage(found.hits)
     if sessions is not None:
-        fused = fusion.thread_credit(fused, items, sessions)
+        fused = stage(fusion.thread_credit(fused, items, sessions), "credited", sweep=True)
     rows = lexical.top_k(fused, cfg.cap()).drop("rank").withColumn("kept", F.lit(False))
     if (cfg.since or cfg.until) and cfg.allowed is None:
         rows = rows.unionByName(_by_time(queries.join(rows.select("query_id").distinct(), "query_id", "left_anti"), allowed, cfg, cfg.cap()).withColumn("kept", F.lit(False)))

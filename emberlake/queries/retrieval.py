@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberlake.operators import consolidate, fusion, lexical, promote, quality, signals, vector
 from emberlake.plans.retrieve import ITEM_WEIGHTS, SESSION_WEIGHTS, HybridConfig, hybrid, hydrated
 from emberlake.queries.relational import COLUMNS, ITEMS, LOG, MESSAGES, _log
-from emberlake.session import shared_dir, stage
+from emberlake.session import shared_dir, stage, unstage
 from emberlake.sources import store
 from emberlake.tables import distinct_items, table
 
@@ -261,14 +261,24 @@ m AS (SELECT *, n // 50 AS cap FROM i), s AS (SELECT source, thread_key, gap, ca
 docs AS (SELECT 'cons:' || substr(sha256(array_to_string(ids, ',')), 1, 32) AS id, thread_key AS thread_id, content FROM s)"""
 
 
-def _sessions(spark, d):
-    """(id, thread_id, source, content, participants, start_us, end_us) of the sessions of messages, as a table that searches read more than once."""
-    members = stage(consolidate.capped_sessions(distinct_items(table(spark, d, "items").where(quality.is_message(F.col("source"))), "source", "timestamp", "sender", "content", "thread_id")), "members")
-    c = stage(consolidate.consolidations(members), "consolidations")
+def _sessions(spark, d, items: DataFrame | None = None):
+    """(id, thread_id, source, content, participants, start_us, end_us) of the sessions of messages, as a table that searches read more than once.
+
+    ``items``: a table of the distinct items, if there is one; their texts are then read from it, and members carry none.
+    """
+    if items is None:
+        texts = members = stage(consolidate.capped_sessions(distinct_items(table(spark, d, "items").where(quality.is_message(F.col("source"))), "source", "timestamp", "sender", "content", "thread_id")), "members", sweep=True)
+    else:
+        texts = items.where(quality.is_message(F.col("source")))
+        members = stage(consolidate.capped_sessions(texts.select("id", "source", "timestamp", "sender", "thread_id")), "members", sweep=True)
+    c = stage(consolidate.consolidations(members), "consolidations", sweep=True)
     each = c.select("consolidation_id", F.posexplode("raw_item_ids").alias("pos", "id"))
-    said = each.join(members.select("id", "content"), "id").groupBy("consolidation_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("content", F.lit("")).alias("c")))).getField("c"), " ").alias("content"))
+    said = each.join(texts.select("id", "content"), "id").groupBy("consolidation_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("content", F.lit("")).alias("c")))).getField("c"), " ").alias("content"))
     rows = c.join(said, "consolidation_id")
-    return stage(rows.select(F.col("consolidation_id").alias("id"), F.col("thread_key").alias("thread_id"), "source", "content", "participants", "raw_item_ids", "start_us", "end_us"), "sessions")
+    out = stage(rows.select(F.col("consolidation_id").alias("id"), F.col("thread_key").alias("thread_id"), "source", "content", "participants", "raw_item_ids", "start_us", "end_us"), "sessions", sweep=True)
+    for done in (members, c):
+        unstage(done)
+    return out
 
 
 @query(f"WITH {_SESSIONS}, {_bm25_sql(_phrases(True), {'content': 1.0}, 'docs')}, t AS ({_top_sql(10)}) {_OUT} t")
@@ -326,14 +336,14 @@ def hybrid_query(spark, d):
 
     Only documents have vectors. The queries are those of ``rrf_fuse``, named by their number.
     """
-    sessions = _sessions(spark, d).withColumnRenamed("content", "summary")
-    documents = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "source", F.col("created_at").cast("timestamp").alias("timestamp"), F.col("author").alias("sender"), F.col("text").alias("content"), "subject", "lang")
+    items = stage(distinct_items(table(spark, d, "items"), "source", "timestamp", "sender", "content", "subject", "thread_id"), "items", sweep=True)
+    sessions = _sessions(spark, d, items).withColumnRenamed("content", "summary")
+    documents = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "source", F.col("created_at").cast("timestamp").alias("timestamp"), F.col("author").alias("sender"), F.col("text").alias("content"), "subject")
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     asked = vectors.where("id % 20 = 0").withColumnRenamed("id", "query_id")
     texts = documents.join(asked.select(F.col("query_id").cast("string").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("subject").alias("text"))
     cfg = HybridConfig(top_k=20, recency_lane_days=14, rare_term_df=25, decay_tau_days=60, relevance_floor=0.2)
-    items = stage(_items(spark, d).unionByName(documents, allowMissingColumns=True), "items")  # all lanes read it
-    return hybrid(items, texts, cfg, sessions, vectors, asked)
+    return hybrid(items.unionByName(documents, allowMissingColumns=True), texts, cfg, sessions, vectors, asked)
 
 
 @query(f"""WITH {ITEMS}, x AS (SELECT id, CASE WHEN promoted_to IS NOT NULL OR source = 'tier2_ledger' THEN 'curated' WHEN source = 'email' THEN 'authored' WHEN source IN ('imessage', 'signal') THEN 'conversational'
